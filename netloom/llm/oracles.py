@@ -29,4 +29,52 @@ WITH d AS (
 """
 MIXED = MIX + "SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM q LEFT JOIN k USING (row_id)"
 
-ORACLES = {"op1_mix_sources": MIXED.replace("{docs}", "documents")}
+
+def quality_sql(docs: str, keep: str) -> str:
+    """The judged rows of ``docs``; ``keep`` lists the columns wanted of d (input) and v (verdict)."""
+    from netloom.llm import quality_rules as q
+
+    lists = ", ".join(f"'{w}'" for w in q.vocabulary())
+    known = ", ".join(f"'{k}'" for k in sorted(q.COMMON_WORDS))
+    rest, classes = "t", []
+    for _, pattern in q.CLASSES:
+        less = f"regexp_replace({rest}, '{pattern}', '', 'g')"
+        classes.append(f"(length({rest}) - length({less}))::BIGINT")
+        rest = less
+    classes.append(f"length({rest})::BIGINT")
+    js = "sqrt(greatest(list_sum(list_transform(list_zip({0}, {1}), lambda z: CASE WHEN z[1] > 0 THEN z[1] * log2(z[1] / ((z[1] + z[2]) / 2)) ELSE 0 END + CASE WHEN z[2] > 0 THEN z[2] * log2(z[2] / ((z[1] + z[2]) / 2)) ELSE 0 END)) / 2, 0))"
+    share = "list_transform({0}, lambda x: x / greatest(list_sum({0}), 1)::DOUBLE)"
+    bins = (len(q.CLASSES) + 1, len(q.vocabulary()) + 1)
+    sums = [f"[{', '.join(f'sum({c}[{i + 1}])' for i in range(k))}] AS {c}" for c, k in zip(("chars", "common"), bins, strict=True)]
+    return rf"""
+WITH d AS (SELECT *, coalesce(text, '') AS t, row_number() OVER () AS row_id FROM {docs}
+), w AS (SELECT row_id, lang, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM d
+), h AS (SELECT row_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT row_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)
+), r AS (SELECT row_id, count(DISTINCT i + o) AS n FROM (SELECT row_id, i, count(*) OVER (PARTITION BY row_id, g) AS c FROM h), (VALUES (0), (1), (2)) AS v(o) WHERE c > 1 GROUP BY row_id
+), l AS (SELECT row_id, (count(*) - count(DISTINCT x))::BIGINT AS n FROM (SELECT row_id, unnest(string_split(t, chr(10))) AS x FROM w) WHERE regexp_matches(x, '[^\x20\x09-\x0D]') GROUP BY row_id
+), f AS (
+  SELECT w.row_id, lang, len(ws)::BIGINT AS n_words, [{', '.join(classes)}] AS chars,
+         list_append(list_transform([{lists}], lambda v: len(list_filter(ws, lambda x: x = v))::BIGINT), len(list_filter(ws, lambda x: x NOT IN ({lists})))::BIGINT) AS common,
+         coalesce(l.n, 0) AS n_dup_lines, coalesce(r.n, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN l USING (row_id) LEFT JOIN r USING (row_id)
+), p AS (SELECT lang, {', '.join(sums)} FROM f WHERE lang IN ({known}) GROUP BY lang
+), j AS (
+  SELECT f.row_id, p.lang = f.lang AS own, {js.format(share.format("f.chars"), share.format("p.chars"))} AS jc, {js.format(share.format("f.common"), share.format("p.common"))} AS jw
+  FROM f, p WHERE n_words > 0
+), m AS (SELECT row_id, coalesce(min(jc) FILTER (own), min(jc)) AS jc, coalesce(min(jw) FILTER (own), min(jw)) AS jw FROM j GROUP BY row_id
+), v AS (
+  SELECT row_id, n_words, list_sum(chars)::BIGINT - chars[2] AS word_chars, chars[5] AS n_symbols, n_dup_lines, n_repeat_words,
+         n_words < {q.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+         CASE WHEN NOT base_failed AND word_chars >= {q.MIN_CHARS} THEN jc END AS char_distance,
+         CASE WHEN NOT base_failed AND n_words >= {q.MIN_WORDS_FOR_COMMON} THEN jw END AS word_distance,
+         NOT base_failed AND coalesce(char_distance <= {q.MAX_CHAR_DISTANCE}, true) AND coalesce(word_distance <= {q.MAX_WORD_DISTANCE}, true) AS kept
+  FROM f LEFT JOIN m USING (row_id)
+)
+SELECT {keep} FROM d JOIN v USING (row_id)
+"""
+
+
+ORACLES = {
+    "op1_mix_sources": MIXED.replace("{docs}", "documents"),
+    "op9_quality_rules": quality_sql("documents", "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept"),
+}
