@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import mixing, quality_rules
+from netloom.llm import mixing, quality_rules, simhash
 from netloom.llm.common import table
 
 
@@ -14,9 +14,13 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_quality_rules(table(spark, sf_dir, "documents"), ["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op9_quality_rules": op9_quality_rules}
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op9_quality_rules": op9_quality_rules}
