@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import mixing, quality_rules, simhash
+from netloom.llm import bpe, mixing, quality_rules, simhash
 from netloom.llm.common import table
 
 
+#: The vocabulary file that the encoding query uses; a parameter of the operator.
+WORD_BPE = "word_bpe_49k.json"
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -23,4 +27,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op9_quality_rules": op9_quality_rules}
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), ["doc_id"])
+
+
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op9_quality_rules": op9_quality_rules, "op10_bpe": op10_bpe}
