@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import bpe, mixing, quality_rules, simhash
+from netloom.llm import bpe, langid, mixing, quality_rules, simhash
 from netloom.llm.common import table
 
 
@@ -13,6 +13,11 @@ from netloom.llm.common import table
 WORD_BPE = "word_bpe_49k.json"
 
 
+def remainder(column: str, by: int) -> Column:
+    """crc32 of an id written as text, modulo ``by``; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % by
+
+
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
@@ -22,6 +27,13 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = remainder("doc_id", 4) == 2
+    known = langid.profiles(docs.filter(~held_out))
+    return langid.identify(docs.withColumn("held_out", held_out), known, ["doc_id", "held_out"])
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_quality_rules(table(spark, sf_dir, "documents"), ["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -33,4 +45,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), ["doc_id"])
 
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op9_quality_rules": op9_quality_rules, "op10_bpe": op10_bpe}
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op7_language_id": op7_language_id, "op9_quality_rules": op9_quality_rules, "op10_bpe": op10_bpe}
