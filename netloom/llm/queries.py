@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import bpe, langid, mixing, quality_rules, simhash
+from netloom.llm import bpe, langid, mixing, quality_classifier, quality_rules, simhash, toxicity
 from netloom.llm.common import table
 
 
@@ -23,10 +23,30 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = remainder("doc_id", 3) == 1
+    sample = toxicity.bounded_sample(labels.filter(~held_out), "toxic")
+    # Rows of the sample: SAMPLE at most, so it can be broadcast.
+    labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    model = toxicity.fit(labelled)
+    return toxicity.score(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = remainder("doc_id", 5) == 0
+    sample = toxicity.bounded_sample(labels.filter(~held_out), "quality", quality_classifier.SAMPLE)
+    # Rows of the sample: SAMPLE at most, so it can be broadcast.
+    labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    model = quality_classifier.fit(labelled)
+    return quality_classifier.score(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = remainder("doc_id", 4) == 2
@@ -45,4 +65,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), ["doc_id"])
 
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op7_language_id": op7_language_id, "op9_quality_rules": op9_quality_rules, "op10_bpe": op10_bpe}
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_toxicity": op2_toxicity, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op4_quality_classifier": op4_quality_classifier, "op7_language_id": op7_language_id, "op9_quality_rules": op9_quality_rules, "op10_bpe": op10_bpe}
