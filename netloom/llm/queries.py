@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import bpe, langid, mixing, quality_classifier, quality_rules, simhash, toxicity
+from netloom.llm import bpe, langid, mixing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
 from netloom.llm.common import table
 
 
@@ -47,6 +47,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.score(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.find_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = remainder("doc_id", 4) == 2
@@ -65,4 +69,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), ["doc_id"])
 
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_toxicity": op2_toxicity, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op4_quality_classifier": op4_quality_classifier, "op7_language_id": op7_language_id, "op9_quality_rules": op9_quality_rules, "op10_bpe": op10_bpe}
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_toxicity": op2_toxicity, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op4_quality_classifier": op4_quality_classifier, "op5_suffix_array_dedup": op5_suffix_array_dedup, "op7_language_id": op7_language_id, "op9_quality_rules": op9_quality_rules, "op10_bpe": op10_bpe}
