@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import bpe, langid, mixing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
+from netloom.llm import bpe, embedding_dedup, langid, mixing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
 from netloom.llm.common import table
 
 
@@ -58,6 +58,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs.withColumn("held_out", held_out), known, ["doc_id", "held_out"])
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = quality_rules.apply_quality_rules(table(spark, sf_dir, "documents"), ["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -69,4 +73,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), ["doc_id"])
 
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_toxicity": op2_toxicity, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op4_quality_classifier": op4_quality_classifier, "op5_suffix_array_dedup": op5_suffix_array_dedup, "op7_language_id": op7_language_id, "op9_quality_rules": op9_quality_rules, "op10_bpe": op10_bpe}
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_toxicity": op2_toxicity, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op4_quality_classifier": op4_quality_classifier, "op5_suffix_array_dedup": op5_suffix_array_dedup, "op7_language_id": op7_language_id, "op8_embedding_near_dedup": op8_embedding_near_dedup, "op9_quality_rules": op9_quality_rules, "op10_bpe": op10_bpe}
