@@ -28,6 +28,17 @@ WITH d AS (
 )
 """
 MIXED = MIX + "SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken FROM q LEFT JOIN k USING (row_id)"
+PAGES = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), m AS (
+  SELECT payload_digest, max(page_id) AS last FROM p WHERE payload_bytes >= 1000 GROUP BY payload_digest HAVING count(*) > 1
+)
+SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
+       CASE WHEN last IS NULL OR page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN last IS NOT NULL AND page_id IS DISTINCT FROM last THEN last END AS refers_to
+FROM p LEFT JOIN m USING (payload_digest)
+"""
 
 VECTORS = """
 WITH RECURSIVE v AS (
@@ -93,6 +104,7 @@ SELECT {keep} FROM d JOIN v USING (row_id)
 
 ORACLES = {
     "op1_mix_sources": MIXED.replace("{docs}", "documents"),
+    "op6_warc": PAGES,
     "op8_embedding_near_dedup": VECTORS,
     "op9_quality_rules": quality_sql("documents", "doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept"),
 }

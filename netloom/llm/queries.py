@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import bpe, embedding_dedup, langid, mixing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity
-from netloom.llm.common import table
+from netloom.llm import bpe, embedding_dedup, langid, mixing, quality_classifier, quality_rules, simhash, suffix_dedup, toxicity, warc
+from netloom.llm.common import new_folder, table
 
 
 #: The vocabulary file that the encoding query uses; a parameter of the operator.
@@ -51,6 +51,12 @@ def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.find_repeats(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = remainder("doc_id", 4) == 2
@@ -73,4 +79,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), ["doc_id"])
 
 
-QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_toxicity": op2_toxicity, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op4_quality_classifier": op4_quality_classifier, "op5_suffix_array_dedup": op5_suffix_array_dedup, "op7_language_id": op7_language_id, "op8_embedding_near_dedup": op8_embedding_near_dedup, "op9_quality_rules": op9_quality_rules, "op10_bpe": op10_bpe}
+QUERIES = {"op1_mix_sources": op1_mix_sources, "op2_toxicity": op2_toxicity, "op3_simhash_near_dedup": op3_simhash_near_dedup, "op4_quality_classifier": op4_quality_classifier, "op5_suffix_array_dedup": op5_suffix_array_dedup, "op6_warc": op6_warc, "op7_language_id": op7_language_id, "op8_embedding_near_dedup": op8_embedding_near_dedup, "op9_quality_rules": op9_quality_rules, "op10_bpe": op10_bpe}
