@@ -110,3 +110,10 @@ def mix_sources(docs: DataFrame, carry: list[str] | None = None, seed: int = 17,
         F.when(F.col("target") > 0, F.col("upto") / F.col("target")).alias("finish"),
         taken.cast("int").alias("copies"),
     )
+
+
+def take_mix(docs: DataFrame, seed: int = 17, epochs: int = EPOCHS) -> DataFrame:
+    """The rows of ``docs`` that the mix reads, each as often as it is read; all columns stay."""
+    mixed = mix_sources(docs.withColumn("__row", F.struct(*docs.columns)), ["__row"], seed, epochs)
+    read = mixed.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return read.select("__row.*")

@@ -163,3 +163,9 @@ def apply_quality_rules(docs: DataFrame, carry: list[str]) -> DataFrame:
         *[F.col(c).alias(c if c not in carry else f"{c}_found") for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance")],
         (~base & ~far).alias("kept" if "kept" not in carry else "kept_found"),
     )
+
+
+def keep_good(docs: DataFrame) -> DataFrame:
+    """``docs`` without the documents that the rules reject; all columns stay."""
+    judged = apply_quality_rules(docs, docs.columns)
+    return judged.filter("kept_found" if "kept" in docs.columns else "kept").select(*docs.columns)
