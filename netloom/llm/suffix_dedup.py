@@ -1,9 +1,12 @@
 """Removal of passages that repeat across documents, by a sparse suffix array.
 
 Suffixes are kept only where the content selects them: a suffix starts at the minimiser of some 50
-words, the least hash among the 26-word grams in them. Two equal passages of 50 words select the
-same suffix, so its first 26 words stand in the sorted array next to an equal neighbour. Matches
-found there are extended left and right to passages of 50 words, which are compared in full.
+words, the least hash among the 16-word grams in them. Two equal passages of 50 words select the
+same suffix, so its first 16 words stand in the sorted array next to an equal neighbour. A suffix
+also knows its surroundings: all words, left and right, of the passages whose minimiser it is. If
+all suffixes that start alike have like surroundings, those are compared as a whole; otherwise
+each match is extended left and right passage by passage. Either way every passage is compared
+with every equal one, so what is found is what comparing all passages would find.
 """
 
 from __future__ import annotations
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 from netloom.llm.common import stored
 
 #: Words of a passage that counts as repeated, and those at a suffix's start that are sorted by.
-PASSAGE, PREFIX = 50, 26
+PASSAGE, PREFIX = 50, 16
 REACH = PASSAGE - PREFIX + 1
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 ONE, TWO = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
@@ -45,14 +48,16 @@ class Powers:
 _powers = (Powers(ONE), Powers(TWO))
 
 
-def gram_hashes(words: np.ndarray, size: int, which: int) -> np.ndarray:
-    """A polynomial hash of each run of ``size`` word hashes, from running sums."""
+def mixed(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(TWO)
+    return h ^ (h >> np.uint64(29))
+
+
+def span_hashes(words: np.ndarray, start: np.ndarray, stop: np.ndarray, which: int) -> np.ndarray:
+    """A polynomial hash of the word hashes from each start to its stop, by running sums."""
     up, down = _powers[which].get(len(words) + 1)
     sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words * up[:-1], dtype=np.uint64)))
-    h = (sums[size:] - sums[:-size]) * down[: len(words) - size + 1]
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(TWO)
-    return h ^ (h >> np.uint64(29))
+    return mixed((sums[stop] - sums[start]) * down[start])
 
 
 def word_hashes(text: bytes | None) -> np.ndarray:
@@ -64,64 +69,83 @@ def word_hashes(text: bytes | None) -> np.ndarray:
 
 
 def selected(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of the gram at each word, and for each passage the position of its minimiser."""
-    grams = gram_hashes(words, PREFIX, 0)
+    """Hash of the gram at each word, and for each passage the position of its minimiser (ascending)."""
+    at = np.arange(len(words) - PREFIX + 1)
+    grams = span_hashes(words, at, at + PREFIX, 0)
     least = np.lib.stride_tricks.sliding_window_view(grams, REACH).argmin(axis=1)
     return grams, least + np.arange(len(least))
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
-    """(gram, doc, pos) of the content-selected suffixes of ``docs`` (__doc, text)."""
+    """(gram, around, doc, doc_id, place) of the content-selected suffixes of ``docs`` (__doc, doc_id, text).
+
+    ``around`` hashes the surroundings; ``place`` packs the suffix's position, 20 more bits of that
+    hash, and the numbers of passages that start before and after the suffix.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams, docs, places = [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            columns: list[list[np.ndarray]] = [[], [], [], [], []]
+            for i, (doc, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).cast(pa.binary()).to_pylist(), strict=True)):
                 words = word_hashes(text)
-                if len(words):
-                    gram, chosen = selected(words)
-                    at = np.unique(chosen)
-                    grams.append(gram[at].view(np.int64))
-                    docs.append(np.full(len(at), doc, np.int64))
-                    places.append(at.astype(np.int32))
-            if grams:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (grams, docs, places)], ["gram", "doc", "pos"])
+                if not len(words):
+                    continue
+                grams, chosen = selected(words)
+                at, start, n = np.unique(chosen, return_index=True, return_counts=True)
+                stop = start + n - 1 + PASSAGE
+                check = span_hashes(words, start, stop, 1) >> np.uint64(44)
+                place = (at.astype(np.uint64) << np.uint64(32)) | (check << np.uint64(12)) | ((at - start).astype(np.uint64) << np.uint64(6)) | (start + n - 1 - at + REACH).astype(np.uint64)
+                for column, x in zip(columns, (grams[at].view(np.int64), span_hashes(words, start, stop, 0).view(np.int64), np.full(len(at), doc, np.int64), np.full(len(at), i), place.view(np.int64)), strict=True):
+                    column.append(x)
+            if columns[0]:
+                made = [np.concatenate(x) for x in columns]
+                arrays = [pa.array(made[0]), pa.array(made[1]), pa.array(made[2]), batch.column(1).take(pa.array(made[3])), pa.array(made[4])]
+                yield pa.RecordBatch.from_arrays(arrays, ["gram", "around", "doc", "doc_id", "place"])
 
-    return docs.select("__doc", "text").mapInArrow(run, "gram long, doc long, pos int")
+    return docs.select("__doc", "doc_id", "text").mapInArrow(run, "gram long, around long, doc long, doc_id long, place long")
 
 
 def with_equal_neighbour(array: DataFrame) -> DataFrame:
-    """(doc, pos) of the suffixes whose start equals that of a neighbour in the sorted array.
+    """(around, doc, doc_id, place, alike) of the suffixes whose start equals that of a neighbour in the sorted array.
 
-    The array is sorted over all suffixes, in ranges; a gram that many documents share spreads
-    over ranges, as its suffixes differ in doc and pos. The first and last of a range may have
-    their equal neighbour in another one: they stay too, and passages are compared in full later.
+    The array is sorted over all suffixes, in ranges; a gram that many documents share spreads over
+    ranges, as its suffixes differ in the further keys. ``alike`` tells that all suffixes of the
+    gram have the same surroundings. That is only said of a gram whose suffixes lie within one
+    batch; at the edges of batches and ranges suffixes stay without it, and are extended.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] | None = None
+        held: pa.RecordBatch | None = None
         before = True  # whether the held suffix stays on account of what came before it
         for batch in batches:
-            rows = [batch.column(i).to_numpy() for i in range(3)]
             if held is not None:
-                rows = [np.concatenate((a, b)) for a, b in zip(held, rows, strict=True)]
-            if not len(rows[0]):
+                batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+            if not batch.num_rows:
                 continue
-            same = rows[0][1:] == rows[0][:-1]
+            gram, around = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            same = gram[1:] == gram[:-1]
             stays = np.concatenate(([before], same)) | np.concatenate((same, [False]))
-            before = bool(same[-1]) if len(same) else before
-            held = [x[-1:] for x in rows]
-            out = stays[:-1]
-            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][out]) for x in rows[1:]], ["doc", "pos"])
+            start = np.flatnonzero(np.concatenate(([True], ~same)))
+            size = np.diff(np.append(start, len(gram)))
+            one = around[start] == around[start + size - 1]
+            one[0] = one[-1] = False
+            before, held = bool(len(same) and same[-1]), batch.slice(batch.num_rows - 1)
+            stays[-1] = False
+            yield out(batch, stays, np.repeat(one, size))
         if held is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in held[1:]], ["doc", "pos"])
+            yield out(held, np.array([True]), np.array([False]))
+
+    def out(batch: pa.RecordBatch, stays: np.ndarray, alike: np.ndarray) -> pa.RecordBatch:
+        some = pa.array(np.flatnonzero(stays))
+        return pa.RecordBatch.from_arrays([*[batch.column(i).take(some) for i in range(1, 5)], pa.array(alike[stays])], ["around", "doc", "doc_id", "place", "alike"])
 
-    ordered = array.repartitionByRange("gram", "doc", "pos").sortWithinPartitions("gram", "doc", "pos")
-    return ordered.mapInArrow(run, "doc long, pos int")
+    keys = ["gram", "around", "doc", "place"]
+    ordered = array.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    return ordered.mapInArrow(run, "around long, doc long, doc_id long, place long, alike boolean")
 
 
 def passages(docs: DataFrame) -> DataFrame:
-    """(hash, check, doc, doc_id, pos) of the passages that extend a matched suffix left and right.
+    """(hash, check, doc, doc_id, pos, n=1) of the passages that extend a matched suffix left and right.
 
     ``docs`` has __doc, doc_id, text and __at, the matched positions of the document. A passage
     belongs to the suffix that is its minimiser, so each is made once.
@@ -138,17 +162,17 @@ def passages(docs: DataFrame) -> DataFrame:
                 matched = np.zeros(len(words), bool)
                 matched[at.values.to_numpy()] = True
                 start = np.flatnonzero(matched[selected(words)[1]])
-                columns[0].append(gram_hashes(words, PASSAGE, 0)[start].view(np.int64))
-                columns[1].append((gram_hashes(words, PASSAGE, 1)[start] >> np.uint64(32)).astype(np.uint32).view(np.int32))
+                columns[0].append(span_hashes(words, start, start + PASSAGE, 0).view(np.int64))
+                columns[1].append((span_hashes(words, start, start + PASSAGE, 1) >> np.uint64(44)).astype(np.int32))
                 columns[2].append(np.full(len(start), doc, np.int64))
                 columns[3].append(np.full(len(start), i, np.int64))
                 columns[4].append(start.astype(np.int32))
             if columns[0]:
                 made = [np.concatenate(x) for x in columns]
-                arrays = [pa.array(made[0]), pa.array(made[1]), pa.array(made[2]), ids.take(pa.array(made[3])), pa.array(made[4])]
-                yield pa.RecordBatch.from_arrays(arrays, ["hash", "check", "doc", "doc_id", "pos"])
+                arrays = [pa.array(made[0]), pa.array(made[1]), pa.array(made[2]), ids.take(pa.array(made[3])), pa.array(made[4]), pa.array(np.ones(len(made[0]), np.int32))]
+                yield pa.RecordBatch.from_arrays(arrays, ["hash", "check", "doc", "doc_id", "pos", "n"])
 
-    return docs.select("__doc", "doc_id", "text", "__at").mapInArrow(run, "hash long, check int, doc long, doc_id long, pos int")
+    return docs.select("__doc", "doc_id", "text", "__at").mapInArrow(run, "hash long, check int, doc long, doc_id long, pos int, n int")
 
 
 def merged(rows: DataFrame) -> DataFrame:
@@ -159,13 +183,14 @@ def merged(rows: DataFrame) -> DataFrame:
             out = []
             for at in batch.column(1).to_pylist():
                 spans: list[dict] = []
-                for p, first in sorted(((x["pos"], x["first"]) for x in at), key=lambda x: (x[0], x[1] is None, x[1] or 0)):
+                for p, n, first in sorted(((x["pos"], x["n"], x["first"]) for x in at), key=lambda x: (x[0], x[1], x[2] is None, x[2] or 0)):
+                    stop = p + n - 1 + PASSAGE
                     if spans and p <= spans[-1]["stop"]:
-                        spans[-1]["stop"] = p + PASSAGE
+                        spans[-1]["stop"] = max(stop, spans[-1]["stop"])
                         known = [v for v in (spans[-1]["first"], first) if v is not None]
                         spans[-1]["first"] = min(known, default=None)
                     else:
-                        spans.append({"start": p, "stop": p + PASSAGE, "first": first})
+                        spans.append({"start": p, "stop": stop, "first": first})
                 out.append(spans)
             kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("first", pa.int64())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, kind)], ["doc", "spans"])
@@ -186,13 +211,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     compared as they are written. ``first`` is the least id that holds a span's passages first.
     """
     array = stored(suffixes(docs), "suffixes")
-    matched = with_equal_neighbour(array).groupBy("doc").agg(F.collect_set("pos").alias("__at"))
-    asked = docs.select("__doc", "doc_id", "text").join(matched, F.col("__doc") == F.col("doc"))
-    found = stored(passages(asked), "passages")
+    matched = stored(with_equal_neighbour(array), "matched")
+    at = F.shiftright("place", 32).cast("int")
+    bits = lambda low, n: F.shiftright("place", low).bitwiseAND(F.lit((1 << n) - 1)).cast("int")
+    start, after = at - bits(6, 6), bits(0, 6) - REACH
+    whole = matched.filter("alike").select(F.col("around").alias("hash"), bits(12, 20).alias("check"), "doc", "doc_id", start.alias("pos"), (after + bits(6, 6) + 1).alias("n"))
+    rest = matched.filter("not alike").groupBy(F.col("doc").alias("__of")).agg(F.collect_set(at).alias("__at"))
+    asked = docs.select("__doc", "doc_id", "text").join(rest, F.col("__doc") == F.col("__of"))
+    found = stored(whole.unionByName(passages(asked)), "passages")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "doc", "pos")
     first = found.groupBy("hash", "check").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first <> last")
     later = found.join(first, ["hash", "check"]).filter(place > F.col("first"))
-    at = later.groupBy("doc").agg(F.collect_set(F.struct("pos", F.col("first.doc_id").alias("first"))).alias("at"))
+    at = later.groupBy("doc").agg(F.collect_set(F.struct("pos", "n", F.col("first.doc_id").alias("first"))).alias("at"))
     return merged(at)
 
 
