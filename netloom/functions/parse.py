@@ -72,7 +72,7 @@ def port_matches(port: Column | str, spec: Column | str) -> Column:
 
 def key_values(c: Column | str) -> Column:
     """``k=v;k=v`` as a map; null if a fragment has no ``=``, a key is empty or one comes twice."""
-    parts = F.filter(F.transform(F.split(_col(c), ";"), F.trim), lambda x: x != "")
+    parts = F.filter(F.transform(F.split(_col(c), ";"), lambda x: F.trim(x)), lambda x: x != "")
     keys = F.transform(parts, lambda x: F.trim(F.substring_index(x, "=", 1)))
     values = F.transform(parts, lambda x: F.trim(F.substr(x, F.instr(x, "=") + 1)))
     good = F.forall(parts, lambda x: x.contains("=")) & F.forall(keys, lambda k: k != "") & (F.size(F.array_distinct(keys)) == F.size(keys))

@@ -22,7 +22,7 @@ def effects(probes: DataFrame, windows: DataFrame, drop: float = 0.2, factor: fl
 
     Confirmed if availability drops, p95 grows by the factor (both there and not 0) or the error rate rises enough.
     """
-    d = in_any_window(probes, windows).withColumn("bucket", F.when("inside", "attack").otherwise("baseline"))
+    d = in_any_window(probes, windows).withColumn("bucket", F.when(F.col("inside"), "attack").otherwise("baseline"))
     p95 = nearest_rank(d, ["url", "bucket"], "latency_ms", 0.95, "p95")
     failed = F.coalesce(F.trim("error"), F.lit("")) != ""
     base = d.groupBy("url", "bucket").agg(F.count("*").alias("probes"), F.avg("ok").alias("availability"), (F.count_if(failed) / F.count("*")).alias("error_rate")).join(p95, ["url", "bucket"], "left")

@@ -11,7 +11,7 @@ def last_by_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The row of each key that comes last in ``order``; keys that are null have no row."""
     others = [c for c in df.columns if c not in keys]
     some = df.dropna(subset=keys)
-    return some.groupBy(*keys).agg(F.max_by(F.struct(*others), F.col(order)).alias("__r")).select(*keys, "__r.*")
+    return some.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in others]), F.col(order)).alias("__r")).select(*keys, "__r.*")
 
 
 def attach(left: DataFrame, right: DataFrame, key: str, order: str, prefix: str) -> DataFrame:

@@ -90,9 +90,9 @@ def numeric(df: DataFrame, columns: list[str], label: str, bins: int = 32) -> Da
     grid = bins_seen.join(total, "feature").join(counts, ["feature", "bin", "label"], "left").fillna({"n": 0})
     w = Window.partitionBy("feature", "label").orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     grid = grid.withColumn("low", F.sum("n").over(w)).withColumn("high", F.col("total") - F.col("low"))
-    pick = lambda c: F.min(F.struct((-F.col(c)).alias("m"), "label"))["label"]
     at = Window.partitionBy("feature", "bin")
-    sides = grid.withColumns({"guess_low": pick("low").over(at), "guess_high": pick("high").over(at)})
+    pick = lambda c: F.min(F.struct((-F.col(c)).alias("m"), "label")).over(at)["label"]
+    sides = grid.withColumns({"guess_low": pick("low"), "guess_high": pick("high")})
     hit = F.when(F.col("label") == F.col("guess_low"), F.col("low")).otherwise(0) + F.when(F.col("label") == F.col("guess_high"), F.col("high")).otherwise(0)
     score = sides.filter("guess_low <> guess_high").groupBy("feature", "bin").agg(F.avg(hit / F.col("total")).alias("s"), F.sum("high").alias("rest")).filter("rest > 0")
     best = score.groupBy("feature").agg(F.max(F.struct("s", (-F.col("bin")).alias("b"))).alias("m"))
