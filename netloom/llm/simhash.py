@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from netloom.llm.common import components, stored
 
@@ -18,22 +20,32 @@ MAX_BITS = 3
 PAIRS = 0x55555555
 
 
-def fingerprint(text: bytes | None) -> int:
-    """64-bit SimHash of a UTF-8 text, as a signed number.
+def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
+    """XXH64 (seed 42) of each shingle of ``size`` words of a UTF-8 text, with repeats.
 
-    A-Z are lower-cased, words are split at ASCII blanks, 3-word shingles count with repeats
-    (fewer words: the whole sequence; none: 0). A bit is 1 if over half the XXH64 (seed 42) have it.
+    A-Z are lower-cased and words split at ASCII blanks; fewer words make one shingle, none make none.
     """
     ws = text.lower().split() if text else []
     if not ws:
-        return 0
+        return np.empty(0, dtype="<u8")
     joined = b" ".join(ws)
-    k = min(SHINGLE_WORDS, len(ws))
+    k = min(size, len(ws))
     lengths = np.fromiter(map(len, ws), dtype=np.int64, count=len(ws))
     ends = np.cumsum(lengths + 1) - 1
     starts = ends - lengths
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(joined[a:b], 42) for a, b in zip(starts[: len(ws) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], dtype="<u8")
+    return np.array([digest(joined[a:b], 42) for a, b in zip(starts[: len(ws) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)], dtype="<u8")
+
+
+def fingerprint(text: bytes | None) -> int:
+    """64-bit SimHash of a UTF-8 text, as a signed number.
+
+    3-word shingles count with repeats (fewer words: the whole sequence; none: 0). A bit is 1 if
+    over half the hashes have it.
+    """
+    hashes = shingle_hashes(text, SHINGLE_WORDS)
+    if not len(hashes):
+        return 0
     ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
 
@@ -105,14 +117,96 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), F.col("__component").alias("component_id"))
 
 
+#: Of the similarity form: words of a shingle, least Jaccard similarity, 64-bit fingerprints a text.
+COPY_WORDS, COPY_SIMILARITY, TABLES = 5, 0.8, 16
+#: Bits of 1024 in which texts of that similarity differ at most, but for a few in ten thousand.
+FAR_BITS = 200
+ROWS_AT_ONCE = 4096
+MIXERS = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) for i in range(TABLES)], dtype=np.uint64)
+
+
+def long_fingerprint(shingles: np.ndarray) -> list[int]:
+    """TABLES 64-bit SimHashes of a set of shingle hashes, each of the hashes mixed in its own way."""
+    ones = np.zeros(64 * TABLES, np.int64)
+    for at in range(0, len(shingles), ROWS_AT_ONCE):
+        h = shingles[at : at + ROWS_AT_ONCE, None] * MIXERS
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        ones += np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(shingles), bitorder="little").view("<i8").tolist()
+
+
+def copy_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between texts of COPY_SIMILARITY or more: ``classes`` (__c, __fps), ``texts`` (__c, text).
+
+    At such similarity fingerprints differ in up to a sixth of their bits, so that counts over wide
+    segments exclude nothing: segments have one bit here, and a cell of the grid takes so many of
+    them that a cell has few texts by chance (log2 of their number, and two). Each table gives the
+    cells that fit in the fingerprints. A text is compared with the first and last of each cell it
+    lies in, by all bits and then exactly by its shingles; a large group of copies meets its first
+    and last over many cells and never itself pair by pair.
+    """
+    n = max(classes.count(), 2)
+    bits = max(8, int(np.ceil(np.log2(n))) + 2)
+    per = 64 // min(bits, 32)
+    width = min(bits, 64 // per)
+    cells = F.flatten(F.transform("__fps", lambda f, t: F.array(*[F.struct((t * per + i).alias("t"), F.shiftrightunsigned(f, i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("cell")) for i in range(per)])))
+    placed = classes.select("__c", F.explode(cells).alias("x")).select("__c", "x.t", "x.cell")
+    ends = placed.groupBy("t", "cell").agg(F.min("__c").alias("first"), F.max("__c").alias("last")).filter("first <> last")
+    met = placed.join(ends, ["t", "cell"]).select("__c", F.explode(F.array("first", "last")).alias("other")).filter("__c <> other")
+    pairs = met.select(F.least("__c", "other").alias("a"), F.greatest("__c", "other").alias("b")).distinct()
+    sides = [classes.select(F.col("__c").alias(c), F.col("__fps").alias(f"f{c}")) for c in "ab"]
+    differ = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    near = stored(pairs.join(sides[0], "a").join(sides[1], "b").filter(differ <= FAR_BITS).select("a", "b"), "copy-pairs")
+    some = near.select(F.col("a").alias("__c")).unionByName(near.select(F.col("b").alias("__c"))).distinct()
+
+    def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t, COPY_WORDS)).view("<i8") for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["c", "shingles"])
+
+    sets = texts.join(some, "__c", "left_semi").mapInArrow(shingles, "c long, shingles array<long>").dropDuplicates(["c"])
+    both = near.join(sets.select(F.col("c").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("shingles").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    return both.filter(shared >= COPY_SIMILARITY * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+
+
+def with_copies(docs: DataFrame, carry: list[str]) -> DataFrame:
+    """The ``carry`` columns (doc_id among them) and ``__group``, alike for near copies.
+
+    Texts are near copies if their sets of 5-word shingles have a Jaccard similarity of 0.8 or more,
+    and copies of copies belong to the group too. Equal texts are one from the start; null, empty
+    and blank texts are near copies of each other.
+    """
+    schema = docs.select(*carry).schema.add("__c", "long").add("__fps", ArrayType(LongType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fps, own = [], []
+            for t in batch.column(len(carry)).cast(pa.binary()).to_pylist():
+                h = np.unique(shingle_hashes(t, COPY_WORDS))
+                fps.append(long_fingerprint(h))
+                own.append(len(h) > 0)
+            cls = pc.if_else(pa.array(own), batch.column(len(carry) + 1), 0)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(carry))], cls, pa.array(fps, pa.list_(pa.int64()))], schema.fieldNames())
+
+    text_class = F.xxhash64(F.lit(31), F.coalesce("text", F.lit("")))
+    slim = stored(docs.select(*carry, F.col("text").alias("__text"), text_class.alias("__class")).mapInArrow(run, schema), "copies")
+    classes = stored(slim.groupBy("__c").agg(F.first("__fps").alias("__fps")), "copy-classes")
+    links = copy_links(classes, docs.select(text_class.alias("__c"), "text"))
+    groups = components(links, "copy-links")
+    named = classes.join(groups, F.col("__c") == F.col("node"), "left").select("__c", F.coalesce("component", "__c").alias("__group"))
+    return slim.select(*carry, "__c").join(named, "__c").drop("__c")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with the smallest doc_id of each component only; all columns stay.
+    """``docs`` with the smallest doc_id of each group of near copies only; all columns stay.
 
     Null ids come last; among rows of one id the smallest hash of all columns (but maps) stays, and one of
     fully equal rows.
     """
     marked = docs.withColumns({"__key": F.xxhash64(*[F.col(c) for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])})
-    slim = with_components(marked, ["doc_id", "__key"])
+    slim = with_copies(marked, ["doc_id", "__key"])
     best = slim.groupBy("__group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "__key")).alias("k"))
     best = best.select(F.col("k.doc_id").alias("__id"), F.col("k.__key").alias("__of"))
     kept = marked.join(best, marked["doc_id"].eqNullSafe(best["__id"]) & (marked["__key"] == best["__of"]), "left_semi")

@@ -20,8 +20,8 @@ def plain_run(spark):
     docs = pq.read_table(f"{SF}/documents.parquet")
     db.register("a", docs)
     rows = db.execute(quality_sql("a", "doc_id, text, lang, source").replace("JOIN v USING (row_id)", "JOIN v USING (row_id) WHERE v.kept")).fetchall()
-    prints = [test_simhash.plain_fingerprint(r[1]) for r in rows]
-    rows = [r for r, c in zip(rows, test_simhash.plain_components([r[0] for r in rows], prints), strict=True) if r[0] == c]
+    rows.sort()
+    rows = [r for i, (r, g) in enumerate(zip(rows, test_simhash.plain_copies(rows), strict=True)) if i == g]
     frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     test_suffix_dedup.KEYS.clear()
     test_suffix_dedup.KEYS.update({(r.doc_id, r.text or ""): r["__doc"] for r in sd.keyed(frame).collect()})

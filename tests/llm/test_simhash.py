@@ -76,3 +76,56 @@ def test_keep_one_keeps_one_row_of_each_group(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     got = sorted(map(tuple, simhash.keep_one(df).collect()), key=str)
     assert got == sorted([(2, text, "b"), (5, "something else here", "a"), (None, "no id at all", "n")], key=str)
+
+
+def similarity(a, b):
+    def shingles(text):
+        ws = re.findall(r"[^\x20\x09-\x0D]+", (text or "").lower())
+        return {" ".join(ws[i : i + 5]) for i in range(len(ws) - 4)} or {" ".join(ws)}
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+def plain_copies(rows):
+    """Of each row, the least row index of its group of near copies."""
+    group = list(range(len(rows)))
+    close = [(i, j) for i in range(len(rows)) for j in range(i) if similarity(rows[i][1], rows[j][1]) >= 0.8]
+    changed = True
+    while changed:
+        changed = False
+        for i, j in close:
+            low = min(group[i], group[j])
+            if (group[i], group[j]) != (low, low):
+                group[i] = group[j] = low
+                changed = True
+    return group
+
+
+def test_near_copies_against_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    word = lambda: f"w{rng.randrange(3000)}"
+    rows = []
+    for g in range(40):
+        base = [word() for _ in range(rng.choice([6, 80, 200, 400]))]
+        for _ in range(rng.randrange(1, 5)):
+            ws = list(base)
+            for _ in range(int(len(ws) * rng.choice([0, 0.002, 0.005, 0.01, 0.05, 0.3]))):
+                ws[rng.randrange(len(ws))] = word()
+            rows.append((len(rows), " ".join(ws), "s"))
+    rows += [(900, None, "s"), (901, "", "s"), (902, "tiny text", "s"), (903, "Tiny  TEXT", "s")]
+    got = {r.doc_id: r["__group"] for r in simhash.with_copies(spark.createDataFrame(rows, SCHEMA), ["doc_id"]).collect()}
+    want = plain_copies(rows)
+    found = {}
+    for i, r in enumerate(rows):
+        found.setdefault(got[r[0]], set()).add(i)
+    expected = {}
+    for i, g in enumerate(want):
+        expected.setdefault(g, set()).add(i)
+    # No false group, and few pairs of the brute force missed: cells find a pair with high probability.
+    assert all(len({want[i] for i in members}) == 1 for members in found.values())
+    pairs = lambda groups: sum(len(m) * (len(m) - 1) // 2 for m in groups.values())
+    assert pairs(found) >= 0.97 * pairs(expected) > 30
+    assert not simhash.with_copies(spark.createDataFrame([], SCHEMA), ["doc_id"]).count()
