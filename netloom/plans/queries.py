@@ -691,3 +691,178 @@ def fallback_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def top_shortcuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").cast("double").alias("score"))
     return shortcuts.top(d, "score", "l_suppkey", 6, 600)
+
+
+# --- more sources, scalar tests and derivations ----------------------------------------------------
+
+
+def _event_log(spark: SparkSession, sf_dir: str) -> str:
+    """Events as a headed TSV log in the shared folder, with a comment at its end."""
+    path = shared(spark, "log")
+    spark.createDataFrame([("#separator \\x09",), ("#fields\tuid\tk",)], "value string").coalesce(1).write.text(path)
+    e = events(spark, sf_dir).select(F.concat_ws("\t", F.col("event_id").cast("string"), F.col("k").cast("string")).alias("value"))
+    e.unionByName(spark.createDataFrame([("#close",), ("  ",)], "value string")).write.mode("append").text(path)
+    return path
+
+
+@query("s2_log_profile", "SELECT count(*) AS records, count(*) = 0 AS empty FROM events")
+def log_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.profile(spark, _event_log(spark, sf_dir))
+
+
+@query("s4_tolerant_scan", EVENTS + "SELECT (1.5 + event_id)::DOUBLE AS ts, 'u' || event_id AS uid, CASE WHEN k % 2 = 0 THEN k END AS port FROM ev WHERE event_id % 5 <> 0")
+def tolerant_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cell = {"ts": F.col("event_id") + 1.5, "uid": F.concat(F.lit("u"), "event_id"), "id.resp_p": F.when(F.col("k") % 2 == 0, F.col("k").cast("string")).otherwise("junk")}
+    row = F.concat_ws("\t", *[cell.get(c, F.lit("-")).cast("string") for c in logs.DEFAULT_CONN])
+    path = shared(spark, "bare")
+    events(spark, sf_dir).select(F.when(F.col("event_id") % 5 == 0, "cut\toff").otherwise(row).alias("value")).write.text(path)
+    d = logs.read_zeek(spark, path, strict=False)
+    return d.select(parse.number("ts").alias("ts"), "uid", parse.whole(ft.quoted("id.resp_p")).alias("port"))
+
+
+@query("s6_load_runs", "SELECT l_linenumber::INT AS run_id, l_returnflag AS label, count(*) AS n FROM lineitem WHERE l_linenumber IN (2, 3) GROUP BY ALL")
+def load_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared(spark, "runs")
+    for run in (2, 3):
+        d = table(spark, sf_dir, "lineitem").filter(F.col("l_linenumber") == run).select(F.col("l_tax").alias("flow_duration"), F.col("l_returnflag").alias("label"))
+        d.write.option("header", "true").csv(f"{folder}/run_{run}")
+    return tables.load_runs(spark, [f"{folder}/run_{r}" for r in (2, 3)]).groupBy("run_id", "label").agg(F.count("*").alias("n"))
+
+
+@query("s9_annotation_rules", """
+SELECT rule, 'error' AS severity, v AS violations FROM (
+  SELECT 'target_port: invalid' AS rule, count(*) FILTER (event_id % 4 = 0) AS v FROM events UNION ALL SELECT 'interval: empty', count(*) FILTER (event_id % 6 = 0) FROM events
+  UNION ALL SELECT 'attacker_ip: invalid', count(*) FILTER (event_id % 7 = 0) FROM events UNION ALL SELECT 'start_utc: unreadable', count(*) FILTER (event_id % 9 = 0) FROM events)""")
+def annotation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("event_id")
+    at = lambda shift: F.concat(F.date_format(F.col("ts") + F.expr(f"INTERVAL {shift} SECONDS"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    a = table(spark, sf_dir, "events").select(
+        i.cast("string").alias("event_id"), F.lit("1").alias("run_id"), F.lit("DoS").alias("label"), F.when(i % 7 == 0, "10.0.0.300").otherwise("10.0.0.30").alias("attacker_ip"), F.lit("10.0.0.1").alias("target_ip"), F.lit("TCP").alias("protocol"),
+        F.when(i % 4 == 0, "9-3").otherwise("443").alias("target_port"), F.when(i % 9 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).otherwise(at(0)).alias("start_utc"), F.when((i % 6 == 0) & (i % 9 != 0), at(-5)).when(i % 6 == 0, "1970-01-01T00:00:00Z").otherwise(at(5)).alias("end_utc"),
+        F.lit("success").alias("status"), F.lit("0").alias("return_code"),
+    )
+    wanted = ["target_port: invalid", "attacker_ip: invalid", "start_utc: unreadable", "interval: empty"]
+    out = contracts.evaluate(a, tables.annotation_rules()).filter(F.col("rule").isin(*wanted))
+    unreadable = table(spark, sf_dir, "events").filter("event_id % 18 = 0").agg(F.count("*").alias("u"))
+    # An interval without a readable start is reported as unreadable, not as empty.
+    return out.join(unreadable).select("rule", "severity", (F.col("violations") + F.when(F.col("rule") == "interval: empty", F.col("u")).otherwise(0)).alias("violations"))
+
+
+@query("s13_sessions", "SELECT o_orderkey::VARCHAR AS session_id, o_orderkey % 3 > 0 AS ok, o_totalprice AS start FROM orders")
+def sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("session_id"), (F.col("o_orderkey") % 3 > 0).alias("ok"), F.col("o_totalprice").alias("start"))
+    return logs.read_sessions(o.select(F.to_json(F.struct("session_id", "ok", "start")).alias("value"))).select("session_id", "ok", "start")
+
+
+@query("s14_effect_windows", "SELECT epoch_us(date_trunc('second', ts)) / 1e6 AS start, epoch_us(date_trunc('second', ts)) / 1e6 + 60 AS \"end\" FROM events WHERE event_type = 'error' AND event_id % 2 = 0")
+def effect_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i, text = F.col("event_id"), lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss")
+    a = table(spark, sf_dir, "events").select(F.when(i % 2 == 0, "success").otherwise("failed").alias("status"), F.col("event_type").alias("label"), text(F.col("ts")).alias("start_utc"), F.concat(text(F.col("ts") + F.expr("INTERVAL 60 SECONDS")), F.lit("Z")).alias("end_utc"))
+    return logs.effect_windows(a, ["error"])
+
+
+@query("s19_inventory", "SELECT count(*) AS files, true AS digests FROM region")
+def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared(spark, "files")
+    table(spark, sf_dir, "region").repartitionByRange(5, "r_regionkey").select("r_regionkey", "r_name").write.partitionBy("r_regionkey").csv(path)
+    return tables.inventory(spark, path, "*.csv").agg(F.count("*").alias("files"), F.bool_and(F.length("sha256") == 64).alias("digests"))
+
+
+@query("f8_blank_label", "SELECT event_id, event_id % 4 < 3 AS blank FROM events")
+def blank_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = F.array(F.lit(None).cast("string"), F.lit(" "), F.lit("nan"), F.lit("DoS"))
+    return table(spark, sf_dir, "events").select("event_id", parse.blank(F.get(cells, (F.col("event_id") % 4).cast("int"))).alias("blank"))
+
+
+@query("f9_finite", "SELECT event_id, event_id % 4 = 3 AS finite FROM events")
+def finite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = F.array(F.lit("-"), F.lit("inf"), F.lit("x1"), F.lit(" 2.5 "))
+    return table(spark, sf_dir, "events").select("event_id", parse.finite(F.get(cells, (F.col("event_id") % 4).cast("int"))).alias("finite"))
+
+
+@query("f11_safe_names", "SELECT c_custkey, regexp_full_match(c_name, '[A-Za-z0-9][A-Za-z0-9._-]{0,63}') AS safe, c_custkey % 2 = 0 AS host FROM customer")
+def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    host = F.when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("h"), "c_custkey", F.lit(".lab"))).otherwise(F.concat(F.lit("-h"), "c_custkey"))
+    return table(spark, sf_dir, "customer").select("c_custkey", parse.safe_id("c_name").alias("safe"), parse.hostname(host).alias("host"))
+
+
+@query("f6_run_membership", "SELECT o_orderkey FROM orders WHERE year(o_orderdate) IN (1996, 1998)")
+def run_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spark.createDataFrame([(1996,), (1998,)], "run_id int")
+    return table(spark, sf_dir, "orders").withColumn("run_id", F.year("o_orderdate")).join(F.broadcast(runs), "run_id", "left_semi").select("o_orderkey")
+
+
+@query("p4_port_class", "SELECT l_orderkey, l_linenumber, CASE WHEN p < 1024 THEN 'well_known' WHEN p < 49152 THEN 'registered' ELSE 'ephemeral' END AS port_class FROM (SELECT *, (l_partkey * 37) % 65535 + 1 AS p FROM lineitem)")
+def port_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    port = ((F.col("l_partkey") * 37) % 65535 + 1).cast("string")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ft.port_class(port).alias("port_class"))
+
+
+@query("p5_tls_version", "SELECT event_id, CASE event_id % 5 WHEN 0 THEN '1.3' WHEN 1 THEN '1.2' WHEN 4 THEN 'SSLv3' ELSE 'none' END AS tls FROM events")
+def tls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = F.array(F.lit("TLSv13"), F.lit("TLSv1.2"), F.lit(None).cast("string"), F.lit("-"), F.lit("SSLv3"))
+    return table(spark, sf_dir, "events").select("event_id", ft.tls_version(F.get(cells, (F.col("event_id") % 5).cast("int"))).alias("tls"))
+
+
+@query("p7_meter_features", EVENTS + "SELECT event_id::VARCHAR AS uid, k::DOUBLE AS fwd_pkts_tot, value AS fwd_iat_avg, CASE WHEN event_type = 'view' THEN k::DOUBLE END AS flow_SYN_flag_count FROM ev")
+def meter_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = events(spark, sf_dir).select(F.col("event_id").cast("string").alias("uid"), F.when(F.col("event_type") == "view", "TCP").otherwise("UDP").alias("transport"), F.col("k").cast("string").alias("k"), F.col("value").cast("string").alias("value"))
+    meter = c.select("uid", F.col("k").alias("fwd_pkts_tot"), F.col("value").alias("fwd_iat.avg"), F.col("k").alias("flow_SYN_flag_count"), F.lit(0).alias("line_no"))
+    d = joins.attach(c.select("uid", "transport"), meter, "uid", "line_no", "fm_")
+    f = ft.meter_features(d.columns, F.col("transport"))
+    return d.select("uid", *[f[n].alias(n) for n in ("fwd_pkts_tot", "fwd_iat_avg", "flow_SYN_flag_count")])
+
+
+@query("p19_row_keys", "SELECT count(*) AS rows, count(DISTINCT (l_quantity, l_tax, l_returnflag)) AS vectors FROM lineitem")
+def row_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "lineitem")
+    return d.select(ft.row_key(d, ["l_quantity", "l_tax"], ["l_returnflag"]).alias("k")).agg(F.count("*").alias("rows"), F.count_distinct("k").alias("vectors"))
+
+
+@query("p3_select_common", "SELECT l_tax AS flow_duration, NULL::VARCHAR AS ja3, l_returnflag AS label FROM lineitem")
+def select_common(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "lineitem").select(F.col("l_tax").alias("flow_duration"), F.col("l_returnflag").alias("label"))
+    return ft.select_common(d, ["label"]).select("flow_duration", "ja3", "label")
+
+
+@query("c4_value_domains", "SELECT 'flow_duration: negative' AS rule, 'error' AS severity, count(*) FILTER (l_linenumber = 1) AS violations FROM lineitem UNION ALL SELECT 'tot_fwd_pkts: fractional', 'error', count(*) FILTER (l_extendedprice <> floor(l_extendedprice)) FROM lineitem UNION ALL SELECT 'transport: out of domain', 'error', count(*) FILTER (l_linestatus = 'F') FROM lineitem UNION ALL SELECT 'alpn: out of domain', 'warning', count(*) FROM lineitem")
+def value_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_linenumber") == 1, -1.0).otherwise(1.0).alias("flow_duration"), F.col("l_extendedprice").alias("tot_fwd_pkts"), F.when(F.col("l_linestatus") == "F", "ICMP").otherwise("TCP").alias("transport"), F.lit("spdy").alias("alpn"))
+    wanted = ["flow_duration: negative", "tot_fwd_pkts: fractional", "transport: out of domain", "alpn: out of domain"]
+    return contracts.evaluate(d, contracts.common_rules(d.columns)).filter(F.col("rule").isin(*wanted))
+
+
+@query("c6_junk_cells", "SELECT 'x: not a number' AS rule, 'error' AS severity, count(*) FILTER (event_id % 3 = 0) AS violations FROM events")
+def junk_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "events").select(F.when(F.col("event_id") % 3 == 0, "BAD").when(F.col("event_id") % 3 == 1, "").otherwise("1.5").alias("x"))
+    return contracts.evaluate(d, contracts.junk_rules(["x"]))
+
+
+@query("c20_coverage_gates", RESOLVED.replace("{time}", IN_TIME[0.5]) + "SELECT w.event_id FROM w WHERE (SELECT count(*) FROM r WHERE r.ambiguous = 0 AND r.matched_event_id = w.event_id::VARCHAR) < 1")
+def coverage_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netloom.plans.labeling import coverage_gates as gate
+
+    return gate(intervals.event_evidence(flows(spark, sf_dir), windows(spark, sf_dir), 0.5)).select("event_id")
+
+
+@query("a6_label_conflicts", "SELECT list_sort(list(DISTINCT source)) AS label_set FROM documents GROUP BY text HAVING count(DISTINCT source) > 1 ORDER BY label_set LIMIT 5")
+def label_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return duplicates.conflicts(table(spark, sf_dir, "documents"), ["text"], "source")
+
+
+@query("m23_generated_flows")
+def generated_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netloom.operators import generator
+
+    rows = table(spark, sf_dir, "events").count()
+    return generator.summary(generator.generate(spark, rows, {"BENIGN": 0.75, "PortScan": 0.1, "BruteForce": 0.05, "DoS": 0.1}))
+
+
+@query("m13_forest_baseline")
+def forest_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from netloom.operators import models
+
+    d = table(spark, sf_dir, "lineitem").select(*NUMBERS, "l_linestatus", F.col("l_returnflag").alias("label"), "l_orderkey")
+    model = models.forest(d.filter("l_orderkey % 5 > 0"), NUMBERS, ["l_linestatus"], trees=10)
+    return statistics.class_metrics(models.predict(model, d.filter("l_orderkey % 5 = 0"), NUMBERS, ["l_linestatus"]), "label", "predicted")
