@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 #: Distinct words that one worker remembers from batch to batch.
-WORDS_HELD = 300_000
-#: Words that are encoded in one call.
-WORDS_A_CALL = 20_000
+WORDS_HELD = 200_000
+#: Words that are encoded in one call, and about so many that are split from texts at once.
+WORDS_A_CALL, WORDS_AT_ONCE = 20_000, 200_000
 
 _tables: dict[str, WordTable] = {}
 
@@ -67,13 +67,13 @@ def word_table(path: str) -> WordTable:
     return _tables[path]
 
 
-def pieces_of(words: list[list[bytes]], size: int = 2_000_000) -> Iterator[list[list[bytes]]]:
-    """Runs of texts with about ``size`` words."""
+def split_runs(texts: pa.Array) -> Iterator[list[list[bytes]]]:
+    """The words of each text, in runs of texts with about WORDS_AT_ONCE words."""
     run, n = [], 0
-    for ws in words:
-        run.append(ws)
-        n += len(ws)
-        if n >= size:
+    for t in texts:
+        run.append((t.as_py() or b"").split())
+        n += len(run[-1])
+        if n >= WORDS_AT_ONCE:
             yield run
             run, n = [], 0
     yield run
@@ -94,10 +94,8 @@ def encode(docs: DataFrame, path: str, carry: list[str], texts: bool = False) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = word_table(path)
         for batch in batches:
-            column = batch.column(len(carry)).cast(pa.binary())
-            words = [(t or b"").split() for t in column.to_pylist()]
             out = []
-            for part in pieces_of(words):
+            for part in split_runs(batch.column(len(carry)).cast(pa.binary())):
                 table.add(set().union(*part))
                 for ws in part:
                     n, ids, decoded = table.encode(ws)
