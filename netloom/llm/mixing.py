@@ -62,12 +62,13 @@ def mix_sources(docs: DataFrame, carry: list[str] | None = None, seed: int = 17,
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(f"[^{BLANKS}]+")).cast("long").alias("size"),
         F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5("text"))), 1, 15), 16, 10).cast("long").alias("shuffle"),
     )
-    own = stored(own, "mix-sizes")
-    n = max(own.count(), 1)
+    slim = stored(own.select("source", "size", "shuffle"), "mix-sizes")
+    n = max(slim.count(), 1)
     bits = max(1, ceil(log2(n) / 2))
-    own = own.withColumn("block", F.shiftright("shuffle", 60 - bits))
+    block = F.shiftright("shuffle", 60 - bits).alias("block")
+    own = own.select("*", block)
 
-    blocks = stored(own.groupBy("source", "block").agg(F.sum("size").alias("words")), "mix-blocks")
+    blocks = stored(slim.select("source", "size", block).groupBy("source", "block").agg(F.sum("size").alias("words")), "mix-blocks")
     before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
     targets = stored(source_targets(blocks.groupBy("source").agg(F.sum("words").alias("source_size")), epochs), "mix-targets")
