@@ -117,83 +117,166 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), F.col("__component").alias("component_id"))
 
 
-#: Of the similarity form: words of a shingle, least Jaccard similarity, 64-bit fingerprints a text.
-COPY_WORDS, COPY_SIMILARITY, TABLES = 5, 0.8, 16
-#: Bits of 1024 in which texts of that similarity differ at most, but for a few in ten thousand.
-FAR_BITS = 200
-ROWS_AT_ONCE = 4096
-MIXERS = np.array([pow(0x9E3779B97F4A7C15, 2 * i + 1, 1 << 64) for i in range(TABLES)], dtype=np.uint64)
+#: Of the similarity form: words of a shingle; texts are near copies from a Jaccard similarity of 4/5 on.
+COPY_WORDS = 5
+#: Rarest-first order of shingles: of every so many texts one is looked at; shingles that so many of these
+#: hold come last, the commonest at the very end. Any order gives the same links, this one fewer candidates.
+SAMPLED, COMMON, COMMON_KEPT = 16, 4, 200_000
+#: Shingles of up to so many prefixes make pairs of texts; more are a crowd, compared in blocks of so many texts.
+CROWD, BLOCK = 16, 128
 
 
-def long_fingerprint(shingles: np.ndarray) -> list[int]:
-    """TABLES 64-bit SimHashes of a set of shingle hashes, each of the hashes mixed in its own way."""
-    ones = np.zeros(64 * TABLES, np.int64)
-    for at in range(0, len(shingles), ROWS_AT_ONCE):
-        h = shingles[at : at + ROWS_AT_ONCE, None] * MIXERS
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        ones += np.unpackbits(h.view(np.uint8).reshape(len(h), -1), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * ones > len(shingles), bitorder="little").view("<i8").tolist()
+def shingle_set(text: bytes | None) -> np.ndarray:
+    return np.unique(shingle_hashes(text, COPY_WORDS))
+
+
+def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Common shingles of ``docs`` (__c, text), ascending, and in how many of the texts looked at they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0).cast(pa.binary()).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t).view("<i8"))], ["s"])
+
+    some = docs.filter(F.pmod(F.xxhash64(F.lit(37), "__c"), F.lit(SAMPLED)) == 0).dropDuplicates(["__c"])
+    seen = some.select("text").mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
+    rows = sorted((r[0] % (1 << 64), r[1]) for r in seen.orderBy(F.desc("n"), "s").limit(COMMON_KEPT).collect())
+    return np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64)
+
+
+def prefix(shingles: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first n - ceil(4n/5) + 1 of n shingles in the order of all texts: near copies share one of them."""
+    n = len(shingles)
+    if not n:
+        return shingles
+    weight = np.zeros(n, np.int64)
+    if len(common[0]):
+        at = np.minimum(np.searchsorted(common[0], shingles), len(common[0]) - 1)
+        weight = np.where(common[0][at] == shingles, common[1][at], 0)
+    return shingles[np.lexsort((shingles, weight))[: n - (4 * n + 4) // 5 + 1]]
+
+
+def similar(shared: Column, na: Column, nb: Column) -> Column:
+    return 5 * shared >= 4 * (na + nb - shared)
+
+
+def compare_block(rows: pa.Table) -> pa.Table:
+    """Links (a, b) among texts ``c`` with their ``shingles`` that join different groups ``comp``: a forest, not all pairs."""
+    c, comp = rows.column("c").to_numpy(), rows.column("comp").to_numpy()
+    sets = rows.column("shingles").to_pylist() if len(np.unique(comp)) > 1 else []
+    a, b = [], []
+    if sets:
+        size = np.fromiter(map(len, sets), np.int64, len(sets))
+        owner = np.repeat(np.arange(len(sets)), size)
+        _, at, times = np.unique(np.concatenate([np.array(s, np.int64) for s in sets]), return_inverse=True, return_counts=True)
+        at, owner = (np.cumsum(times > 1) - 1)[at[times[at] > 1]], owner[times[at] > 1]
+        shared = np.zeros((len(sets), len(sets)), np.float32)
+        for low in range(0, int((times > 1).sum()), 8192):
+            here = (at >= low) & (at < low + 8192)
+            x = np.zeros((len(sets), 8192), np.float32)
+            x[owner[here], at[here] - low] = 1
+            shared += x @ x.T
+        close = 5 * shared >= 4 * (size[:, None] + size[None, :] - shared)
+        root = {int(k): int(k) for k in comp}
+
+        def top(k: int) -> int:
+            while root[k] != k:
+                root[k] = root[root[k]]
+                k = root[k]
+            return k
+
+        for i, j in np.argwhere(np.triu(close & (comp[:, None] != comp[None, :]), 1)).tolist():
+            x, y = top(int(comp[i])), top(int(comp[j]))
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                a.append(int(c[i]))
+                b.append(int(c[j]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def copy_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between texts of COPY_SIMILARITY or more: ``classes`` (__c, __fps), ``texts`` (__c, text).
-
-    At such similarity fingerprints differ in up to a sixth of their bits, so that counts over wide
-    segments exclude nothing: segments have one bit here, and a cell of the grid takes so many of
-    them that a cell has few texts by chance (log2 of their number, and two). Each table gives the
-    cells that fit in the fingerprints. A text is compared with the first and last of each cell it
-    lies in, by all bits and then exactly by its shingles; a large group of copies meets its first
-    and last over many cells and never itself pair by pair.
+    """Links (a, b) that connect all near copies: ``classes`` (__c, __n, __prefix), ``texts`` (__c, text).
+
+    An exact prefix-filter join: near copies share a shingle of their prefixes. Shingles of few
+    prefixes give pairs. Pairs that share too few of them for what can follow go; a pair that shares
+    a crowd as well is the crowd's. A crowd's texts are first compared with three of it, the one in
+    most crowds (as the original of many variants is) among them. Where that leaves more than one
+    group in a crowd, all its texts are compared in pairs of bounded blocks, which return the links
+    that join groups. So the groups of the links are those of all near copies.
     """
-    n = max(classes.count(), 2)
-    bits = max(8, int(np.ceil(np.log2(n))) + 2)
-    per = 64 // min(bits, 32)
-    width = min(bits, 64 // per)
-    cells = F.flatten(F.transform("__fps", lambda f, t: F.array(*[F.struct((t * per + i).alias("t"), F.shiftrightunsigned(f, i * width).bitwiseAND(F.lit((1 << width) - 1)).alias("cell")) for i in range(per)])))
-    placed = classes.select("__c", F.explode(cells).alias("x")).select("__c", "x.t", "x.cell")
-    ends = placed.groupBy("t", "cell").agg(F.min("__c").alias("first"), F.max("__c").alias("last")).filter("first <> last")
-    met = placed.join(ends, ["t", "cell"]).select("__c", F.explode(F.array("first", "last")).alias("other")).filter("__c <> other")
-    pairs = met.select(F.least("__c", "other").alias("a"), F.greatest("__c", "other").alias("b")).distinct()
-    sides = [classes.select(F.col("__c").alias(c), F.col("__fps").alias(f"f{c}")) for c in "ab"]
-    differ = F.aggregate(F.zip_with("fa", "fb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = stored(pairs.join(sides[0], "a").join(sides[1], "b").filter(differ <= FAR_BITS).select("a", "b"), "copy-pairs")
-    some = near.select(F.col("a").alias("__c")).unionByName(near.select(F.col("b").alias("__c"))).distinct()
+    placed = classes.select("__c", "__n", F.explode("__prefix").alias("s"))
+    often = placed.groupBy("s").agg(F.count("*").alias("m"), F.min("__c").alias("first"), F.max("__c").alias("last")).filter("m > 1")
+    shared = stored(placed.join(often, "s"), "copy-shared")
+    few, crowds = shared.filter(F.col("m") <= CROWD), shared.filter(F.col("m") > CROWD)
+
+    sides = [few.select("s", F.col("__c").alias(x), F.col("__n").alias(f"n{x}")) for x in "ab"]
+    sized = 5 * F.least("na", "nb") >= 4 * F.greatest("na", "nb")
+    pairs = sides[0].join(sides[1], "s").filter((F.col("a") < F.col("b")) & sized).groupBy("a", "b", "na", "nb").agg(F.count("*").alias("k"))
+    # Behind a prefix are ceil(4n/5) - 1 shingles.
+    most = F.col("k") + F.greatest(F.ceil(4 * F.col("na") / 5), F.ceil(4 * F.col("nb") / 5)) - 1
+    pairs = pairs.filter(similar(most, F.col("na"), F.col("nb"))).select("a", "b")
+
+    crowded = not crowds.isEmpty()
+    if crowded:
+        score = crowds.groupBy("__c").agg(F.count("*").alias("score"))
+        hubs = crowds.join(score, "__c").groupBy("s").agg(F.max_by("__c", F.struct("score", "__c")).alias("hub"))
+        to = crowds.join(hubs, "s").select("__c", F.explode(F.array("first", "last", "hub")).alias("other")).filter("__c <> other")
+        pairs = pairs.unionByName(to.select(F.least("__c", "other").alias("a"), F.greatest("__c", "other").alias("b"))).distinct()
+    pairs = stored(pairs, "copy-pairs")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t, COPY_WORDS)).view("<i8") for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            sets = [shingle_set(t).view("<i8") for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["c", "shingles"])
 
-    sets = texts.join(some, "__c", "left_semi").mapInArrow(shingles, "c long, shingles array<long>").dropDuplicates(["c"])
-    both = near.join(sets.select(F.col("c").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("shingles").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    return both.filter(shared >= COPY_SIMILARITY * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
+    def sets_of(some: DataFrame) -> DataFrame:
+        return texts.join(some.distinct(), "__c", "left_semi").mapInArrow(shingles, "c long, shingles array<long>").dropDuplicates(["c"])
+
+    sets = sets_of(pairs.select(F.col("a").alias("__c")).unionByName(pairs.select(F.col("b").alias("__c"))))
+    both = pairs.join(sets.select(F.col("c").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("shingles").alias("sb")), "b")
+    links = both.filter(similar(F.size(F.array_intersect("sa", "sb")), F.size("sa"), F.size("sb"))).select("a", "b")
+    if not crowded:
+        return links
+
+    links = stored(links, "copy-near")
+    groups = components(links, "copy-crowds")
+    left = crowds.join(groups, F.col("__c") == F.col("node"), "left").select("s", "m", "__c", F.coalesce("component", "__c").alias("comp"))
+    open_ = left.groupBy("s").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("s")
+    left = stored(left.join(open_, "s"), "copy-open")
+    if left.isEmpty():
+        return links
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    dealt = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64(F.lit(29), "__c"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("s", F.col("__c").alias("c"), "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    met = dealt.join(stored(sets_of(left.select("__c")), "copy-sets"), "c")
+    return links.unionByName(met.groupBy("s", "i", "j").applyInArrow(compare_block, "a long, b long"))
 
 
 def with_copies(docs: DataFrame, carry: list[str]) -> DataFrame:
     """The ``carry`` columns (doc_id among them) and ``__group``, alike for near copies.
 
     Texts are near copies if their sets of 5-word shingles have a Jaccard similarity of 0.8 or more,
-    and copies of copies belong to the group too. Equal texts are one from the start; null, empty
-    and blank texts are near copies of each other.
+    and copies of copies belong to the group too; all such pairs count, whatever the number of texts.
+    Equal texts are one from the start; null, empty and blank texts are near copies of each other.
     """
-    schema = docs.select(*carry).schema.add("__c", "long").add("__fps", ArrayType(LongType()))
+    text_class = F.xxhash64(F.lit(31), F.coalesce("text", F.lit("")))
+    texts = docs.select(text_class.alias("__c"), "text")
+    common = common_shingles(texts)
+    schema = docs.select(*carry).schema.add("__c", "long").add("__n", "long").add("__prefix", ArrayType(LongType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps, own = [], []
-            for t in batch.column(len(carry)).cast(pa.binary()).to_pylist():
-                h = np.unique(shingle_hashes(t, COPY_WORDS))
-                fps.append(long_fingerprint(h))
-                own.append(len(h) > 0)
-            cls = pc.if_else(pa.array(own), batch.column(len(carry) + 1), 0)
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(carry))], cls, pa.array(fps, pa.list_(pa.int64()))], schema.fieldNames())
+            sets = [shingle_set(t) for t in batch.column(len(carry)).cast(pa.binary()).to_pylist()]
+            n = pa.array([len(h) for h in sets], pa.int64())
+            cls = pc.if_else(pc.greater(n, 0), batch.column(len(carry) + 1), 0)
+            first = pa.array([prefix(h, common).view("<i8") for h in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(carry))], cls, n, first], schema.fieldNames())
 
-    text_class = F.xxhash64(F.lit(31), F.coalesce("text", F.lit("")))
     slim = stored(docs.select(*carry, F.col("text").alias("__text"), text_class.alias("__class")).mapInArrow(run, schema), "copies")
-    classes = stored(slim.groupBy("__c").agg(F.first("__fps").alias("__fps")), "copy-classes")
-    links = copy_links(classes, docs.select(text_class.alias("__c"), "text"))
+    classes = slim.groupBy("__c").agg(F.first("__n").alias("__n"), F.first("__prefix").alias("__prefix"))
+    classes = stored(classes, "copy-classes")
+    links = copy_links(classes, texts)
     groups = components(links, "copy-links")
     named = classes.join(groups, F.col("__c") == F.col("node"), "left").select("__c", F.coalesce("component", "__c").alias("__group"))
     return slim.select(*carry, "__c").join(named, "__c").drop("__c")

@@ -129,3 +129,58 @@ def test_near_copies_against_brute_force(spark):
     pairs = lambda groups: sum(len(m) * (len(m) - 1) // 2 for m in groups.values())
     assert pairs(found) >= 0.97 * pairs(expected) > 30
     assert not simhash.with_copies(spark.createDataFrame([], SCHEMA), ["doc_id"]).count()
+
+
+def varied(rng, base, edits):
+    ws = list(base)
+    for at in rng.sample(range(len(ws)), edits):
+        ws[at] = f"e{rng.getrandbits(60)}"
+    return " ".join(ws)
+
+
+def groups_of(spark, texts):
+    rows = [(i, t, "s") for i, t in enumerate(texts)]
+    got = {}
+    for r in simhash.with_copies(spark.createDataFrame(rows, SCHEMA), ["doc_id"]).collect():
+        got.setdefault(r["__group"], set()).add(r.doc_id)
+    return sorted(map(sorted, got.values()))
+
+
+def test_thousands_of_variants_of_one_base(spark):
+    import random
+
+    rng = random.Random(21)
+    base = [f"b{i}" for i in range(300)]
+    # Five edited words leave some 0.85 to the base and some 0.7 between two variants.
+    texts = [varied(rng, base, 5) for _ in range(2999)] + [" ".join(base)]
+    near = [i for i, t in enumerate(texts) if similarity(t, " ".join(base)) >= 0.8]
+    assert len(near) > 2900 and set(near) <= set(max(groups_of(spark, texts), key=len))
+
+
+def test_pairs_inside_a_crowded_family(spark):
+    import random
+
+    rng = random.Random(22)
+    # A family shares 200 of 300 words (under 0.8); some members have a near copy.
+    frame = [f"f{i}" for i in range(200)]
+    texts = [" ".join(frame + [f"m{rng.getrandbits(60)}" for _ in range(100)]) for _ in range(300)]
+    texts += [varied(rng, texts[i].split(), 4) for i in range(60)]
+    want = [[i, 300 + i] if similarity(texts[i], texts[300 + i]) >= 0.8 else [i] for i in range(60)]
+    assert sorted(want + [[i] for i in range(60, 300)] + [[300 + w[0]] for w in want if len(w) == 1]) == groups_of(spark, texts)
+
+
+def test_blocks_find_what_hubs_do_not(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(simhash, "CROWD", 2)
+    monkeypatch.setattr(simhash, "BLOCK", 8)
+    rng = random.Random(23)
+    texts = []
+    for family in range(3):
+        base = [f"{family}x{i}" for i in range(120)]
+        texts += [varied(rng, base, rng.choice([1, 2, 3, 4])) for _ in range(60)]
+    group = plain_copies([(i, t) for i, t in enumerate(texts)])
+    want = {}
+    for i, g in enumerate(group):
+        want.setdefault(g, []).append(i)
+    assert groups_of(spark, texts) == sorted(want.values())
