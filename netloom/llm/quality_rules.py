@@ -5,7 +5,7 @@ DataFrame functions only.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.llm.common import BLANKS, stored, words
@@ -17,6 +17,8 @@ COMMON_WORDS = {
     "es": ("el", "la", "de", "que", "los", "en", "un", "por", "con", "las"),
     "fr": ("le", "la", "de", "et", "les", "des", "un", "une", "que", "dans"),
 }
+#: Of any other language in the corpus, so many of its most frequent words are its common words.
+OWN_WORDS = 10
 #: Character classes taken off a text one after the other; what is left is a class too.
 CLASSES = (("lower", r"\p{Ll}+"), ("blank", f"[{BLANKS}]+"), ("upper", r"\p{Lu}+"), ("digit", r"\p{N}+"), ("symbol", r"[#*$%&|<>]+"), ("stop", r"[.,;:!?]+"))
 MIN_WORDS = 50
@@ -44,15 +46,36 @@ def repeated_positions() -> Column:
     return F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(low)))
 
 
-def text_features(docs: DataFrame, carry: list[str]) -> DataFrame:
+def other_language(lang: str) -> Column:
+    """Whether a row has a language that COMMON_WORDS does not list."""
+    return F.coalesce(~F.col(lang).isin(*COMMON_WORDS), F.lit(False))
+
+
+def own_words(docs: DataFrame) -> DataFrame | None:
+    """(__of, __own): the most frequent words of each language that COMMON_WORDS does not list; None without such rows."""
+    others = docs.filter(other_language("lang")).select("lang", "text")
+    if others.isEmpty():
+        return None
+    seen = others.select("lang", F.explode(words(F.col("text"))).alias("w")).groupBy("lang", "w").agg(F.count("*").alias("n"))
+    top = seen.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))).filter(F.col("i") <= OWN_WORDS)
+    return stored(top.groupBy(F.col("lang").alias("__of")).agg(F.sort_array(F.collect_list("w")).alias("__own")), "own-words")
+
+
+def text_features(docs: DataFrame, carry: list[str], own: DataFrame | None = None) -> DataFrame:
     """Base counts and histograms of every text beside the ``carry`` columns, written to the shared folder.
 
     ``__chars`` counts code points by class, ``__common`` the words of COMMON_WORDS and the rest.
+    With ``own``, ``__mine`` counts the rest and the words of the row's language in ``own``.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     held = [F.col(c).alias(f"c__{c}") for c in carry]
     names = [f"c__{c}" for c in carry]
     df = docs.select(*held, F.col("lang").alias("__lang"), text.alias("__text"), words(F.col("text")).alias("__words"))
+    if own is not None:
+        counts = F.transform("__own", lambda v: F.size(F.filter("__words", lambda w: w == v)).cast("long"))
+        rest = F.size(F.filter("__words", lambda w: ~F.array_contains("__own", w))).cast("long")
+        df = df.join(F.broadcast(own), F.col("__lang") == F.col("__of"), "left").withColumn("__mine", F.concat(F.array(rest), counts)).drop("__of", "__own")
+        names = [*names, "__mine"]
 
     df = df.withColumn("__r0", F.col("__text"))
     for i, (_, pattern) in enumerate(CLASSES):
@@ -113,9 +136,27 @@ def language_references(features: DataFrame) -> dict[str, tuple[list[int], list[
     return {r[0]: (list(r[1 : 1 + bins[0]]), list(r[1 + bins[0] :])) for r in rows}
 
 
+def own_references(features: DataFrame) -> DataFrame:
+    """(__of, __ref_chars, __ref_mine): shares over all documents of each language that COMMON_WORDS does not list."""
+    bins = {"__chars": len(CLASSES) + 1, "__mine": OWN_WORDS + 1}
+    sums = [F.array(*[F.coalesce(F.sum(F.get(c, F.lit(i))), F.lit(0)) for i in range(k)]).alias(f"s{c}") for c, k in bins.items()]
+    summed = features.filter(other_language("__lang")).groupBy(F.col("__lang").alias("__of")).agg(*sums)
+
+    def shares(c: str) -> Column:
+        whole = F.aggregate(c, F.lit(0).cast("long"), lambda s, x: s + x)
+        return F.transform(c, lambda x: x / F.greatest(whole, F.lit(1)))
+
+    return stored(summed.select("__of", shares("s__chars").alias("__ref_chars"), shares("s__mine").alias("__ref_mine")), "own-references")
+
+
 def js_distance(counts: Column, reference: list[int]) -> Column:
     """Jensen-Shannon distance (base 2, 0 to 1) of a histogram column to reference counts."""
     whole = float(sum(reference)) or 1.0
+    return js_shares(counts, F.array(*[F.lit(x / whole) for x in reference]))
+
+
+def js_shares(counts: Column, shares: Column) -> Column:
+    """Jensen-Shannon distance of a histogram column to the shares of a reference."""
     total = F.aggregate(counts, F.lit(0).cast("long"), lambda s, x: s + x)
     # x / (x / total + q) keeps the share and its mean with the reference in one expression.
 
@@ -124,7 +165,6 @@ def js_distance(counts: Column, reference: list[int]) -> Column:
         mean = (p + q) / 2
         return F.when(p > 0, p * F.log2(p / mean)).otherwise(F.lit(0.0)) + F.when(q > 0, q * F.log2(q / mean)).otherwise(F.lit(0.0))
 
-    shares = F.array(*[F.lit(x / whole) for x in reference])
     summed = F.aggregate(F.zip_with(counts, shares, part), F.lit(0.0), lambda s, x: s + x)
     return F.sqrt(F.greatest(summed / 2, F.lit(0.0)))
 
@@ -134,25 +174,30 @@ def apply_quality_rules(docs: DataFrame, carry: list[str]) -> DataFrame:
 
     A text fails the base rules with under 50 words or over half its words in repeated 3-word
     windows. One that passes is kept if its character classes and its common words lie near the
-    reference of its language, each distance counting from a minimum length on. Without a language
-    that has a reference (null too) the nearest reference counts; without any, all pass.
+    reference of its language, each distance counting from a minimum length on. Languages that
+    COMMON_WORDS lists are compared by those words, any other by its own most frequent ones. Without
+    a language (null) the nearest listed reference counts; if there are none, or the corpus has
+    other languages that the text may be in, no distance does.
     Null and empty texts have no words and fail. Equal rows are judged alike.
     """
-    features = text_features(docs, carry)
+    own = own_words(docs)
+    features = text_features(docs, carry, own)
     known = language_references(features)
+    if own is not None:
+        features = features.join(F.broadcast(own_references(features)), F.col("__lang") == F.col("__of"), "left")
     n = F.col("n_words")
     base = (n < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * n)
 
     def distance(column: str, which: int) -> Column:
-        if not known:
-            return F.lit(0.0)
         each = {k: js_distance(F.col(column), r[which]) for k, r in sorted(known.items())}
-        nearest = F.array_min(F.array(*each.values()))
-        out = None
-        for k, d in each.items():
-            hit = F.col("__lang") == k
-            out = F.when(hit, d) if out is None else out.when(hit, d)
-        return out.otherwise(nearest)
+        cases = [(F.col("__lang") == k, d) for k, d in each.items()]
+        if own is not None:
+            mine, ref = (("__chars", "__ref_chars"), ("__mine", "__ref_mine"))[which]
+            cases.append((F.col(ref).isNotNull(), js_shares(F.col(mine), F.col(ref))))
+        out = F.array_min(F.array(*each.values())) if each and own is None else F.lit(0.0)
+        for hit, d in reversed(cases):
+            out = F.when(hit, d).otherwise(out)
+        return out
 
     chars = F.when(F.col("word_chars") >= MIN_CHARS, distance("__chars", 0))
     common = F.when(n >= MIN_WORDS_FOR_COMMON, distance("__common", 1))

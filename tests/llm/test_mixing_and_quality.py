@@ -76,3 +76,20 @@ def test_queries_agree_with_sql(spark, name):
     assert sorted(want[0]) == names
     row = lambda r: tuple(r[n] for n in names)
     assert sorted(map(row, got.collect()), key=str) == sorted(map(row, want), key=str)
+
+
+def test_languages_without_listed_words_have_references_of_their_own(spark):
+    import random
+
+    rng = random.Random(4)
+    letters = "".join(map(chr, range(0x0627, 0x064A)))
+    word = lambda: "".join(rng.choice(letters) for _ in range(rng.randrange(3, 8)))
+    common = [word() for _ in range(8)]
+    clean = [" ".join(rng.choice(common) if rng.random() < 0.3 else word() for _ in range(200)) for _ in range(30)]
+    latin = [" ".join(rng.choice(["een", "het", "van", "niet"]) if rng.random() < 0.3 else f"w{rng.choice('abcdef')}{rng.getrandbits(30):x}" for _ in range(200)) for _ in range(30)]
+    junk = " ".join(f"{rng.getrandbits(40)}#|{rng.getrandbits(20)}" for _ in range(200))
+    prose = " ".join(f"Word{i} and the thing{i} is of use{i}, for that was in house{i}." for i in range(30))
+    rows = [(i, t, "ar", "a", 9, "x", "b") for i, t in enumerate(clean)] + [(100 + i, t, "nl", "a", 9, "x", "b") for i, t in enumerate(latin)]
+    rows += [(200, junk, "ar", "a", 9, "x", "b"), (201, prose, "en", "a", 9, "x", "b"), (202, clean[0], None, "a", 9, "x", "b")]
+    got = {r.doc_id for r in quality_rules.keep_good(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {r[0] for r in rows} - {200}
