@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +23,7 @@ def in_window(ts: Column, duration: Column, start: Column, end: Column, min_over
     point = ts.between(start, end)
     if min_overlap is None:
         return F.coalesce(point, F.lit(False))
-    inside = overlap(ts, duration, start, end)
+    inside = F.when(ts.isNotNull() & start.isNotNull() & end.isNotNull(), overlap(ts, duration, start, end))
     return F.coalesce(F.when(F.coalesce(duration, F.lit(0.0)) > 0, (inside > 0) & (inside / duration >= min_overlap)).otherwise(point), F.lit(False))
 
 
@@ -30,6 +32,7 @@ def window_join(flows: DataFrame, windows: DataFrame, keys: list[tuple[str, str]
 
     Few windows are broadcast, so flows aren't shuffled. Beyond BROADCAST_ROWS both sides are dealt
     by key and time bucket; a pair meets in the first bucket that both touch, so it comes once.
+    ``how`` is "inner" or, for flows without a window, "left_anti" there.
     """
     timed = in_window(flows["ts"], flows["duration"], windows["start"], windows["end"], min_overlap)
     on = [flows[a] == windows[b] for a, b in keys]
@@ -38,8 +41,14 @@ def window_join(flows: DataFrame, windows: DataFrame, keys: list[tuple[str, str]
         for c in on:
             condition = condition & c
         return flows.join(F.broadcast(windows), condition, how)
+    if how == "left_anti":
+        # Flows alike in time and keys match alike, so they need no id.
+        same = list(dict.fromkeys(["ts", "duration", *[a for a, _ in keys]]))
+        alike = flows.select(*same).distinct()
+        found = window_join(alike, windows, keys, min_overlap, bucket_s=bucket_s).select(*[F.col(c).alias(f"__m_{c}") for c in same]).distinct()
+        return flows.join(found, reduce(lambda x, y: x & y, [flows[c].eqNullSafe(F.col(f"__m_{c}")) for c in same]), "left_anti")
     if how != "inner":
-        raise ValueError("many windows: join inner, then attach what is missing")
+        raise ValueError(f"many windows: no {how} join")
     first = lambda t: F.floor(t / bucket_s)
     late = flows["ts"] + F.greatest(F.coalesce(flows["duration"], F.lit(0.0)), F.lit(0.0)) if min_overlap is not None else flows["ts"]
     f = flows.withColumn("__fb", F.explode(F.sequence(first(flows["ts"]), first(late))))

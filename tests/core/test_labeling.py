@@ -154,3 +154,28 @@ def test_contract_finds_impossible_rows(spark):
     assert {"tot_fwd_pkts: fractional", "tot_bwd_pkts: negative", "totlen_fwd_bytes: inf", "sni_present: not 0 or 1", "transport: out of domain", "dst_port_class: out of domain", "tls_version: out of domain",
             "alpn: out of domain", "label: unknown", "flow_bytes_s: finite without duration", "ja3: missing column", "ja3s: missing column"} <= bad
     assert contracts.evaluate(d.limit(1), contracts.common_rules(d.columns) + contracts.relational_rules()).filter("violations > 0").count() == 0
+
+
+def test_any_number_of_windows_without_a_match(spark, monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    flows = [(i, rng.choice(["a", "b", "c", None]), rng.choice([None, rng.uniform(0, 90_000)]), rng.choice([None, 0.0, 50.0, 9000.0])) for i in range(400)]
+    flows += [(1000 + i, *f[1:]) for i, f in enumerate(flows[:50])]
+    wins = [(rng.choice("ab"), s := rng.uniform(0, 90_000), s + rng.choice([0.0, 100.0, 5000.0])) for _ in range(60)]
+    rows = spark.createDataFrame(flows, "flow_id long, label string, ts double, duration double")
+    w = spark.createDataFrame(wins, "w_label string, start double, end double")
+
+    def hit(label, ts, d, share):
+        for k, s, e in wins:
+            if label == k and ts is not None:
+                inside = min(ts + (d or 0), e) - max(ts, s)
+                if (inside > 0 and inside / d >= share) if share and d else s <= ts <= e:
+                    return True
+        return False
+
+    for limit in (20_000, 10):
+        monkeypatch.setattr(intervals, "BROADCAST_ROWS", limit)
+        for share in (None, 0.5):
+            got = sorted(r.flow_id for r in intervals.off_window(rows, w, share).collect())
+            assert got == sorted(i for i, label, ts, d in flows if label is not None and not hit(label, ts, d, share))
