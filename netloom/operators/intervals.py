@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Windows up to this many rows are broadcast; more are joined by time buckets.
@@ -156,11 +156,23 @@ def off_window(rows: DataFrame, windows: DataFrame, min_overlap: float | None =
     return window_join(attacks, windows, [("label", "w_label")], min_overlap, "left_anti")
 
 
-def in_any_window(points: DataFrame, windows: DataFrame) -> DataFrame:
-    """``points`` (ts) with ``inside``: whether a point lies in one of the windows (closed)."""
-    merged = windows.groupBy("start", "end").agg(F.lit(1).alias("hit"))
-    ids = points.withColumn("__id", F.monotonically_increasing_id())
-    if len(merged.limit(BROADCAST_ROWS + 1).collect()) > BROADCAST_ROWS:
-        raise ValueError("merge the windows first: their union is joined to every point")
-    spans = F.broadcast(merged.agg(F.collect_list(F.struct("start", "end")).alias("spans")))
-    return ids.drop("__id").crossJoin(spans).withColumn("inside", F.exists("spans", lambda w: F.col("ts").between(w["start"], w["end"]))).drop("spans")
+def merged_windows(windows: DataFrame, bucket_s: float) -> DataFrame:
+    """(__wb, start, end): disjoint unions of the windows that touch each time bucket."""
+    first = lambda t: F.floor(t / bucket_s)
+    w = windows.filter("start <= end").groupBy("start").agg(F.max("end").alias("end"))
+    w = w.withColumn("__wb", F.explode(F.sequence(first(F.col("start")), first(F.col("end")))))
+    order = Window.partitionBy("__wb").orderBy("start")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    w = w.withColumn("__new", F.coalesce(F.col("start") > before, F.lit(True)).cast("long")).withColumn("__union", F.sum("__new").over(order))
+    return w.groupBy("__wb", "__union").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("__union")
+
+
+def in_any_window(points: DataFrame, windows: DataFrame, bucket_s: float = 3600.0) -> DataFrame:
+    """``points`` (ts) with ``inside``: whether a point lies in one of the windows (closed), of which there may be any number.
+
+    A point meets the unions of its time bucket only; these are disjoint, so it comes once.
+    """
+    merged = merged_windows(windows, bucket_s).select("__wb", F.col("start").alias("__from"), F.col("end").alias("__to"))
+    on = (F.floor(points["ts"] / bucket_s) == F.col("__wb")) & points["ts"].between(F.col("__from"), F.col("__to"))
+    found = points.join(merged, on, "left")
+    return found.withColumn("inside", F.col("__wb").isNotNull()).drop("__wb", "__from", "__to")

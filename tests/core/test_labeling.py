@@ -179,3 +179,21 @@ def test_any_number_of_windows_without_a_match(spark, monkeypatch):
         for share in (None, 0.5):
             got = sorted(r.flow_id for r in intervals.off_window(rows, w, share).collect())
             assert got == sorted(i for i, label, ts, d in flows if label is not None and not hit(label, ts, d, share))
+
+
+def test_points_in_more_windows_than_are_broadcast(spark):
+    import bisect
+    import random
+
+    rng = random.Random(6)
+    wins = [(s := rng.uniform(0, 4e6), s + rng.choice([0.0, 5.0, 100.0, 8000.0 if rng.random() < 0.05 else 1.0])) for _ in range(21_000)]
+    wins += [(7200.0, 7200.0), (50.0, 40.0)]
+    at = [rng.uniform(-9000, 4.1e6) for _ in range(3000)] + [w[0] for w in wins[:200]] + [w[1] for w in wins[:200]] + [7200.0]
+    order = sorted(w for w in wins if w[0] <= w[1])
+    ends, most = [], 0.0
+    for _, e in order:
+        ends.append(most := max(most, e))
+    starts = [s for s, _ in order]
+    want = [(i, (k := bisect.bisect_right(starts, t)) > 0 and ends[k - 1] >= t) for i, t in enumerate(at)]
+    got = intervals.in_any_window(spark.createDataFrame(list(enumerate(at)), "i long, ts double"), spark.createDataFrame(wins, "start double, end double"))
+    assert sorted((r.i, r.inside) for r in got.collect()) == want
