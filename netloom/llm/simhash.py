@@ -160,6 +160,36 @@ def similar(shared: Column, na: Column, nb: Column) -> Column:
     return 5 * shared >= 4 * (na + nb - shared)
 
 
+def overlaps(sets: list) -> np.ndarray:
+    """How many numbers each two of the sets have in common; on the diagonal, only those that others have too."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, at, times = np.unique(np.concatenate([np.array(x, np.int64) for x in sets]), return_inverse=True, return_counts=True)
+    at, owner = (np.cumsum(times > 1) - 1)[at[times[at] > 1]], owner[times[at] > 1]
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    for low in range(0, int((times > 1).sum()), 8192):
+        here = (at >= low) & (at < low + 8192)
+        x = np.zeros((len(sets), 8192), np.float32)
+        x[owner[here], at[here] - low] = 1
+        shared += x @ x.T
+    return shared
+
+
+def hopeful(rows: pa.Table) -> pa.Table:
+    """Texts of a pair of blocks with a text of another group that may be near, by prefixes, and that no crowd before has."""
+    c, comp, n = (rows.column(x).to_numpy() for x in ("c", "comp", "__n"))
+    some = np.zeros(len(c), bool)
+    if len(np.unique(comp)) > 1:
+        s = rows.column("s")[0].as_py()
+        behind = (4 * n + 4) // 5 - 1
+        most = overlaps(rows.column("prefix").to_pylist()) + np.maximum(behind[:, None], behind[None, :])
+        near = (5 * most >= 4 * (n[:, None] + n[None, :] - most)) & (5 * np.minimum(n[:, None], n[None, :]) >= 4 * np.maximum(n[:, None], n[None, :]))
+        near &= comp[:, None] != comp[None, :]
+        if near.any():
+            near &= overlaps([[x for x in q if x < s] for q in rows.column("open").to_pylist()]) == 0
+        some = near.any(axis=1)
+    return rows.select(["s", "i", "j", "c", "comp"]).filter(pa.array(some))
+
+
 def compare_block(rows: pa.Table) -> pa.Table:
     """Links (a, b) among texts ``c`` with their ``shingles`` that join different groups ``comp``: a forest, not all pairs."""
     c, comp = rows.column("c").to_numpy(), rows.column("comp").to_numpy()
@@ -167,15 +197,7 @@ def compare_block(rows: pa.Table) -> pa.Table:
     a, b = [], []
     if sets:
         size = np.fromiter(map(len, sets), np.int64, len(sets))
-        owner = np.repeat(np.arange(len(sets)), size)
-        _, at, times = np.unique(np.concatenate([np.array(s, np.int64) for s in sets]), return_inverse=True, return_counts=True)
-        at, owner = (np.cumsum(times > 1) - 1)[at[times[at] > 1]], owner[times[at] > 1]
-        shared = np.zeros((len(sets), len(sets)), np.float32)
-        for low in range(0, int((times > 1).sum()), 8192):
-            here = (at >= low) & (at < low + 8192)
-            x = np.zeros((len(sets), 8192), np.float32)
-            x[owner[here], at[here] - low] = 1
-            shared += x @ x.T
+        shared = overlaps(sets)
         close = 5 * shared >= 4 * (size[:, None] + size[None, :] - shared)
         root = {int(k): int(k) for k in comp}
 
@@ -202,7 +224,7 @@ def copy_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
     a crowd as well is the crowd's. A crowd's texts are first compared with three of it, the one in
     most crowds (as the original of many variants is) among them. Where that leaves more than one
     group in a crowd, all its texts are compared in pairs of bounded blocks, which return the links
-    that join groups. So the groups of the links are those of all near copies.
+    that join groups; only those with a possible partner by prefixes get there. So the groups of the links are those of all near copies.
     """
     placed = classes.select("__c", "__n", F.explode("__prefix").alias("s"))
     often = placed.groupBy("s").agg(F.count("*").alias("m"), F.min("__c").alias("first"), F.max("__c").alias("last")).filter("m > 1")
@@ -221,7 +243,10 @@ def copy_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
         score = crowds.groupBy("__c").agg(F.count("*").alias("score"))
         hubs = crowds.join(score, "__c").groupBy("s").agg(F.max_by("__c", F.struct("score", "__c")).alias("hub"))
         to = crowds.join(hubs, "s").select("__c", F.explode(F.array("first", "last", "hub")).alias("other")).filter("__c <> other")
-        pairs = pairs.unionByName(to.select(F.least("__c", "other").alias("a"), F.greatest("__c", "other").alias("b"))).distinct()
+        to = to.select(F.least("__c", "other").alias("a"), F.greatest("__c", "other").alias("b")).distinct()
+        of = [classes.select(F.col("__c").alias(x), F.col("__n").alias(f"n{x}"), F.col("__prefix").alias(f"p{x}")) for x in "ab"]
+        known = to.join(of[0], "a").join(of[1], "b").withColumn("k", F.size(F.array_intersect("pa", "pb")))
+        pairs = pairs.unionByName(known.filter(sized & similar(most, F.col("na"), F.col("nb"))).select("a", "b")).distinct()
     pairs = stored(pairs, "copy-pairs")
 
     def shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -249,7 +274,10 @@ def copy_links(classes: DataFrame, texts: DataFrame) -> DataFrame:
     dealt = left.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64(F.lit(29), "__c"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("s", F.col("__c").alias("c"), "comp", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    met = dealt.join(stored(sets_of(left.select("__c")), "copy-sets"), "c")
+    told = classes.join(left.groupBy("__c").agg(F.collect_list("s").alias("open")), "__c").select(F.col("__c").alias("c"), "__n", F.col("__prefix").alias("prefix"), "open")
+    few_left = dealt.join(told, "c").groupBy("s", "i", "j").applyInArrow(hopeful, "s long, i int, j int, c long, comp long")
+    few_left = stored(few_left, "copy-hopeful")
+    met = few_left.join(sets_of(few_left.select(F.col("c").alias("__c"))), "c")
     return links.unionByName(met.groupBy("s", "i", "j").applyInArrow(compare_block, "a long, b long"))
 
 
