@@ -13,30 +13,27 @@ CATEGORICAL = ["transport", "dst_port_class", "tls_version", "alpn", "ja3", "ja3
 COUNTS = ["tot_fwd_pkts", "tot_bwd_pkts", "totlen_fwd_bytes", "totlen_bwd_bytes"]
 LABELS = ["BENIGN", "BruteForce", "DoS", "PortScan"]
 DOMAINS = {"transport": ["TCP", "UDP", "UNKNOWN"], "dst_port_class": ["well_known", "registered", "ephemeral", "unknown"], "tls_version": ["none", "1.0", "1.1", "1.2", "1.3"]}
+# Identifiers that are never learned from, and what only tells rows apart.
+IDENTIFIERS = ["uid", "id.orig_h", "id.orig_p", "id.resp_h", "id.resp_p", "src_ip", "ttl", "flow_id", "dst_port", "matched_event_id", "ambiguity_reason"]
 ALPN = ["h2", "h3", "http/1.1", "none"]
 TLS = {"TLSv1": "1.0", "TLSv10": "1.0", "TLSv1.0": "1.0", "TLSv11": "1.1", "TLSv1.1": "1.1", "TLSv12": "1.2", "TLSv1.2": "1.2", "TLSv13": "1.3", "TLSv1.3": "1.3"}
 COMMON = NUMERIC + CATEGORICAL
 
 
-def _spread(prefixes: list[str], suffixes: list[str]) -> list[str]:
-    return [p + s for p in prefixes for s in suffixes]
-
-
-_FIVE = ["min", "max", "tot", "avg", "std"]
-_BOTH = ["fwd", "bwd"]
-_ALL = ["fwd", "bwd", "flow"]
-#: Columns of the flow-meter log behind uid that are published, in file order, from their naming rule.
+# Columns of the flow-meter log that are published, in file order.
 METER_RAW = [
     "fwd_pkts_tot", "bwd_pkts_tot", "fwd_data_pkts_tot", "bwd_data_pkts_tot", "fwd_pkts_per_sec", "bwd_pkts_per_sec", "flow_pkts_per_sec",
-    *_spread([f"{d}_header_size_" for d in _BOTH], ["tot", "min", "max"]),
-    *_spread(["flow_"], [f"{x}_flag_count" for x in ("FIN", "SYN", "RST")]), "fwd_PSH_flag_count", "bwd_PSH_flag_count", "flow_ACK_flag_count",
-    *_spread([f"{d}_pkts_payload." for d in _ALL], _FIVE),
-    *_spread([f"{d}_iat." for d in _ALL], _FIVE),
-    "payload_bytes_per_second",
-    *[f"{d}_subflow_{x}" for x in ("pkts", "bytes") for d in _BOTH],
-    *[f"{d}_bulk_{x}" for x in ("bytes", "packets", "rate") for d in _BOTH],
-    *_spread(["active.", "idle."], _FIVE),
-    *[f"{d}_{w}_window_size" for w in ("init", "last") for d in _BOTH],
+    "fwd_header_size_tot", "fwd_header_size_min", "fwd_header_size_max", "bwd_header_size_tot", "bwd_header_size_min", "bwd_header_size_max",
+    "flow_FIN_flag_count", "flow_SYN_flag_count", "flow_RST_flag_count", "fwd_PSH_flag_count", "bwd_PSH_flag_count", "flow_ACK_flag_count",
+    "fwd_pkts_payload.min", "fwd_pkts_payload.max", "fwd_pkts_payload.tot", "fwd_pkts_payload.avg", "fwd_pkts_payload.std",
+    "bwd_pkts_payload.min", "bwd_pkts_payload.max", "bwd_pkts_payload.tot", "bwd_pkts_payload.avg", "bwd_pkts_payload.std",
+    "flow_pkts_payload.min", "flow_pkts_payload.max", "flow_pkts_payload.tot", "flow_pkts_payload.avg", "flow_pkts_payload.std",
+    "fwd_iat.min", "fwd_iat.max", "fwd_iat.tot", "fwd_iat.avg", "fwd_iat.std", "bwd_iat.min", "bwd_iat.max", "bwd_iat.tot", "bwd_iat.avg", "bwd_iat.std",
+    "flow_iat.min", "flow_iat.max", "flow_iat.tot", "flow_iat.avg", "flow_iat.std", "payload_bytes_per_second",
+    "fwd_subflow_pkts", "bwd_subflow_pkts", "fwd_subflow_bytes", "bwd_subflow_bytes",
+    "fwd_bulk_bytes", "bwd_bulk_bytes", "fwd_bulk_packets", "bwd_bulk_packets", "fwd_bulk_rate", "bwd_bulk_rate",
+    "active.min", "active.max", "active.tot", "active.avg", "active.std", "idle.min", "idle.max", "idle.tot", "idle.avg", "idle.std",
+    "fwd_init_window_size", "bwd_init_window_size", "fwd_last_window_size", "bwd_last_window_size",
 ]
 METER_TCP_ONLY = [c for c in METER_RAW if c.endswith(("_flag_count", "_window_size"))]
 METER = [c.replace(".", "_") for c in METER_RAW]
@@ -100,6 +97,22 @@ def common_features(joined: DataFrame, quic_joined: Column | None = None) -> dic
     }
 
 
+def audit_features(audit: DataFrame) -> DataFrame:
+    """COMMON columns beside an audit frame, from its connection, TLS and QUIC columns; a frame that has them already is returned as it is."""
+    if all(c in audit.columns for c in COMMON):
+        return audit
+    named = {"version": "ssl_version", "server_name": "ssl_server_name", "next_protocol": "ssl_next_protocol", "ja3": "ssl_ja3", "ja3s": "ssl_ja3s", "quic_sni": "quic_server_name", "quic_alpn": "quic_client_protocol"}
+    d = audit.select("*", *[quoted(a).alias(b) for a, b in named.items() if a in audit.columns and b not in audit.columns])
+    quic = F.coalesce(F.trim("quic_version"), F.lit("")) != "" if "quic_version" in d.columns else F.lit(False)
+    made = common_features(d, quic)
+    return d.select(*[quoted(c) for c in audit.columns if c not in COMMON], *[made[c].alias(c) for c in COMMON])
+
+
+def ml_columns(columns: list[str], drop_ids: bool = False) -> list[str]:
+    """Columns that a model may read of a split-ready frame: no bookkeeping, and with ``drop_ids`` no identifiers either."""
+    return [c for c in columns if c not in ("run_id", "timestamp", "ts") and not (drop_ids and c in IDENTIFIERS)]
+
+
 def meter_features(columns: list[str], transport: Column, prefix: str = "fm_") -> dict[str, Column]:
     """The flow-meter columns; those that only TCP has are null for other transports."""
     out = {}

@@ -8,28 +8,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions import features as ft
-from netloom.functions.parse import blank, finite, number
+from netloom.functions.parse import blank, number
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A row breaks the rule where ``broken`` is true; warnings don't fail a contract."""
+    """A row breaks the rule where ``broken`` is true; warnings don't fail a contract.
+
+    ``parsed`` names the text columns that the rule reads as numbers, by ``num`` and ``raw``.
+    """
 
     name: str
     broken: Column
     severity: str = "error"
+    parsed: tuple[str, ...] = ()
+
+
+def num(column: str) -> Column:
+    """The number in a cell, parsed once for all rules."""
+    return F.col(f"`__num_{column}`")
+
+
+def raw(column: str) -> Column:
+    """The trimmed text of a cell."""
+    return F.col(f"`__raw_{column}`")
+
+
+def prepared(df: DataFrame, rules: list[Rule]) -> DataFrame:
+    """``df`` with each column that rules parse, parsed once."""
+    names = list(dict.fromkeys(c for r in rules for c in r.parsed))
+    return df.select("*", *[number(ft.quoted(c)).alias(f"__num_{c}") for c in names], *[F.trim(ft.quoted(c).cast("string")).alias(f"__raw_{c}") for c in names])
 
 
 def evaluate(df: DataFrame, rules: list[Rule]) -> DataFrame:
     """(rule, severity, violations) of every rule, from a single pass over ``df``."""
-    counts = df.agg(*[F.count_if(F.coalesce(r.broken, F.lit(False))).alias(f"r_{i}") for i, r in enumerate(rules)])
+    counts = prepared(df, rules).agg(*[F.count_if(r.broken).alias(f"r_{i}") for i, r in enumerate(rules)])
     cells = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.severity).alias("severity"), F.col(f"r_{i}").alias("violations")) for i, r in enumerate(rules)])
     return counts.select(F.explode(cells).alias("v")).select("v.*")
 
 
 def examples(df: DataFrame, rule: Rule, n: int = 5) -> DataFrame:
     """A few rows that break a rule, for a message."""
-    return df.filter(F.coalesce(rule.broken, F.lit(False))).limit(n)
+    return prepared(df, [rule]).filter(F.coalesce(rule.broken, F.lit(False))).select(*[ft.quoted(c) for c in df.columns]).limit(n)
 
 
 def require(df: DataFrame, rules: list[Rule]) -> None:
@@ -43,10 +63,10 @@ def numeric_rules(columns: list[str], counts: list[str]) -> list[Rule]:
     """No infinities, no negatives, whole counts; missing is allowed."""
     rules = []
     for c in columns:
-        v = number(ft.quoted(c))
-        rules += [Rule(f"{c}: inf", F.abs(v) == float("inf")), Rule(f"{c}: negative", (v < 0) & (F.abs(v) < float("inf")))]
+        v = num(c)
+        rules += [Rule(f"{c}: inf", F.abs(v) == float("inf"), parsed=(c,)), Rule(f"{c}: negative", (v < 0) & (F.abs(v) < float("inf")), parsed=(c,))]
         if c in counts:
-            rules.append(Rule(f"{c}: fractional", (F.abs(v) < float("inf")) & (v != F.floor(v))))
+            rules.append(Rule(f"{c}: fractional", (F.abs(v) < float("inf")) & (v != F.floor(v)), parsed=(c,)))
     return rules
 
 
@@ -58,7 +78,7 @@ def common_rules(columns: list[str]) -> list[Rule]:
     """The value domains of the flow features that ``columns`` has."""
     rules = numeric_rules([c for c in ft.NUMERIC if c in columns], ft.COUNTS)
     if "sni_present" in columns:
-        rules.append(Rule("sni_present: not 0 or 1", ~number("sni_present").isin(0.0, 1.0)))
+        rules.append(Rule("sni_present: not 0 or 1", ~num("sni_present").isin(0.0, 1.0), parsed=("sni_present",)))
     rules += domain_rules({c: v for c, v in ft.DOMAINS.items() if c in columns})
     return rules + (domain_rules({"alpn": ft.ALPN}, "warning") if "alpn" in columns else [])
 
@@ -71,21 +91,21 @@ def off_by(stored: Column, expected: Column, absolute: float = 0.02, relative: f
 
 def relational_rules() -> list[Rule]:
     """Derived features must agree with what they derive from; a rate needs a positive duration."""
-    v = {c: number(c) for c in ft.NUMERIC}
+    v = {c: num(c) for c in ft.NUMERIC}
     dur = F.when(v["flow_duration"] > 0, v["flow_duration"])
     idle = v["flow_duration"] <= 0
-    return [
-        *[Rule(f"{c}: finite without duration", idle & (F.abs(v[c]) < float("inf"))) for c in ("flow_bytes_s", "flow_pkts_s")],
-        Rule("down_up_ratio: inconsistent", off_by(v["down_up_ratio"], F.when(v["tot_fwd_pkts"].isNotNull(), v["tot_bwd_pkts"] / F.greatest(v["tot_fwd_pkts"], F.lit(1.0))))),
-        Rule("flow_bytes_s: inconsistent", off_by(v["flow_bytes_s"], (v["totlen_fwd_bytes"] + v["totlen_bwd_bytes"]) / dur)),
-        Rule("flow_pkts_s: inconsistent", off_by(v["flow_pkts_s"], (v["tot_fwd_pkts"] + v["tot_bwd_pkts"]) / dur)),
+    rules = [
+        *[(f"{c}: finite without duration", idle & (F.abs(v[c]) < float("inf"))) for c in ("flow_bytes_s", "flow_pkts_s")],
+        ("down_up_ratio: inconsistent", off_by(v["down_up_ratio"], F.when(v["tot_fwd_pkts"].isNotNull(), v["tot_bwd_pkts"] / F.greatest(v["tot_fwd_pkts"], F.lit(1.0))))),
+        ("flow_bytes_s: inconsistent", off_by(v["flow_bytes_s"], (v["totlen_fwd_bytes"] + v["totlen_bwd_bytes"]) / dur)),
+        ("flow_pkts_s: inconsistent", off_by(v["flow_pkts_s"], (v["tot_fwd_pkts"] + v["tot_bwd_pkts"]) / dur)),
     ]
+    return [Rule(name, broken, parsed=tuple(ft.NUMERIC)) for name, broken in rules]
 
 
 def junk_rules(columns: list[str]) -> list[Rule]:
     """Cells that are neither missing nor a number."""
-    text = lambda c: F.trim(ft.quoted(c).cast("string"))
-    return [Rule(f"{c}: not a number", text(c).isNotNull() & ~text(c).isin("", "nan", "NaN", "None", "-", "(empty)") & number(ft.quoted(c)).isNull()) for c in columns]
+    return [Rule(f"{c}: not a number", raw(c).isNotNull() & ~raw(c).isin("", "nan", "NaN", "None", "-", "(empty)") & num(c).isNull(), parsed=(c,)) for c in columns]
 
 
 def label_rules(column: str = "label", allowed: list[str] | None = None) -> list[Rule]:
@@ -115,10 +135,10 @@ def conn_rules(columns: list[str]) -> list[Rule]:
     rules = junk_rules(here) + numeric_rules(here, CONN_COUNTS)
     for c in ("id.orig_p", "id.resp_p"):
         if c in columns:
-            p = number(ft.quoted(c))
-            rules.append(Rule(f"{c}: not a port", p.isNotNull() & ((p < 1) | (p > 65535) | (p != F.floor(p)))))
-    rules += [Rule(f"{c}: blank", F.coalesce(F.trim(ft.quoted(c)).isin("", "-"), F.lit(True))) for c in CONN_ESSENTIALS if c in columns]
-    return [*rules, Rule("ts: not finite", ~finite("ts"))]
+            p = num(c)
+            rules.append(Rule(f"{c}: not a port", p.isNotNull() & ((p < 1) | (p > 65535) | (p != F.floor(p))), parsed=(c,)))
+    rules += [Rule(f"{c}: blank", F.coalesce(raw(c).isin("", "-"), F.lit(True)), parsed=(c,)) for c in CONN_ESSENTIALS if c in columns]
+    return [*rules, Rule("ts: not finite", ~F.coalesce(F.abs(num("ts")) < float("inf"), F.lit(False)), parsed=("ts",))]
 
 
 def official_columns(df: DataFrame, with_time: bool = True) -> list[str]:

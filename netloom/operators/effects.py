@@ -36,29 +36,50 @@ def effects(probes: DataFrame, windows: DataFrame, drop: float = 0.2, factor: fl
 
 
 def evidence_levels(events: DataFrame) -> DataFrame:
-    """``events`` (flows, requests_attacker, effect_confirmed) with an array of the levels of evidence reached."""
-    levels = F.array_compact(F.array(
-        F.when(F.col("flows") > 0, "network_observed"), F.when(F.col("requests_attacker") > 0, "application_observed"), F.when(F.col("effect_confirmed"), "effect_confirmed"),
-    ))
-    return events.withColumn("evidence", F.when(F.size(levels) == 0, F.array(F.lit("declared_only"))).otherwise(levels))
+    """``events`` (usable_flows, requests_attacker) with an array of the levels of evidence reached.
+
+    An event stands for a tool that ran with success; traffic is observed if flows could be used,
+    the application if requests came from the attacker.
+    """
+    levels = F.array(
+        F.lit("tool_executed"), F.when(F.coalesce("usable_flows", F.lit(0)) > 0, "traffic_observed"), F.when(F.coalesce("requests_attacker", F.lit(0)) > 0, "application_observed"),
+    )
+    return events.withColumn("evidence", F.array_compact(levels))
 
 
-def attributed_requests(events: DataFrame, requests: DataFrame) -> DataFrame:
+def attributed_requests(events: DataFrame, requests: DataFrame, bucket_s: float = 3600.0) -> DataFrame:
     """(event_id, requests_attacker, requests_other): requests in an event's closed time that fit its class.
 
     Events: event_id, label, attacker, target, start, end, path. BruteForce asks for a POST whose uri
-    holds the path, DoS for a GET that starts with it; hosts must agree where both are known.
+    holds the path, DoS for a GET that starts with it; hosts must agree where both are known. A
+    request meets the events of its method's class that touch its time bucket, so once each.
     """
-    r = requests.select("ts", "client", "method", "uri", F.lower(F.regexp_replace("host", r":\d+$", "")).alias("host"))
-    fits = F.when(F.col("label") == "BruteForce", (F.col("method") == "POST") & F.col("uri").contains(F.col("path"))).when(F.col("label") == "DoS", (F.col("method") == "GET") & F.col("uri").startswith(F.col("path"))).otherwise(F.lit(False))
-    host = F.col("host").isNull() | F.col("target").isNull() | (F.col("host") == F.lower("target"))
-    e = F.broadcast(events) if len(events.limit(20_001).collect()) <= 20_000 else events
-    j = r.join(e, F.col("ts").between(F.col("start"), F.col("end")) & fits & host)
-    found = j.groupBy("event_id").agg(F.count_if(F.col("client") == F.col("attacker")).alias("a"), F.count_if(~(F.col("client").eqNullSafe(F.col("attacker")))).alias("o"))
+    asks = F.create_map(*[F.lit(x) for x in ("BruteForce", "POST", "DoS", "GET")])
+    first = lambda t: F.floor(t / bucket_s)
+    r = requests.select("ts", "client", F.upper("method").alias("__method"), F.coalesce("uri", F.lit("")).alias("uri"), F.nullif(F.split_part("host", F.lit(":"), F.lit(1)), F.lit("")).alias("host"), first(F.col("ts")).alias("__bucket"))
+    e = events.select("event_id", F.col("attacker").alias("attacker"), F.nullif(F.trim("target"), F.lit("")).alias("target"), "start", "end", "path", "label", F.try_element_at(asks, F.col("label")).alias("__asked"))
+    e = e.filter("__asked is not null and start <= end").withColumn("__wb", F.explode(F.sequence(first(F.col("start")), first(F.col("end")))))
+    fits = F.when(F.col("label") == "BruteForce", F.col("uri").contains(F.col("path"))).otherwise(F.col("uri").startswith(F.col("path")))
+    host = F.col("host").isNull() | F.col("target").isNull() | (F.col("host") == F.col("target"))
+    j = r.join(e, (F.col("__bucket") == F.col("__wb")) & (F.col("__method") == F.col("__asked")) & F.col("ts").between(F.col("start"), F.col("end")) & fits & host)
+    found = j.groupBy("event_id").agg(F.count_if(F.col("client").eqNullSafe(F.col("attacker"))).alias("a"), F.count_if(~(F.col("client").eqNullSafe(F.col("attacker")))).alias("o"))
     out = events.select("event_id").join(found, "event_id", "left")
     return out.select("event_id", F.coalesce("a", F.lit(0)).alias("requests_attacker"), F.coalesce("o", F.lit(0)).alias("requests_other"))
 
 
+def ground_truth(events: DataFrame, evidence: DataFrame, requests: DataFrame) -> DataFrame:
+    """The layered report: one row an event with flows, requests, levels of evidence and a note.
+
+    Events as for ``attributed_requests``; ``evidence``: event_id, usable_flows, port_coverage, span.
+    """
+    d = events.select("event_id", "label", "attacker").join(attributed_requests(events, requests), "event_id").join(evidence.select("event_id", "usable_flows", "port_coverage", "span"), "event_id", "left")
+    scan = (F.col("label") == "PortScan") & F.col("port_coverage").isNotNull()
+    others = (F.col("label") == "BruteForce") & (F.col("requests_attacker") == 0) & (F.col("requests_other") > 0)
+    note = F.when(others, F.concat(F.col("requests_other").cast("string"), F.lit(" request(s) of others, none of the attacker: not to be credited")))
+    note = note.when(F.col("label") == "DoS", "effect not measured here").when(scan, F.concat(F.lit("port coverage "), F.col("port_coverage").cast("string"), F.lit(" of "), F.col("span").cast("string"))).otherwise("")
+    return evidence_levels(d).select("event_id", "label", "usable_flows", "requests_attacker", "requests_other", "evidence", note.alias("note"))
+
+
 def session_gates(sessions: DataFrame, start: float, end: float, min_ok: int, min_rate: float) -> DataFrame:
     """One row: sessions, succeeded, success_rate, outside the capture, overlapping it, repeated ids, and the verdict."""
     ids = sessions.groupBy("session_id").agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("repeated"))

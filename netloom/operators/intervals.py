@@ -36,7 +36,7 @@ def window_join(flows: DataFrame, windows: DataFrame, keys: list[tuple[str, str]
     """
     timed = in_window(flows["ts"], flows["duration"], windows["start"], windows["end"], min_overlap)
     on = [flows[a] == windows[b] for a, b in keys]
-    if len(windows.limit(BROADCAST_ROWS + 1).collect()) <= BROADCAST_ROWS:
+    if windows.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         condition = timed
         for c in on:
             condition = condition & c
@@ -141,7 +141,7 @@ def event_evidence(flows: DataFrame, windows: DataFrame, min_overlap: float | No
         F.max("last").alias("last_match"),
     )
     out = windows.join(found, "event_id", "left").fillna({"matched_flows": 0, "usable_flows": 0, "ambiguous_flows": 0, "unique_dst_ports": 0})
-    return out.withColumn("port_coverage", F.col("unique_dst_ports") / F.col("span"))
+    return out.withColumn("port_coverage", F.round(F.col("unique_dst_ports") / F.col("span"), 4))
 
 
 def overlap_accounting(flows: DataFrame, windows: DataFrame, min_overlap: float) -> DataFrame:
@@ -150,6 +150,11 @@ def overlap_accounting(flows: DataFrame, windows: DataFrame, min_overlap: float)
     return hit.agg(F.count("*").alias("matched_flows"), F.count_if(F.coalesce("duration", F.lit(0.0)) <= 0).alias("duration_fallback_flows"))
 
 
+def counters(classified: DataFrame, benign: str = "BENIGN") -> DataFrame:
+    """(flows, attacks, ambiguous, without_duration) of classified flows."""
+    return classified.agg(F.count("*").alias("flows"), F.count_if(F.col("label") != benign).alias("attacks"), F.sum("ambiguous").alias("ambiguous"), F.count_if(F.coalesce("duration", F.lit(0.0)) <= 0).alias("without_duration"))
+
+
 def off_window(rows: DataFrame, windows: DataFrame, min_overlap: float | None = None, benign: str = "BENIGN") -> DataFrame:
     """Attack rows (label, ts, duration) that lie in no window of their own class."""
     attacks = rows.filter(F.col("label") != benign)

@@ -31,7 +31,7 @@ def join_accounting(records: DataFrame, known: DataFrame, key: str) -> DataFrame
         F.count_if(F.col("__t").isNotNull() & F.col("__hit").isNull()).alias("orphan"),
         F.count_if(F.col("__t").isNull()).alias("missing_key"),
     )
-    return out.withColumn("join_rate", F.when(F.col("records") > 0, F.col("matching") / F.col("records")).otherwise(F.lit(0.0)))
+    return out.withColumn("join_rate", F.when(F.col("records") > 0, F.round(F.col("matching") / F.col("records"), 4)).otherwise(F.lit(0.0)))
 
 
 def orphans(records: DataFrame, known: DataFrame, key: str, known_key: str | None = None) -> DataFrame:
@@ -100,8 +100,82 @@ def overlaps_predecessor(df: DataFrame, by: list[str], start: str, end: str, tol
     return df.withColumn("previous_end", F.lag(end).over(w)).filter(F.col(start) < F.col("previous_end") - tolerance)
 
 
-def mirrored(flows: DataFrame, client: str, victim: str) -> DataFrame:
-    """(tcp_seen, udp_seen, both_ways): whether flows between two hosts were seen, with replies."""
-    here = (F.col("src") == client) & (F.col("dst") == victim)
-    seen = lambda c: F.coalesce(F.bool_or(here & c), F.lit(False))
-    return flows.agg(seen(F.lower("proto") == "tcp").alias("tcp_seen"), seen(F.lower("proto") == "udp").alias("udp_seen"), seen(F.col("resp_pkts") > 0).alias("both_ways"))
+def mirrored(flows: DataFrame, client: str, victim: str, tcp_port: int | None = None, udp_port: int | None = None) -> DataFrame:
+    """One row: what a sensor saw of flows (src, dst, proto, port, resp_pkts) between two hosts, problems, and confirmed.
+
+    A flow alone may be one-sided; only packets of the response show that both directions are
+    mirrored, on the expected ports where such are given.
+    """
+    forth = (F.col("src") == client) & (F.col("dst") == victim)
+    answered = forth & (F.coalesce("resp_pkts", F.lit(0)) > 0)
+    at = lambda proto, port: answered & (F.lower("proto") == proto) & (F.col("port") == port) if port is not None else F.lit(False)
+    seen = lambda c: F.coalesce(F.bool_or(c), F.lit(False))
+    d = flows.agg(
+        seen(forth).alias("client_to_victim"), seen(answered).alias("victim_responded"), seen((F.col("src") == victim) & (F.col("dst") == client)).alias("victim_to_client"),
+        seen(at("tcp", tcp_port)).alias("tcp_answered"), seen(at("udp", udp_port)).alias("udp_answered"),
+    )
+    problems = [F.when(~F.col("client_to_victim"), "no flow from client to victim").when(~F.col("victim_responded"), "no response was mirrored")]
+    problems += [F.when(~F.col(f"{k}_answered"), f"no answered {k} flow on port {p}") for k, p in (("tcp", tcp_port), ("udp", udp_port)) if p is not None]
+    d = d.withColumn("problems", F.array_compact(F.array(*problems)))
+    return d.withColumn("confirmed", F.size("problems") == 0)
+
+
+def audit_events(audit: DataFrame, events: DataFrame, padding: float = 1.0) -> DataFrame:
+    """(event_id, usable, ambiguous, wrong_label, off_window, unknown) of audit rows (matched_event_id, label, ambiguous, ts, duration) against events.
+
+    Events: event_id, label, start, end. A row that names an event must have its label and touch its
+    window, give or take the padding; rows that name an event nobody declared are ``unknown``.
+    """
+    e = events.select(F.col("event_id").cast("string").alias("__e"), F.col("label").alias("__label"), "start", "end")
+    rows = audit.filter(F.coalesce(F.trim(F.col("matched_event_id")), F.lit("")) != "")
+    j = rows.join(e, F.trim(F.col("matched_event_id")) == F.col("__e"), "full_outer")
+    named, known = F.col("matched_event_id").isNotNull(), F.col("__e").isNotNull()
+    last = F.col("ts") + F.greatest(F.coalesce("duration", F.lit(0.0)), F.lit(0.0))
+    inside = (F.col("ts") <= F.col("end") + padding) & (last >= F.col("start") - padding)
+    clear = F.coalesce(F.col("ambiguous"), F.lit(0)) == 0
+    return j.groupBy(F.coalesce("__e", F.trim("matched_event_id")).alias("event_id")).agg(
+        F.count_if(named & clear).alias("usable"), F.count_if(named & ~clear).alias("ambiguous"),
+        F.count_if(named & known & ~F.col("label").eqNullSafe(F.col("__label"))).alias("wrong_label"),
+        F.count_if(named & known & ~F.coalesce(inside, F.lit(False))).alias("off_window"), F.count_if(named & ~known).alias("unknown"),
+    )
+
+
+def event_bijection(claimed: DataFrame, declared: DataFrame, slack: float = 1.0) -> DataFrame:
+    """(event_id, problem) of events (event_id, label, start, end) that two sides don't agree on: ids, labels, windows within ``slack`` seconds."""
+    a = claimed.select(F.col("event_id").cast("string").alias("a"), F.col("label").alias("la"), F.col("start").alias("sa"), F.col("end").alias("ea"))
+    b = declared.select(F.col("event_id").cast("string").alias("b"), F.col("label").alias("lb"), F.col("start").alias("sb"), F.col("end").alias("eb"))
+    j = a.join(b, F.col("a") == F.col("b"), "full_outer")
+    near = F.coalesce((F.abs(F.col("sa") - F.col("sb")) <= slack) & (F.abs(F.col("ea") - F.col("eb")) <= slack), F.lit(False))
+    problem = F.when(F.col("b").isNull(), "not declared").when(F.col("a").isNull(), "not claimed").when(~F.col("la").eqNullSafe(F.col("lb")), "other label").when(~near, "other window")
+    return j.select(F.coalesce("a", "b").alias("event_id"), problem.alias("problem")).filter("problem is not null")
+
+
+def label_sides(a: DataFrame, b: DataFrame, label: str = "label") -> DataFrame:
+    """(label, side): every label of either frame, and whether ``both`` or only ``a`` or ``b`` has it."""
+    x = a.select(F.col(label).alias("x")).distinct()
+    y = b.select(F.col(label).alias("y")).distinct()
+    j = x.join(y, F.col("x").eqNullSafe(F.col("y")) , "full_outer").withColumns({"ix": F.col("x").isNotNull(), "iy": F.col("y").isNotNull()})
+    return j.select(F.coalesce("x", "y").alias("label"), F.when(F.col("ix") & F.col("iy"), "both").when(F.col("ix"), "a").otherwise("b").alias("side")).filter("label is not null")
+
+
+def without(df: DataFrame, held_out: DataFrame, key: str) -> DataFrame:
+    """The rows of ``df`` whose key the held-out rows lack."""
+    return df.join(held_out.select(F.col(key).alias("__h")), F.col(key).eqNullSafe(F.col("__h")), "left_anti")
+
+
+def members(df: DataFrame, runs: DataFrame, run: str = "run_id") -> DataFrame:
+    """The rows of ``df`` that belong to one of ``runs`` (run_id); their number is the plan's, so they are broadcast when Spark finds them small."""
+    return df.join(runs.select(F.col("run_id").alias("__run")).distinct(), F.col(run) == F.col("__run"), "left_semi")
+
+
+def fallback_rows(df: DataFrame, label: str = "label", duration: str = "duration", benign: str = "BENIGN") -> DataFrame:
+    """(attack_rows, fallback_rows, fallback_rate): attack rows, and those of them that have no positive duration."""
+    attack = F.coalesce(F.col(label) != benign, F.lit(False))
+    d = df.agg(F.count_if(attack).alias("attack_rows"), F.count_if(attack & (F.coalesce(F.col(duration), F.lit(0.0)) <= 0)).alias("fallback_rows"))
+    return d.withColumn("fallback_rate", F.when(F.col("attack_rows") > 0, F.col("fallback_rows") / F.col("attack_rows")).otherwise(F.lit(0.0)))
+
+
+def absent_digests(wanted: DataFrame, found: DataFrame, digest: str = "sha256") -> DataFrame:
+    """Rows of ``wanted`` (a word list each, say) whose digest no found file has, whatever its case."""
+    f = found.select(F.lower(F.col(digest)).alias("__d"))
+    return wanted.join(f, F.lower(F.col(digest)) == F.col("__d"), "left_anti")

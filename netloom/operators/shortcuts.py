@@ -6,11 +6,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from netloom.operators.statistics import auc, medians, running, with_totals
+
 
 def constants(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Columns with one distinct value at most; missing counts as a value."""
-    one = df.agg(*[F.count_distinct(F.coalesce(F.col(c).cast("string"), F.lit("None"))).alias(f"n_{i}") for i, c in enumerate(columns)])
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"n_{i}").alias("distinct_values")) for i, c in enumerate(columns)])
+    """Columns with one distinct value at most; missing counts as a value.
+
+    A column has one value if its least and greatest text agree and either none or all rows lack it.
+    """
+    text = lambda c: F.col(c).cast("string")
+    one = df.agg(F.count("*").alias("rows"), *[f(text(c)).alias(f"{n}_{i}") for i, c in enumerate(columns) for n, f in (("lo", F.min), ("hi", F.max), ("n", F.count))])
+    kinds = lambda i: F.when(F.col(f"n_{i}") == 0, F.least("rows", F.lit(1))).when((F.col(f"lo_{i}") == F.col(f"hi_{i}")) & ((F.col(f"n_{i}") == F.col("rows")) | (F.col(f"lo_{i}") == "None")), 1).otherwise(2)
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), kinds(i).cast("long").alias("distinct_values")) for i, c in enumerate(columns)])
     return one.select(F.explode(cells).alias("v")).select("v.*").filter("distinct_values <= 1")
 
 
@@ -60,13 +67,12 @@ def quantile_edges(df: DataFrame, columns: list[str], bins: int = 32) -> DataFra
     Works on distinct values with running counts: an edge is a value that one of the places falls on.
     """
     c = numeric_cells(df.withColumn("__l", F.lit("")), columns, "__l").filter("value is not null").groupBy("feature", "value").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("feature").orderBy("value")
-    c = c.withColumns({"upto": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)), "total": F.sum("n").over(Window.partitionBy("feature"))})
+    c = with_totals(running(c, ["feature"], "value", ["n"]), ["feature"], {"total": F.sum("n")})
     step = F.greatest(F.floor(F.col("total") / bins), F.lit(1))
-    # Places (from 0) step, 2 step, ... that lie in [upto - n, upto).
-    first = F.greatest(F.ceil((F.col("upto") - F.col("n")) / step) * step, step)
-    on = c.filter(first < F.col("upto"))
-    on = on.withColumn("k", F.row_number().over(w)).filter(F.col("k") <= bins - 1)
+    # Places (from 0) step, 2 step, ... that lie in a value's places: few values have one.
+    first = F.greatest(F.ceil(F.col("n_before") / step) * step, step)
+    on = c.filter(first < F.col("n_before") + F.col("n"))
+    on = on.withColumn("k", F.row_number().over(Window.partitionBy("feature").orderBy("value"))).filter(F.col("k") <= bins - 1)
     return on.groupBy("feature").agg(F.sort_array(F.collect_list("value")).alias("edges"))
 
 
@@ -101,10 +107,9 @@ def numeric(df: DataFrame, columns: list[str], label: str, bins: int = 32) -> Da
 
 def numeric_auc(df: DataFrame, columns: list[str], positive: Column) -> DataFrame:
     """(feature, auc): folded AUC of each column, missing values at the median; constant ones are left out."""
-    from netloom.operators.statistics import auc
-
     c = df.select(positive.alias("pos"), F.explode(F.array(*[F.struct(F.lit(x).alias("feature"), F.col(x).cast("double").alias("value")) for x in columns])).alias("v")).select("pos", "v.*")
-    shape = c.groupBy("feature").agg(F.median("value").alias("mid"), F.count("value").alias("n"), F.stddev_pop("value").alias("sd")).filter("n >= 5 and sd > 0")
+    shape = c.groupBy("feature").agg(F.count("value").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).filter("n >= 5 and lo < hi")
+    shape = shape.join(medians(c, ["feature"], "value", "mid"), "feature")
     full = c.join(F.broadcast(shape.select("feature", "mid")), "feature").withColumn("value", F.coalesce("value", "mid"))
     return auc(full, ["feature"], "value", F.col("pos")).select("feature", F.greatest("auc", 1 - F.col("auc")).alias("auc"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from netloom.sources.shared import stored
+
 
 def by_plan(df: DataFrame, plan: dict[int, str], run: str = "run_id") -> DataFrame:
     """``df`` with the split that a campaign plans for each run; runs that it lacks are null."""
@@ -23,17 +25,24 @@ def hold_out_runs(df: DataFrame, run: str = "run_id", test: int | None = None, v
     return d.withColumn("split", split.otherwise("train")).drop("__top")
 
 
-def ranks(df: DataFrame, order: list[str], buckets: int = 64) -> DataFrame:
+def real_split(df: DataFrame, run: str = "run_id", time: str = "timestamp", tie: str | None = None, seed: int = 0) -> tuple[DataFrame, str]:
+    """``df`` with split, and how: the last run tests where there are several, else the latest 30 % by time, else 30 % by a hash."""
+    if run in df.columns and df.filter(F.col(run).isNotNull()).select(run).distinct().limit(2).count() > 1:
+        return hold_out_runs(df, run), "last run"
+    if time in df.columns:
+        return by_time(df, time, tie or time, 0.3), "latest 30 % by time"
+    row = F.xxhash64(F.lit(seed), *[F.col(c) for c, kind in df.dtypes if "map<" not in kind])
+    return df.withColumn("split", F.when(F.pmod(row, F.lit(1000)) < 300, "test").otherwise("train")), "30 % by hash"
+
+
+def ranks(df: DataFrame, order: list[str]) -> DataFrame:
     """``df`` with ``rank`` from 1 by a total order, without gathering all rows in one task.
 
-    Rows are range-sorted into buckets by the first order column; a bucket's ranks start behind the
-    counts of earlier buckets. Buckets come from quantiles of the data, one row each.
+    Rows are dealt in ranges of all order columns, so ties of the first are no hot range, and
+    written with their range; a range's ranks start behind the counts of earlier ranges, of which
+    there is one row each.
     """
-    first = order[0]
-    cuts = df.select(F.percentile_approx(F.col(first), [i / buckets for i in range(1, buckets)], 10000).alias("c")).first()["c"] or []
-    bounds = F.array(*[F.lit(c) for c in sorted(set(cuts))]) if cuts else None
-    bucket = F.size(F.filter(bounds, lambda b: b < F.col(first))) if bounds is not None else F.lit(0)
-    d = df.withColumn("__b", F.when(F.col(first).isNull(), -1).otherwise(bucket))
+    d = stored(df.repartitionByRange(*order).withColumn("__b", F.spark_partition_id()), "ranges")
     counts = d.groupBy("__b").agg(F.count("*").alias("__n"))
     before = counts.select("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
     inside = F.row_number().over(Window.partitionBy("__b").orderBy(*order))
@@ -47,10 +56,18 @@ def by_time(df: DataFrame, time: str, tie: str, test_share: float) -> DataFrame:
 
 
 def chronology(df: DataFrame, time: str, split: str = "split") -> DataFrame:
-    """One row: bounds by split and whether train < val < test strictly; null where a bound is unknown."""
-    at = lambda f, s: f(F.when(F.col(split) == s, F.col(time)))
-    d = df.agg(at(F.max, "train").alias("train_max"), at(F.min, "val").alias("val_min"), at(F.max, "val").alias("val_max"), at(F.min, "test").alias("test_min"))
-    return d.withColumn("ordered", (F.col("train_max") < F.col("val_min")) & (F.col("val_min") <= F.col("val_max")) & (F.col("val_max") < F.col("test_min")))
+    """One row: bounds by split and whether train < val < test strictly.
+
+    Without validation rows, train must lie before test. Times that are null or not finite don't
+    count; where a needed bound is unknown, ``ordered`` is null.
+    """
+    t = F.col(time).cast("double")
+    fine = F.when(F.abs(t) < float("inf"), t)
+    at = lambda f, s: f(F.when(F.col(split) == s, fine))
+    d = df.agg(at(F.max, "train").alias("train_max"), at(F.min, "val").alias("val_min"), at(F.max, "val").alias("val_max"), at(F.min, "test").alias("test_min"), F.count_if(F.col(split) == "val").alias("__val"))
+    three = (F.col("train_max") < F.col("val_min")) & (F.col("val_max") < F.col("test_min"))
+    known = F.col("train_max").isNotNull() & F.col("test_min").isNotNull() & ((F.col("__val") == 0) | F.col("val_min").isNotNull())
+    return d.withColumn("ordered", F.when(known, F.when(F.col("__val") == 0, F.col("train_max") < F.col("test_min")).otherwise(three))).drop("__val")
 
 
 def manifest(df: DataFrame, time: str, run: str = "run_id", split: str = "split") -> DataFrame:

@@ -2,21 +2,67 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+#: Cells an octave of values is cut in by ``cell``, and what lies above the cells of all doubles below 1.
+FINE, ABOVE = 4096, 1200
+
+
+def cell(value: Column) -> Column:
+    """A whole number that never falls where the value grows: by the value's logarithm, the sign apart.
+
+    It depends on the value alone, so rows can be dealt by it without a look at the data.
+    """
+    size = F.floor((F.log2(F.abs(value)) + ABOVE) * FINE) + 1
+    top = F.lit(2 * ABOVE * FINE)
+    size = F.when(F.abs(value) == float("inf"), top).otherwise(size)
+    return F.when(F.isnan(value), top + 1).when(value == 0, 0).when(value > 0, size).otherwise(-size).cast("long")
+
+
+def running(df: DataFrame, by: list[str], value: str, columns: list[str], descending: bool = False) -> DataFrame:
+    """``df``, with one row a value in each group, and ``<column>_before``: sums over the rows with a smaller (greater) value.
+
+    A group may hold most rows, and as many values as rows. So sums run inside cells of values,
+    which are many tasks, and the sums of earlier cells are added: one row a cell.
+    """
+    d = df.withColumn("__cell", cell(F.col(value).cast("double")) * (-1 if descending else 1))
+    order = F.desc(value) if descending else F.asc(value)
+    inside = Window.partitionBy(*by, "__cell").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = d.groupBy(*by, "__cell").agg(*[F.sum(c).alias(f"__s_{c}") for c in columns])
+    cells = cells.select(*by, "__cell", *[F.coalesce(F.sum(f"__s_{c}").over(earlier), F.lit(0)).alias(f"__e_{c}") for c in columns])
+    d = d.withColumns({f"__i_{c}": F.coalesce(F.sum(c).over(inside), F.lit(0)) for c in columns})
+    on = [*by, "__cell"]
+    out = d.join(cells, on) if all(not df.schema[c].nullable for c in by) else d.alias("d").join(cells.alias("c"), [F.col(f"d.{k}").eqNullSafe(F.col(f"c.{k}")) for k in on]).select("d.*", *[f"c.__e_{c}" for c in columns])
+    return out.withColumns({f"{c}_before": F.col(f"__i_{c}") + F.col(f"__e_{c}") for c in columns}).drop("__cell", *[f"__{x}_{c}" for x in "ie" for c in columns])
+
+
+def with_totals(df: DataFrame, by: list[str], totals: dict[str, Column]) -> DataFrame:
+    """``df`` with aggregates of its groups beside each row."""
+    sums = df.groupBy(*by).agg(*[c.alias(n) for n, c in totals.items()])
+    return df.alias("d").join(sums.alias("t"), [F.col(f"d.{k}").eqNullSafe(F.col(f"t.{k}")) for k in by]).select("d.*", *[f"t.{n}" for n in totals]) if by else df.crossJoin(sums)
+
+
+def at_places(df: DataFrame, by: list[str], value: str, places: dict[str, Column]) -> DataFrame:
+    """(by, name ...): the values at places from 0 of each group in ascending order, places being expressions over ``n``; nulls are left out."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("c"))
+    d = with_totals(running(counts, by, value, ["c"]), by, {"n": F.sum("c")})
+    here = lambda p: (F.col("c_before") <= p) & (p < F.col("c_before") + F.col("c"))
+    return d.groupBy(*by).agg(*[F.min(F.when(here(p), F.col(value))).alias(name) for name, p in places.items()])
+
+
 def nearest_rank(df: DataFrame, by: list[str], value: str, q: float, name: str) -> DataFrame:
     """(by, name): the value at index round-half-even(q (n - 1)) of each group in ascending order; nulls are left out."""
-    some = df.filter(F.col(value).isNotNull())
-    counts = some.groupBy(*by, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*by).orderBy(value)
-    d = counts.withColumn("upto", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("n", F.sum("c").over(Window.partitionBy(*by)))
-    at = F.least(F.col("n") - 1, F.bround(q * (F.col("n") - 1)))
-    return d.filter(F.col("upto") > at).groupBy(*by).agg(F.min(value).alias(name))
+    return at_places(df, by, value, {name: F.least(F.col("n") - 1, F.bround(q * (F.col("n") - 1)))})
+
+
+def medians(df: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """(by, name): the mean of the two middle values of each group; nulls are left out."""
+    middle = at_places(df, by, value, {"__lo": F.floor((F.col("n") - 1) / 2), "__hi": F.ceil((F.col("n") - 1) / 2)})
+    return middle.select(*by, ((F.col("__lo") + F.col("__hi")) / 2).alias(name))
 
 
 def long_form(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
@@ -27,30 +73,37 @@ def long_form(df: DataFrame, columns: list[str], keep: list[str]) -> DataFrame:
 def auc(scores: DataFrame, by: list[str], value: str, positive: Column) -> DataFrame:
     """(by, n_pos, n_neg, auc): Mann-Whitney AUC with ties averaged; null without both classes."""
     counts = scores.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("m"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    d = counts.withColumn("below", F.coalesce(F.sum("m").over(w), F.lit(0)))
-    g = d.groupBy(*by).agg(F.sum("p").alias("n_pos"), F.sum("m").alias("n_neg"), F.sum((2 * F.col("below") + F.col("m")) * F.col("p")).alias("u2"))
-    return g.select(*by, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("u2") / (2 * F.col("n_pos") * F.col("n_neg"))).alias("auc"))
+    d = running(counts, by, value, ["m"])
+    twice = (2 * F.col("m_before") + F.col("m")).cast("double") * F.col("p")
+    g = d.groupBy(*by).agg(F.sum("p").alias("n_pos"), F.sum("m").alias("n_neg"), F.sum(twice).alias("u2"))
+    return g.select(*by, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("u2") / (2.0 * F.col("n_pos") * F.col("n_neg"))).alias("auc"))
 
 
 def average_precision(scores: DataFrame, by: list[str], value: str, positive: Column) -> DataFrame:
     """(by, average_precision): the sum of precision over recall steps at each distinct score, best first."""
-    counts = scores.groupBy(*by, value).agg(F.count_if(positive).alias("p"), F.count("*").alias("c"))
-    w = Window.partitionBy(*by).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = counts.withColumns({"tp": F.sum("p").over(w), "seen": F.sum("c").over(w)})
-    g = d.groupBy(*by).agg(F.sum(F.col("p") * F.col("tp") / F.col("seen")).alias("s"), F.sum("p").alias("n"))
+    counts = scores.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count_if(positive).alias("p"), F.count("*").alias("c"))
+    d = running(counts, by, value, ["p", "c"], descending=True)
+    precision = (F.col("p_before") + F.col("p")) / (F.col("c_before") + F.col("c"))
+    g = d.groupBy(*by).agg(F.sum(F.col("p") * precision).alias("s"), F.sum("p").alias("n"))
     return g.select(*by, F.when(F.col("n") > 0, F.col("s") / F.col("n")).alias("average_precision"))
 
 
 def ks(df: DataFrame, by: list[str], value: str, side: str, a: str, b: str, least: int = 5) -> DataFrame:
-    """(by, n_a, n_b, ks): the largest gap of the two sides' empirical distributions; needs ``least`` values a side."""
+    """(by, n_a, n_b, ks, p_value): the largest gap of the two sides' empirical distributions; needs ``least`` values a side."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count_if(F.col(side) == a).alias("x"), F.count_if(F.col(side) == b).alias("y"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*by)
-    d = counts.withColumns({"fx": F.sum("x").over(w), "fy": F.sum("y").over(w), "n_a": F.sum("x").over(whole), "n_b": F.sum("y").over(whole)})
-    gap = F.abs(F.col("fx") / F.nullif(F.col("n_a"), F.lit(0)) - F.col("fy") / F.nullif(F.col("n_b"), F.lit(0)))
-    g = d.groupBy(*by).agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.max(gap).alias("d"))
-    return g.select(*by, "n_a", "n_b", F.when((F.col("n_a") >= least) & (F.col("n_b") >= least), F.col("d")).alias("ks"))
+    d = with_totals(running(counts, by, value, ["x", "y"]), by, {"n_a": F.sum("x"), "n_b": F.sum("y")})
+    share = lambda c, n: (F.col(f"{c}_before") + F.col(c)) / F.nullif(F.col(n), F.lit(0))
+    g = d.groupBy(*by).agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.max(F.abs(share("x", "n_a") - share("y", "n_b"))).alias("d"))
+    enough = (F.col("n_a") >= least) & (F.col("n_b") >= least)
+    return g.select(*by, "n_a", "n_b", F.when(enough, F.col("d")).alias("ks"), F.when(enough, ks_p_column("d", "n_a", "n_b")).alias("p_value"))
+
+
+def ks_p_column(d: str, n: str, m: str) -> Column:
+    """``ks_p_value`` as an expression."""
+    x = F.col(d) * F.sqrt(F.col(n).cast("double") * F.col(m) / (F.col(n) + F.col(m)))
+    terms = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda k: F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * x * x))
+    total = F.aggregate(terms, F.lit(0.0), lambda s, t: s + t)
+    return F.when(x < 0.2, 1.0).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)))
 
 
 def ks_p_value(d: float, n: int, m: int) -> float:
@@ -159,5 +212,7 @@ def support(df: DataFrame, rows: str, columns: str, names: list[str]) -> DataFra
     return df.groupBy(rows).agg(*[F.count_if(F.col(columns) == n).alias(n) for n in names])
 
 
-def worst(conditions: list[Column]) -> Column:
-    return reduce(F.greatest, conditions)
+def balance(df: DataFrame, label: str, benign: str = "BENIGN") -> DataFrame:
+    """``prevalence`` of each label, and the share of attack rows over all."""
+    attacks = df.agg(F.avg((F.col(label) != benign).cast("int")).alias("attack_share"))
+    return prevalence(df, label).crossJoin(attacks)

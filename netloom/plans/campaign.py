@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import ipaddress
 import json
 import math
 import re
 from dataclasses import dataclass, field
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netloom.functions import features as ft
+from netloom.functions.parse import key_values
 from netloom.operators import contracts, duplicates, intervals, joins, splits
 from netloom.operators.contracts import Rule
 
@@ -98,7 +100,6 @@ def load_manifest(text: str, reserved: tuple[int, ...] = (), configs: int | None
         _check(type(config) is int and config >= 0 and (configs is None or config < configs), f"run {name} has no known config")
         _check(config not in reserved or spec["split"] == "test", f"run {name} uses a config reserved for tests")
         _check(seed is None or (type(seed) is int and seed >= 0), f"run {name} has a bad seed")
-        _check(not reproducible or (seed is not None and day is not None), f"run {name} lacks seed or day")
         if day is not None:
             try:
                 date.fromisoformat(str(day))
@@ -110,9 +111,95 @@ def load_manifest(text: str, reserved: tuple[int, ...] = (), configs: int | None
     _check(not used["test"] & (used["train"] | used["validation"]), "a config is in test and elsewhere")
     for a, b in (("train", "test"), ("train", "validation"), ("validation", "test")):
         _check(not days[a] or not days[b] or max(days[a]) <= min(days[b]), f"days of {a} lie after {b}")
+    _check_attacks(runs, labels)
+    _check_policies(m)
+    if reproducible:
+        for name, spec in runs.items():
+            _check_reproducible(name, spec)
+    return m
+
+
+def _check_attacks(runs: dict, labels: list) -> None:
+    """What runs plan must be attacks that the campaign expects, and all of them if every run has a plan."""
+    planned: set[str] = set()
+    for name, spec in runs.items():
+        attacks = spec.get("attacks")
+        if attacks is None:
+            continue
+        _check(isinstance(attacks, list) and bool(attacks), f"run {name} has an empty plan")
+        _check(len(set(map(str, attacks))) == len(attacks), f"run {name} plans an attack twice")
+        _check(all(a in ft.LABELS and a != "BENIGN" for a in attacks), f"run {name} plans what is no attack")
+        _check(set(attacks) <= set(labels), f"run {name} plans what the campaign does not expect")
+        planned |= set(attacks)
+    if all(spec.get("attacks") is not None for spec in runs.values()):
+        _check(set(labels) - {"BENIGN"} <= planned, "an expected attack is planned by no run")
+
+
+def _share(x: object, top: float = 1.0) -> bool:
+    return type(x) in (int, float) and math.isfinite(x) and 0 <= x <= top
+
+
+def _positive(x: object) -> bool:
+    return type(x) is int and x >= 1
+
+
+# Fields of the release and the benign policy.
+RELEASE_LIMITS = {"max_domain_auc": 1.0, "max_mean_js": 1.0, "max_cat_js": 1.0, "max_cond_js": 1.0, "max_missing_rate_difference": 1.0, "min_tstr_reference_ratio": 1e6, "min_reference_f1": 1.0}
+RELEASE_OTHERS = ("min_overall_realism_quality", "min_domain_test_samples_per_class")
+BENIGN_FLAGS = ("require_benign_jsonl", "require_browser_evidence")
+BENIGN_FIELDS = ("min_benign_flows", "min_successful_sessions", "min_success_rate", *BENIGN_FLAGS)
+PROFILES = {"strict": STRICT}
+
+
+def _check_policies(m: dict) -> None:
+    """The optional policies of a manifest; a profile's name is replaced by its fields."""
+    if m.get("required_policy_profile") is not None:
+        _check(m["required_policy_profile"] in PROFILES, "required_policy_profile is unknown")
+        _check("required_labeling_policy" not in m, "a profile and a policy are both given")
+        m["required_labeling_policy"] = dict(PROFILES[m["required_policy_profile"]])
     if "required_labeling_policy" in m:
         check_policy_shape(m["required_labeling_policy"])
-    return m
+    if "benign_quality_policy" in m:
+        p = m["benign_quality_policy"]
+        _check(isinstance(p, dict) and set(p) <= set(BENIGN_FIELDS), "benign_quality_policy has unknown fields")
+        _check(_positive(p.get("min_benign_flows")), "min_benign_flows is no positive number")
+        _check(p.get("min_successful_sessions") is None or _positive(p["min_successful_sessions"]), "min_successful_sessions is no positive number")
+        _check(p.get("min_success_rate") is None or _share(p["min_success_rate"]), "min_success_rate is no share")
+        _check(all(p.get(k) is None or type(p[k]) is bool for k in BENIGN_FLAGS), "a flag of benign_quality_policy is no boolean")
+    for k in ("max_cross_split_duplicate_rate", "max_domain_auc", "max_duration_fallback_rate"):
+        _check(k not in m or _share(m[k]), f"{k} is no share")
+    _check(m.get("required_min_window_overlap") is None or _share(m["required_min_window_overlap"]), "required_min_window_overlap is no share")
+    _check("max_duration_fallback_rate" not in m or m.get("required_min_window_overlap") is not None, "max_duration_fallback_rate needs a window overlap")
+    _check("min_overall_realism_quality" not in m, "min_overall_realism_quality belongs in release_quality_policy")
+    _check("min_domain_test_samples_per_class" not in m or _positive(m["min_domain_test_samples_per_class"]), "min_domain_test_samples_per_class is no positive number")
+    if "release_quality_policy" in m:
+        p = m["release_quality_policy"]
+        _check(isinstance(p, dict) and set(p) == {*RELEASE_LIMITS, *RELEASE_OTHERS}, "release_quality_policy has not all its fields, or others")
+        _check(not any(k in m for k in ("max_domain_auc", "min_domain_test_samples_per_class")), "a release limit is given twice")
+        for k, top in RELEASE_LIMITS.items():
+            _check(_share(p[k], top), f"{k} is out of range")
+        _check(p["min_overall_realism_quality"] in ("moderate", "strong"), "min_overall_realism_quality is neither moderate nor strong")
+        _check(_positive(p["min_domain_test_samples_per_class"]), "min_domain_test_samples_per_class is no positive number")
+
+
+def _check_reproducible(name: str, spec: dict) -> None:
+    """What a run needs so that it can be made again."""
+    _check(spec.get("seed") is not None and spec.get("day") is not None, f"run {name} lacks seed or day")
+    _check(isinstance(spec.get("attacks"), list) and bool(spec["attacks"]), f"run {name} has no plan")
+    addresses = {}
+    for k in ("target_ip", "attacker_ip"):
+        try:
+            addresses[k] = ipaddress.IPv4Address(str(spec.get(k) or "").strip())
+        except ValueError:
+            raise ManifestError(f"run {name}: {k} is no IPv4 address") from None
+    _check(addresses["target_ip"] != addresses["attacker_ip"], f"run {name}: attacker and target are one")
+    host = str(spec.get("target_host") or "").strip()
+    _check(0 < len(host) <= 253 and all(re.fullmatch(r"[A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?", x) for x in host.split(".")), f"run {name}: target_host is no host name")
+    _check(_positive(spec.get("timeout")), f"run {name}: timeout is no positive number")
+    if "DoS" in spec["attacks"]:
+        _check(_positive(spec.get("dos_seconds")), f"run {name}: dos_seconds is no positive number")
+    if "BruteForce" in spec["attacks"] and spec.get("wordlists_pinned") is not False:
+        _check(all(re.fullmatch(r"[0-9a-fA-F]{64}", str(spec.get(k) or "")) for k in ("userlist_sha256", "passlist_sha256")), f"run {name}: word lists are not pinned")
 
 
 def manifest_runs(spark: SparkSession, manifest: dict) -> DataFrame:
@@ -130,6 +217,70 @@ def annotation_plan_gaps(annotations: DataFrame, runs: DataFrame) -> DataFrame:
     return j.select("run_id", "label", side.alias("side")).filter("side is not null").distinct()
 
 
+def annotation_campaign_gaps(annotations: DataFrame, runs: DataFrame, plan: DataFrame, campaign_id: str, campaign_sha256: str, complete: bool = True) -> DataFrame:
+    """(event_id, field): cells of annotation rows that are not what the campaign says.
+
+    Each row must name the campaign, its digest, and the run's config and split, and hit the hosts
+    that the run pins. ``plan``: run_id, label, protocol, tool, target_port, argv (null where any
+    path may stand), parameters (a map). The command's structured arguments must be there, be of
+    the plan's tool and number, be no flag where any path may stand, and join to the written command
+    as a shell would quote them; with ``complete`` they and the parameters must be the planned ones.
+    """
+    r = runs.select(F.col("run_id").alias("__run"), *[F.col(c).alias(f"__{c}") for c in ("config_id", "split", "target_ip", "target_host", "attacker_ip")])
+    p = plan.select(F.col("run_id").alias("__prun"), F.col("label").alias("__plabel"), *[F.col(c).alias(f"__p_{c}") for c in ("protocol", "tool", "target_port", "argv", "parameters")])
+    a = annotations.withColumn("__id", F.trim("run_id").try_cast("int"))
+    d = a.join(r, F.col("__id") == F.col("__run"), "left").join(p, (F.col("__id") == F.col("__prun")) & (F.trim("label") == F.col("__plabel")), "left")
+    cell = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    argv = F.from_json("command_argv", "array<string>")
+    tool = lambda x: F.lower(F.regexp_extract(x, r"([^/]*)$", 1))
+    known, planned = F.col("__run").isNotNull(), F.col("__p_argv").isNotNull()
+    same_size = F.size(argv) == F.size("__p_argv")
+    # A place of the plan that is null may hold any path: something that is there and is no flag.
+    wild = F.exists(F.arrays_zip(argv.alias("a"), F.col("__p_argv").alias("b")), lambda z: z["b"].isNull() & ((F.coalesce(z["a"], F.lit("")) == "") | F.coalesce(z["a"], F.lit("")).startswith("-")))
+    other = F.exists(F.arrays_zip(argv.alias("a"), F.col("__p_argv").alias("b")), lambda z: z["b"].isNotNull() & ~z["a"].eqNullSafe(z["b"]))
+    pinned = lambda c, m: F.coalesce(F.col(f"__{m}"), F.lit("")).isin("") | (cell(c) == F.col(f"__{m}"))
+    bad = [
+        ("run_id", ~known), ("campaign_id", cell("campaign_id") != campaign_id), ("campaign_sha256", cell("campaign_sha256") != campaign_sha256),
+        ("config_id", known & (cell("config_id") != F.col("__config_id").cast("string"))), ("split", known & (cell("split") != F.col("__split"))),
+        ("target_ip", known & ~pinned("target_ip", "target_ip")), ("target_hostname", known & ~pinned("target_hostname", "target_host")), ("attacker_ip", known & ~pinned("attacker_ip", "attacker_ip")),
+        *[(c, planned & (F.lower(cell(c)) != F.col(f"__p_{c}"))) for c in ("protocol", "target_port")], ("tool", planned & (tool(cell("tool")) != tool(F.col("__p_tool")))),
+        ("command_argv", planned & (argv.isNull() | F.exists(argv, lambda x: x.isNull()) | ~same_size | (tool(F.get(argv, F.lit(0))) != tool(F.get("__p_argv", F.lit(0)))) | wild)),
+        ("command", planned & (cell("command") != "") & (F.col("command") != shell_joined(argv))),
+    ]
+    if complete:
+        bad += [("command_argv value", planned & argv.isNotNull() & F.coalesce(same_size & other, F.lit(False))), ("parameters", F.col("__p_parameters").isNotNull() & ~same_maps(key_values("parameters"), F.col("__p_parameters")))]
+    found = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(True)), name) for name, c in bad]))
+    return d.select(F.col("event_id"), F.explode(found).alias("field"))
+
+
+def same_maps(a: Column, b: Column) -> Column:
+    """Whether two maps hold the same entries; null is no map."""
+    entries = lambda m: F.array_sort(F.map_entries(m))
+    return F.coalesce(entries(a) == entries(b), F.lit(False))
+
+
+def shell_joined(argv: Column) -> Column:
+    """Arguments as one command line, quoted where a shell needs it."""
+    quote = lambda x: F.when(x == "", "''").when(x.rlike(r"^[A-Za-z0-9_@%+=:,./-]+$"), x).otherwise(F.concat(F.lit("'"), F.replace(x, F.lit("'"), F.lit("'\"'\"'")), F.lit("'")))
+    return F.array_join(F.transform(argv, quote), " ")
+
+
+STATUS = (
+    "attempt_id string, code_version string, status_schema_version string, status string, run_id int, split_ready_sha256 string, campaign_id string, campaign_sha256 string, config_id int, split string, "
+    "labeling_policy struct<use_failed:boolean, allow_empty:boolean, ambiguous_policy:string, allow_overlapping_windows:boolean, ignore_annotation_campaign:boolean, min_matches_per_event:int, min_port_coverage:double, require_ip_bytes:boolean, require_ssl_log:boolean, require_quic_log:boolean, min_ssl_join_rate:double, min_quic_join_rate:double, window_padding_ms:int>, "
+    "diagnostic boolean, diagnostic_reasons array<string>, min_window_overlap double, overlap_accounting struct<matched_flows:bigint, duration_fallback_flows:bigint>, "
+    "ssl_join struct<records:bigint, records_matching_conn:bigint, orphan_records:bigint, missing_uid_records:bigint, join_rate:double>, quic_join struct<records:bigint, records_matching_conn:bigint, orphan_records:bigint, missing_uid_records:bigint, join_rate:double>, "
+    "ip_bytes_fallback bigint, flows_written_ml bigint, flows_audit bigint, flows_dropped_ambiguous bigint, class_counts_split_ready map<string,bigint>, input_hashes map<string,string>, output_hashes map<string,string>, files map<string,string>, "
+    "events map<string,struct<label:string, usable_flows:bigint, matched_flows:bigint, ambiguous_flows:bigint, unique_dst_ports:bigint, port_range_width:bigint, port_coverage:double, first_match:double, last_match:double, window_start:double, window_end:double>>, "
+    "annotation_scenario_version string, annotation_orchestrator_version string"
+)
+
+
+def parse_statuses(texts: DataFrame) -> DataFrame:
+    """Run statuses from their JSON texts (text); a text that is no such object is an error."""
+    return texts.select(F.from_json("text", STATUS, {"mode": "FAILFAST"}).alias("s")).select("s.*")
+
+
 def status_events(statuses: DataFrame) -> DataFrame:
     """One row for each event of each run status (run_id, labeling_policy, events map)."""
     return statuses.select("run_id", F.col("labeling_policy.allow_overlapping_windows").alias("overlapping"), F.explode("events").alias("event_id", "e")).select("run_id", "overlapping", "event_id", "e.*")
@@ -152,8 +303,12 @@ def event_rules() -> list[Rule]:
     ]
 
 
-def status_rules() -> list[Rule]:
-    """What a run status must fulfil as a whole: join blocks close, flows add up, reasons match the verdict."""
+def status_rules(columns: list[str] | None = None, versions: dict[str, list[str]] | None = None) -> list[Rule]:
+    """What a run status must fulfil as a whole: join blocks close, flows add up, reasons match the verdict.
+
+    With the ``columns`` of a full status (and the ``versions`` that are supported, by field) the
+    rules of an official one come too.
+    """
     c = F.col
     rules = [Rule("status: not success", ~F.coalesce(c("status") == "success", F.lit(False))), Rule("split_ready_sha256: no digest", ~F.coalesce(c("split_ready_sha256").rlike("^[0-9a-fA-F]{64}$"), F.lit(False)))]
     for block in ("ssl_join", "quic_join"):
@@ -163,17 +318,72 @@ def status_rules() -> list[Rule]:
             Rule(f"{block}: does not close", ~F.coalesce(b("records_matching_conn") + F.coalesce(b("orphan_records"), F.lit(0)) + F.coalesce(b("missing_uid_records"), F.lit(0)) == b("records"), F.lit(False))),
             Rule(f"{block}: rate is off", ~F.coalesce(F.abs(b("join_rate") - rate) <= 1.5e-4, F.lit(False))),
         ]
-    written = F.aggregate(F.map_values("class_counts_split_ready"), F.lit(0).cast("long"), lambda s, x: s + x)
-    return [
-        *rules, Rule("flows: audit is not written plus dropped", ~F.coalesce(c("flows_audit") == c("flows_written_ml") + c("flows_dropped_ambiguous"), F.lit(False))),
-        Rule("class counts: not what was written", ~F.coalesce(written == c("flows_written_ml"), F.lit(False))),
+    total = lambda m: F.aggregate(F.map_values(m), F.lit(0).cast("long"), lambda s, x: s + x)
+    rules += [
+        Rule("flows: audit is not written plus dropped", ~F.coalesce(c("flows_audit") == c("flows_written_ml") + c("flows_dropped_ambiguous"), F.lit(False))),
+        Rule("class counts: not what was written", ~F.coalesce(total("class_counts_split_ready") == c("flows_written_ml"), F.lit(False))),
         Rule("diagnostic: not what the reasons say", ~F.coalesce(c("diagnostic") == (F.size("diagnostic_reasons") > 0), F.lit(False))),
     ]
+    return rules if columns is None else rules + official_status_rules(columns, versions or {})
+
+
+def official_status_rules(columns: list[str], versions: dict[str, list[str]]) -> list[Rule]:
+    """What an official status must fulfil beyond its sums: identity, digests, gates of its own policy, overlap accounting, evidence for each class."""
+    c = F.col
+    p = lambda k: c(f"labeling_policy.{k}")
+    none = lambda x: F.coalesce(F.trim(x), F.lit("")) == ""
+    digest = lambda x: F.coalesce(x.rlike("^[0-9a-fA-F]{64}$"), F.lit(False))
+    of = lambda m, k: F.try_element_at(c(m), F.lit(k))
+    keys = lambda m, names: F.coalesce(F.array_sort(F.map_keys(m)) == F.array(*[F.lit(n) for n in sorted(names)]), F.lit(False))
+    events = F.map_values("events")
+    flat = ~F.coalesce(p("allow_overlapping_windows"), F.lit(False))
+    matched = F.aggregate(events, F.lit(0).cast("long"), lambda s, e: s + F.coalesce(e["matched_flows"], F.lit(0)))
+    most = F.coalesce(F.array_max(F.transform(events, lambda e: e["matched_flows"])), F.lit(0))
+    mine, fell, overlap = c("overlap_accounting.matched_flows"), c("overlap_accounting.duration_fallback_flows"), c("min_window_overlap")
+    attacks = F.map_filter("class_counts_split_ready", lambda k, v: k.isin(*[x for x in ft.LABELS if x != "BENIGN"]))
+    usable = lambda k: F.aggregate(F.filter(events, lambda e: e["label"] == k), F.lit(0).cast("long"), lambda s, e: s + F.coalesce(e["usable_flows"], F.lit(0)))
+    told = F.array_distinct(F.transform(events, lambda e: e["label"]))
+    hidden = [F.when(loose, name) for name, loose in _loose(p).items()]
+    rules = [
+        *[Rule(f"{k}: blank", none(k)) for k in ("attempt_id", "code_version", "campaign_id")], Rule("campaign_sha256: no digest", ~digest(c("campaign_sha256"))),
+        Rule("run_id: not whole", c("run_id").isNull() | (c("run_id") < 0)), Rule("config_id: not whole", c("config_id").isNull() | (c("config_id") < 0)), Rule("split: unknown", ~F.coalesce(c("split").isin(*SPLITS), F.lit(False))),
+        Rule("input_hashes: not conn, ssl, quic and annotations", ~keys("input_hashes", ("conn", "ssl", "quic", "annotations")) | ~digest(of("input_hashes", "conn")) | ~digest(of("input_hashes", "annotations"))),
+        Rule("output_hashes: not ml, split_ready and audit", ~keys("output_hashes", ("ml", "split_ready", "audit")) | F.exists(F.map_values("output_hashes"), lambda x: ~digest(x))),
+        Rule("output_hashes: other split_ready", ~F.coalesce(of("output_hashes", "split_ready") == c("split_ready_sha256"), F.lit(False))),
+        Rule("files: not ml, split_ready and audit", ~keys("files", ("ml", "split_ready", "audit")) | F.exists(F.map_values("files"), none)),
+        Rule("class counts: empty or negative", F.coalesce((F.size("class_counts_split_ready") < 1) | F.exists(F.map_values("class_counts_split_ready"), lambda x: x.isNull() | (x < 0)), F.lit(True))),
+        Rule("diagnostic_reasons: a loosened gate is hidden", F.size(F.array_except(F.array_compact(F.array(*hidden)), F.coalesce("diagnostic_reasons", F.array().cast("array<string>")))) > 0),
+        Rule("ip_bytes_fallback: against the policy", p("require_ip_bytes") & (c("ip_bytes_fallback") != 0)), Rule("ip_bytes_fallback: missing or negative", c("ip_bytes_fallback").isNull() | (c("ip_bytes_fallback") < 0)),
+        *[Rule(f"{k}_join: against the policy", p(f"require_{k}_log") & ((F.coalesce(c(f"{k}_join.records_matching_conn"), F.lit(0)) <= 0) | (F.coalesce(c(f"{k}_join.join_rate"), F.lit(-1.0)) < p(f"min_{k}_join_rate")) | ~digest(of("input_hashes", k)))) for k in ("ssl", "quic")],
+        Rule("events: too few usable flows", F.exists(events, lambda e: F.coalesce(e["usable_flows"], F.lit(-1)) < p("min_matches_per_event"))),
+        Rule("events: too few ports", F.exists(events, lambda e: (e["port_range_width"] > 1) & (F.coalesce(e["port_coverage"], F.lit(-1.0)) < p("min_port_coverage")))),
+        Rule("min_window_overlap: no share", (overlap < 0) | (overlap > 1)), Rule("overlap_accounting: missing or negative", mine.isNull() | fell.isNull() | (mine < 0) | (fell < 0)),
+        Rule("overlap_accounting: fallback over matched", fell > mine), Rule("overlap_accounting: matched over audit", mine > c("flows_audit")), Rule("overlap_accounting: matches without overlap", overlap.isNull() & (mine != 0)),
+        Rule("overlap_accounting: not the events'", overlap.isNotNull() & F.when(flat, mine != matched).otherwise((mine < most) | (mine > matched))),
+        Rule("overlap_accounting: all fell back", overlap.isNotNull() & (mine > 0) & (fell == mine) & ~F.array_contains(F.coalesce("diagnostic_reasons", F.array().cast("array<string>")), "overlap_duration_fallback")),
+        Rule("events: not the classes of the file", flat & (p("ambiguous_policy") == "drop") & (F.array_sort(F.map_keys(attacks)) != F.array_sort(told))),
+        Rule("events: other numbers than the file", flat & (p("ambiguous_policy") == "drop") & F.exists(F.map_entries(attacks), lambda e: usable(e["key"]) != e["value"])),
+    ]
+    rules += [Rule(f"{k}: unsupported", ~F.coalesce(c(k).isin(*known), F.lit(False))) for k, known in versions.items()]
+    return [Rule(r.name, F.coalesce(r.broken, F.lit(False))) for r in rules]
+
+
+def _loose(p) -> dict[str, Column]:
+    """Of each policy field, whether its value is laxer than the strict profile."""
+    out = {}
+    for k, want in STRICT.items():
+        if k in CEILINGS:
+            out[k] = p(k) > want
+        elif k in SHARES or k in COUNTS:
+            out[k] = p(k) < want
+        else:
+            out[k] = p(k) != F.lit(want)
+    return out
 
 
-def validate_statuses(statuses: DataFrame) -> DataFrame:
-    """(rule, severity, violations) over all run statuses and their events."""
-    return contracts.evaluate(statuses, status_rules()).unionByName(contracts.evaluate(status_events(statuses), event_rules()))
+def validate_statuses(statuses: DataFrame, official: bool = False, versions: dict[str, list[str]] | None = None) -> DataFrame:
+    """(rule, severity, violations) over all run statuses and their events; ``official`` adds the rules of an official status."""
+    return contracts.evaluate(statuses, status_rules(statuses.columns if official else None, versions)).unionByName(contracts.evaluate(status_events(statuses), event_rules()))
 
 
 def authenticate(files: DataFrame, statuses: DataFrame, rows: DataFrame, runs: DataFrame, required: dict, min_overlap: float | None = None) -> list[str]:
@@ -231,8 +441,9 @@ def build(rows: DataFrame, plan: dict[int, str], features: list[str] | None = No
     if stats["cross_split_duplicate_rate_raw"] > max_duplicate_rate:
         reasons.append(f"cross-split duplicate rate {stats['cross_split_duplicate_rate_raw']:.6f}")
     named = d.withColumn("split", F.when(F.col("split") == "validation", "val").otherwise(F.col("split")))
-    if splits.chronology(named, "timestamp").first()["ordered"] is False:
-        reasons.append("splits are not in time order")
+    ordered = splits.chronology(named, "timestamp").first()["ordered"]
+    if not ordered:
+        reasons.append("the time order of the splits is unknown" if ordered is None else "splits are not in time order")
     if reasons and not diagnostic:
         raise ManifestError("; ".join(reasons))
     return Build(d, splits.manifest(d, "timestamp"), stats, reasons)

@@ -7,7 +7,6 @@ same user, ports the key ``k`` of the properties.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +16,7 @@ from netloom.functions import features as ft
 from netloom.functions import parse
 from netloom.operators import contracts, duplicates, effects, intervals, joins, shortcuts, splits, statistics
 from netloom.sources import logs, tables
+from netloom.sources.shared import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -39,8 +39,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shared(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/netloom"
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    return new_path(spark, name)
 
 
 # --- events as flows and windows -------------------------------------------------------------------
@@ -115,7 +114,7 @@ SELECT w.event_id, count(c.flow_id) AS matched_flows, count(c.flow_id) FILTER (r
        count(c.flow_id) FILTER (r.n_labels > 1) AS ambiguous_flows, count(DISTINCT c.k) AS unique_dst_ports,
        min(CASE WHEN coalesce(c.d, 0) > 0 THEN greatest(c.t, c.s) ELSE least(greatest(c.t, c.s), c.e) END) AS first_match,
        max(CASE WHEN coalesce(c.d, 0) > 0 THEN least(c.t + c.d, c.e) ELSE least(greatest(c.t, c.s), c.e) END) AS last_match,
-       count(DISTINCT c.k)::DOUBLE / w.span AS port_coverage
+       round(count(DISTINCT c.k)::DOUBLE / w.span, 4) AS port_coverage
 FROM w LEFT JOIN (SELECT * FROM c WHERE m) c ON c.event_id = w.event_id LEFT JOIN r ON r.flow_id = c.flow_id GROUP BY w.event_id, w.span""")
 def event_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = intervals.event_evidence(flows(spark, sf_dir), windows(spark, sf_dir), 0.5)
@@ -135,11 +134,11 @@ def off_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("j14_point_in_window", EVENTS + """
 SELECT e.event_type, count(*) AS total, count(*) FILTER (n > 0) AS in_window FROM (
-  SELECT event_id, event_type, (SELECT count(*) FROM ev w WHERE w.event_type = 'error' AND w.event_id % 10 = 0 AND ev.t BETWEEN w.t AND w.t + 1800) AS n FROM ev WHERE event_type <> 'error') e
+  SELECT event_id, event_type, (SELECT count(*) FROM ev w WHERE w.event_type = 'error' AND ev.t BETWEEN w.t AND w.t + 1800) AS n FROM ev WHERE event_type <> 'error') e
 GROUP BY e.event_type""")
 def point_in_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
-    w = e.filter("event_type = 'error' and event_id % 10 = 0").select(F.col("t").alias("start"), (F.col("t") + 1800).alias("end"))
+    w = e.filter("event_type = 'error'").select(F.col("t").alias("start"), (F.col("t") + 1800).alias("end"))
     d = intervals.in_any_window(e.filter("event_type <> 'error'").withColumnRenamed("t", "ts"), w)
     return d.groupBy("event_type").agg(F.count("*").alias("total"), F.count_if("inside").alias("in_window"))
 
@@ -171,7 +170,7 @@ def attach_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.attach(c.select("conv_id", "turn"), build, "conv_id", "line_no", "last_").select("conv_id", "turn", "last_role", "last_turn")
 
 
-@query("j6_join_accounting", "SELECT count(*) AS records, count(*) FILTER (hit) AS matching, count(*) FILTER (NOT hit) AS orphan, 0::BIGINT AS missing_key, count(*) FILTER (hit)::DOUBLE / count(*) AS join_rate FROM (SELECT o_orderkey IN (SELECT l_orderkey FROM lineitem) AS hit FROM orders)")
+@query("j6_join_accounting", "SELECT count(*) AS records, count(*) FILTER (hit) AS matching, count(*) FILTER (NOT hit) AS orphan, 0::BIGINT AS missing_key, round(count(*) FILTER (hit)::DOUBLE / count(*), 4) AS join_rate FROM (SELECT o_orderkey IN (SELECT l_orderkey FROM lineitem) AS hit FROM orders)")
 def join_accounting(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
     return joins.join_accounting(table(spark, sf_dir, "orders"), known, "o_orderkey")
@@ -239,9 +238,9 @@ def attributed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _requests(spark, sf_dir)
 
 
-@query("a14_evidence_levels", REQUESTS + "SELECT event_id, CASE WHEN event_id % 4 > 0 AND requests_attacker > 0 THEN 'network_observed,application_observed' WHEN event_id % 4 > 0 THEN 'network_observed' WHEN requests_attacker > 0 THEN 'application_observed' ELSE 'declared_only' END AS evidence FROM q")
+@query("a14_evidence_levels", REQUESTS + "SELECT event_id, 'tool_executed' || CASE WHEN event_id % 4 > 0 THEN ',traffic_observed' ELSE '' END || CASE WHEN requests_attacker > 0 THEN ',application_observed' ELSE '' END AS evidence FROM q")
 def evidence_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _requests(spark, sf_dir).withColumns({"flows": F.col("event_id") % 4, "effect_confirmed": F.lit(False)})
+    d = _requests(spark, sf_dir).withColumn("usable_flows", F.col("event_id") % 4)
     return effects.evidence_levels(d).select("event_id", F.array_join("evidence", ",").alias("evidence"))
 
 
@@ -255,10 +254,19 @@ def session_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return effects.session_gates(s, 820454400.0, 978307200.0, 50, 0.9)
 
 
-@query("j20_mirrored", "SELECT coalesce(bool_or(l_suppkey = 1 AND l_linestatus = 'O'), false) AS tcp_seen, coalesce(bool_or(l_suppkey = 1 AND l_linestatus = 'F'), false) AS udp_seen, coalesce(bool_or(l_suppkey = 1 AND l_tax > 0), false) AS both_ways FROM lineitem")
+@query("j20_mirrored", """
+WITH f AS (SELECT l_suppkey = 1 AS forth, l_suppkey = 2 AS back, l_linestatus = 'O' AS tcp, l_linenumber AS port, l_tax > 0.07 AS answered FROM lineitem),
+s AS (SELECT coalesce(bool_or(forth), false) AS client_to_victim, coalesce(bool_or(forth AND answered), false) AS victim_responded, coalesce(bool_or(back), false) AS victim_to_client,
+             coalesce(bool_or(forth AND answered AND tcp AND port = 3), false) AS tcp_answered, coalesce(bool_or(forth AND answered AND NOT tcp AND port = 9), false) AS udp_answered FROM f)
+SELECT *, array_to_string(list_filter([CASE WHEN NOT client_to_victim THEN 'no flow from client to victim' WHEN NOT victim_responded THEN 'no response was mirrored' END,
+  CASE WHEN NOT tcp_answered THEN 'no answered tcp flow on port 3' END, CASE WHEN NOT udp_answered THEN 'no answered udp flow on port 9' END], lambda x: x IS NOT NULL), ',') AS problems,
+  client_to_victim AND victim_responded AND tcp_answered AND udp_answered AS confirmed FROM s""")
 def mirrored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("string").alias("src"), F.lit("v").alias("dst"), F.when(F.col("l_linestatus") == "O", "TCP").otherwise("UDP").alias("proto"), F.col("l_tax").alias("resp_pkts"))
-    return joins.mirrored(d, "1", "v")
+    d = table(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_suppkey") == 2, "v").otherwise(F.col("l_suppkey").cast("string")).alias("src"), F.when(F.col("l_suppkey") == 2, "1").otherwise("v").alias("dst"),
+        F.when(F.col("l_linestatus") == "O", "TCP").otherwise("UDP").alias("proto"), F.col("l_linenumber").alias("port"), F.when(F.col("l_tax") > 0.07, 3).otherwise(0).alias("resp_pkts"),
+    )
+    return joins.mirrored(d, "1", "v", 3, 9).withColumn("problems", F.array_join("problems", ","))
 
 
 # --- duplicates and leakage ------------------------------------------------------------------------
@@ -328,9 +336,15 @@ def time_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return splits.by_time(_planned(spark, sf_dir).drop("split"), "t", "o_orderkey", 0.3).select("o_orderkey", "split")
 
 
-@query("a16_chronology", SPLIT + ", b AS (SELECT max(t) FILTER (split = 'train') AS train_max, min(t) FILTER (split = 'val') AS val_min, max(t) FILTER (split = 'val') AS val_max, min(t) FILTER (split = 'test') AS test_min FROM o) SELECT *, train_max < val_min AND val_min <= val_max AND val_max < test_min AS ordered FROM b")
+@query("a16_chronology", SPLIT + """, p AS (SELECT 'three' AS plan, split, t FROM o UNION ALL SELECT 'two', CASE WHEN split = 'val' THEN 'test' ELSE split END, t FROM o UNION ALL SELECT 'mixed', CASE WHEN o_orderkey % 2 = 0 THEN 'train' ELSE 'test' END, t FROM o),
+b AS (SELECT plan, max(t) FILTER (split = 'train') AS train_max, min(t) FILTER (split = 'val') AS val_min, max(t) FILTER (split = 'val') AS val_max, min(t) FILTER (split = 'test') AS test_min, count(*) FILTER (split = 'val') AS n FROM p GROUP BY plan)
+SELECT plan, train_max, val_min, val_max, test_min, CASE WHEN n = 0 THEN train_max < test_min ELSE train_max < val_min AND val_max < test_min END AS ordered FROM b""")
 def chronology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return splits.chronology(_planned(spark, sf_dir), "t")
+    three = _planned(spark, sf_dir)
+    two = three.withColumn("split", F.when(F.col("split") == "val", "test").otherwise(F.col("split")))
+    mixed = three.withColumn("split", F.when(F.col("o_orderkey") % 2 == 0, "train").otherwise("test"))
+    found = [splits.chronology(d, "t").select(F.lit(name).alias("plan"), "*") for name, d in (("three", three), ("two", two), ("mixed", mixed))]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 @query("k4_split_manifest", SPLIT + "SELECT split, run_id, count(*) AS rows, floor(min(t))::BIGINT AS ts_min, floor(max(t))::BIGINT AS ts_max FROM o GROUP BY split, run_id")
@@ -391,7 +405,7 @@ def nearest_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PROBES = EVENTS + """, p AS (SELECT t, 'u' || (user_id % 5) AS url, CASE WHEN event_type = 'view' THEN 0 ELSE 1 END AS ok, value AS latency_ms, CASE WHEN event_type = 'view' THEN 'down' ELSE '' END AS error, CASE WHEN k > 50 THEN 500 + k ELSE 0 END AS http_code, event_id FROM ev WHERE event_type <> 'error'),
-z AS (SELECT *, EXISTS (SELECT 1 FROM ev w WHERE w.event_type = 'error' AND w.event_id % 50 = 0 AND p.t BETWEEN w.t AND w.t + 7200) AS inside FROM p)
+z AS (SELECT *, EXISTS (SELECT 1 FROM ev w WHERE w.event_type = 'error' AND p.t BETWEEN w.t AND w.t + 60) AS inside FROM p)
 """
 RANK = "list_sort(list({0}){1})[least(count({0}){1} - 1, round_even({2} * (count({0}){1} - 1), 0))::INT + 1]"
 
@@ -411,16 +425,16 @@ def monitor_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT url, count(*) FILTER (inside) AS probes_attack, count(*) FILTER (NOT inside) AS probes_baseline, avg(ok) FILTER (inside) AS av_a, avg(ok) FILTER (NOT inside) AS av_b,
          count(*) FILTER (inside AND error <> '')::DOUBLE / nullif(count(*) FILTER (inside), 0) AS er_a, count(*) FILTER (NOT inside AND error <> '')::DOUBLE / nullif(count(*) FILTER (NOT inside), 0) AS er_b,
          """ + RANK.format("latency_ms", " FILTER (inside)", "0.95") + " AS l_a, " + RANK.format("latency_ms", " FILTER (NOT inside)", "0.95") + """ AS l_b FROM z GROUP BY url)
-SELECT url, probes_attack, probes_baseline, av_a AS availability_attack, av_b AS availability_baseline, l_a AS p95_attack, l_b AS p95_baseline,
+SELECT url, probes_attack, probes_baseline, av_a AS availability_attack, av_b AS availability_baseline, l_a AS p95_attack, l_b AS p95_baseline, er_a AS error_rate_attack, er_b AS error_rate_baseline,
        coalesce(av_b - av_a >= 0.2, false) OR coalesce(l_a > 0 AND l_b > 0 AND l_a / l_b >= 2, false) OR coalesce(er_a - er_b >= 0.2, false) AS effect_confirmed FROM a""")
 def effect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = events(spark, sf_dir).filter("event_type = 'error' and event_id % 50 = 0").select(F.col("t").alias("start"), (F.col("t") + 7200).alias("end"))
-    return effects.effects(probes(spark, sf_dir), w).select("url", "probes_attack", "probes_baseline", "availability_attack", "availability_baseline", "p95_attack", "p95_baseline", "effect_confirmed")
+    w = events(spark, sf_dir).filter("event_type = 'error'").select(F.col("t").alias("start"), (F.col("t") + 60).alias("end"))
+    return effects.effects(probes(spark, sf_dir), w).select("url", "probes_attack", "probes_baseline", "availability_attack", "availability_baseline", "p95_attack", "p95_baseline", "error_rate_attack", "error_rate_baseline", "effect_confirmed")
 
 
-@query("a17_seed_summary", "SELECT p_brand, count(*) AS seeds, min(p_size) AS p_size_min, max(p_size) AS p_size_max FROM part GROUP BY p_brand")
+@query("a17_seed_summary", "SELECT p_brand, count(*) AS seeds, round(avg(p_size), 9) AS p_size_mean, round(stddev_pop(p_size), 9) AS p_size_std, min(p_size) AS p_size_min, max(p_size) AS p_size_max FROM part GROUP BY p_brand")
 def seed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return statistics.seed_summary(table(spark, sf_dir, "part"), ["p_brand"], ["p_size"]).select("p_brand", "seeds", "p_size_min", "p_size_max")
+    return statistics.seed_summary(table(spark, sf_dir, "part"), ["p_brand"], ["p_size"]).withColumns({c: F.round(c, 9) for c in ("p_size_mean", "p_size_std")})
 
 
 @query("a19_reconcile", "SELECT o_orderpriority, count(*) AS observed, count(*) + 1 AS claimed FROM orders WHERE o_orderpriority < '3' GROUP BY 1 UNION ALL SELECT 'none', 0, 5")
@@ -440,10 +454,13 @@ def drop_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
 AB = "WITH p AS (SELECT l_returnflag AS side, l_extendedprice AS v, l_quantity AS q, l_linestatus AS s FROM lineitem WHERE l_returnflag IN ('A', 'R'))"
 
 
-@query("w9_ks", AB + ", c AS (SELECT v, count(*) FILTER (side = 'A') AS x, count(*) FILTER (side = 'R') AS y FROM p GROUP BY v), d AS (SELECT abs(sum(x) OVER w::DOUBLE / sum(x) OVER () - sum(y) OVER w::DOUBLE / sum(y) OVER ()) AS g FROM c WINDOW w AS (ORDER BY v ROWS UNBOUNDED PRECEDING)) SELECT round(max(g), 9) AS ks, (SELECT count(*) FROM p WHERE side = 'A') AS n_a, (SELECT count(*) FROM p WHERE side = 'R') AS n_b FROM d".replace("sum(x) OVER w::DOUBLE", "(sum(x) OVER w)::DOUBLE").replace("sum(y) OVER w::DOUBLE", "(sum(y) OVER w)::DOUBLE"))
+@query("w9_ks", AB + """, c AS (SELECT v, count(*) FILTER (side = 'A') AS x, count(*) FILTER (side = 'R') AS y FROM p GROUP BY v),
+d AS (SELECT abs(sum(x) OVER w::DOUBLE / sum(x) OVER () - sum(y) OVER w::DOUBLE / sum(y) OVER ()) AS g, sum(x) OVER () AS n, sum(y) OVER () AS m FROM c WINDOW w AS (ORDER BY v ROWS UNBOUNDED PRECEDING)),
+k AS (SELECT max(g) AS ks, max(n)::BIGINT AS n_a, max(m)::BIGINT AS n_b, max(g) * sqrt(max(n)::DOUBLE * max(m) / (max(n) + max(m))) AS z FROM d)
+SELECT round(ks, 9) AS ks, n_a, n_b, round(CASE WHEN z < 0.2 THEN 1 ELSE least(1, greatest(0, (SELECT sum(CASE WHEN i % 2 = 1 THEN 2 ELSE -2 END * exp(-2 * i * i * z * z)) FROM range(1, 101) r(i)))) END, 9)::DOUBLE AS p_value FROM k""")
 def ks(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "lineitem").filter("l_returnflag in ('A', 'R')").withColumn("one", F.lit(1))
-    return statistics.ks(d, ["one"], "l_extendedprice", "l_returnflag", "A", "R").select(F.round("ks", 9).alias("ks"), "n_a", "n_b")
+    return statistics.ks(d, ["one"], "l_extendedprice", "l_returnflag", "A", "R").select(F.round("ks", 9).alias("ks"), "n_a", "n_b", F.round("p_value", 9).alias("p_value"))
 
 
 LABELLED = "WITH d AS (SELECT n_chars AS v, quality FROM documents JOIN labels USING (doc_id) WHERE quality IS NOT NULL)"
@@ -485,11 +502,18 @@ def conditional_js(spark: SparkSession, sf_dir: str) -> DataFrame:
     return statistics.js_numeric(d, ["l_linestatus"], "l_extendedprice", "l_returnflag", "A", "R").select("l_linestatus", F.round("js", 9).alias("js"))
 
 
-@query("m21_binary_metrics", "WITH c AS (SELECT count(*) FILTER (y AND p) AS tp, count(*) FILTER (NOT y AND p) AS fp, count(*) FILTER (y AND NOT p) AS fn, count(*) FILTER (NOT y AND NOT p) AS tn FROM (SELECT quality = 1 AS y, v > 1500 AS p FROM d)) SELECT tp, fp, fn, tn, round((tp + tn)::DOUBLE / (tp + fp + fn + tn), 9) AS accuracy, round(tp::DOUBLE / (tp + fp), 9) AS precision, round(tp::DOUBLE / (tp + fn), 9) AS recall, round((tp * tn - fp * fn)::DOUBLE / (sqrt(tp + fp) * sqrt(tp + fn) * sqrt(tn + fp) * sqrt(tn + fn)), 9) AS mcc FROM c".replace("WITH c", LABELLED + ", c"))
+METRICS = {
+    "accuracy": "(tp + tn)::DOUBLE / (tp + fp + fn + tn)", "precision": "tp::DOUBLE / (tp + fp)", "recall": "tp::DOUBLE / (tp + fn)", "f1": "2.0 * tp / (2 * tp + fp + fn)", "specificity": "tn::DOUBLE / (tn + fp)",
+    "balanced_accuracy": "(tp::DOUBLE / (tp + fn) + tn::DOUBLE / (tn + fp)) / 2", "mcc": "(tp::DOUBLE * tn - fp::DOUBLE * fn) / sqrt((tp + fp)::DOUBLE * (tp + fn) * (tn + fp) * (tn + fn))", "prevalence": "(tp + fn)::DOUBLE / (tp + fp + fn + tn)",
+    "false_positive_rate": "fp::DOUBLE / (fp + tn)", "false_negative_rate": "fn::DOUBLE / (fn + tp)",
+}
+
+
+@query("m21_binary_metrics", LABELLED + ", c AS (SELECT count(*) FILTER (y AND p) AS tp, count(*) FILTER (NOT y AND p) AS fp, count(*) FILTER (y AND NOT p) AS fn, count(*) FILTER (NOT y AND NOT p) AS tn FROM (SELECT quality = 1 AS y, v > 1500 AS p FROM d)) SELECT tp, fp, fn, tn, " + ", ".join(f"round({x}, 9) AS {n}" for n, x in METRICS.items()) + " FROM c")
 def binary_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _labelled(spark, sf_dir).select(F.when(F.col("quality") == 1, "y").otherwise("n").alias("truth"), F.when(F.col("n_chars") > 1500, "y").otherwise("n").alias("guess"))
     m = statistics.binary_metrics(d, "truth", "guess", "y")
-    return m.select("tp", "fp", "fn", "tn", *[F.round(c, 9).alias(c) for c in ("accuracy", "precision", "recall", "mcc")])
+    return m.select("tp", "fp", "fn", "tn", *[F.round(c, 9).alias(c) for c in METRICS])
 
 
 # --- shortcuts -------------------------------------------------------------------------------------
@@ -586,32 +610,71 @@ def connections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 FEATURES = """WITH c AS (
   SELECT l_orderkey || '-' || l_linenumber AS uid, CASE WHEN l_linenumber < 6 THEN l_quantity END AS d, l_linenumber::DOUBLE AS fp, floor(l_quantity)::DOUBLE AS bp,
-         CASE WHEN l_linenumber % 2 = 0 THEN floor(l_extendedprice + 40) ELSE floor(l_extendedprice) END::DOUBLE AS fb, l_partkey::DOUBLE AS bb, (l_partkey * 37) % 65535 + 1 AS port, l_linestatus FROM lineitem)
+         CASE WHEN l_linenumber % 2 = 0 THEN floor(l_extendedprice + 40) ELSE floor(l_extendedprice) END::DOUBLE AS fb, l_partkey::DOUBLE AS bb, (l_partkey * 37) % 65535 + 1 AS port, l_linestatus, l_linenumber AS i FROM lineitem)
 """
+#: A double rounded as its shortest decimal text is.
+ROUNDED = "round({0}::VARCHAR::DECIMAL(30, 12), {1})::DOUBLE"
 
 
-@query("p1_common_features", FEATURES + "SELECT uid, d AS flow_duration, fp AS tot_fwd_pkts, bp AS tot_bwd_pkts, fb AS totlen_fwd_bytes, bb AS totlen_bwd_bytes, floor(CASE WHEN d > 0 THEN (fb + bb) / d END)::BIGINT AS bytes_s, 0 AS sni_present, CASE WHEN l_linestatus = 'O' THEN 'TCP' ELSE 'UDP' END AS transport, CASE WHEN port < 1024 THEN 'well_known' WHEN port < 49152 THEN 'registered' ELSE 'ephemeral' END AS dst_port_class, 'none' AS tls_version, 'none' AS alpn FROM c")
+@query("p1_common_features", FEATURES + f"""
+SELECT uid, d AS flow_duration, fp AS tot_fwd_pkts, bp AS tot_bwd_pkts, fb AS totlen_fwd_bytes, bb AS totlen_bwd_bytes, {ROUNDED.format("(bp / greatest(fp, 1.0))", 4)} AS down_up_ratio,
+  {ROUNDED.format("(CASE WHEN d > 0 THEN (fb + bb) / d END)", 2)} AS flow_bytes_s, {ROUNDED.format("(CASE WHEN d > 0 THEN (fp + bp) / d END)", 2)} AS flow_pkts_s,
+  (i IN (1, 2, 5))::INT AS sni_present, CASE WHEN l_linestatus = 'O' THEN 'TCP' ELSE 'UDP' END AS transport, CASE WHEN port < 1024 THEN 'well_known' WHEN port < 49152 THEN 'registered' ELSE 'ephemeral' END AS dst_port_class,
+  CASE WHEN i = 1 THEN '1.2' WHEN i = 3 THEN 'SSLv3' WHEN i IN (2, 4, 5) THEN '1.3' ELSE 'none' END AS tls_version, CASE WHEN i = 1 THEN 'h2' WHEN i IN (4, 5) THEN 'h3' ELSE 'none' END AS alpn,
+  CASE WHEN i = 1 THEN 'abc' ELSE 'none' END AS ja3, 'none' AS ja3s FROM c""")
 def common_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = connections(spark, sf_dir)
-    f = ft.common_features(c)
-    f["bytes_s"] = F.floor(F.when(f["flow_duration"] > 0, (f["totlen_fwd_bytes"] + f["totlen_bwd_bytes"]) / f["flow_duration"]))
-    names = ["flow_duration", "tot_fwd_pkts", "tot_bwd_pkts", "totlen_fwd_bytes", "totlen_bwd_bytes", "bytes_s", "sni_present", "transport", "dst_port_class", "tls_version", "alpn"]
-    return c.select("uid", *[f[n].alias(n) for n in names])
-
-
-@query("c5_contract", FEATURES + ", r AS (SELECT *, CASE WHEN d > 0 THEN (fp + bp) / d END + CASE WHEN port % 10 = 0 THEN 9 ELSE 0 END AS ps FROM c) SELECT count(*) FILTER (d IS NOT NULL AND port % 10 = 0 AND abs(ps - (fp + bp) / d) > 0.02 + 0.02 * abs((fp + bp) / d)) AS violations, 'flow_pkts_s: inconsistent' AS rule FROM r")
+    """Connections with TLS rows on lines 1 to 3 and QUIC rows on lines 4 and 5 (and 2, where TLS has no version)."""
+    i = F.col("orig_pkts").cast("int")
+    at = lambda *pairs: F.create_map(*[F.lit(x) for kv in pairs for x in kv])[i]
+    c = connections(spark, sf_dir).withColumns({
+        "ssl_version": at((1, "TLSv12"), (2, ""), (3, "SSLv3")), "ssl_server_name": at((1, "a.lab"), (3, "")), "ssl_next_protocol": at((1, "h2"), (3, "")), "ssl_ja3": at((1, "abc"), (2, "")), "ssl_ja3s": F.lit(None).cast("string"),
+        "quic_server_name": at((2, "q.lab"), (4, ""), (5, "q.lab")), "quic_client_protocol": at((2, ""), (4, "h3"), (5, "h3")),
+    })
+    f = ft.common_features(c, i.isin(2, 4, 5))
+    return c.select("uid", *[f[n].alias(n) for n in ft.COMMON])
+
+
+RELATIONS = {
+    "flow_bytes_s: finite without duration": "d = 0 AND bs IS NOT NULL", "flow_pkts_s: finite without duration": "d = 0 AND ps IS NOT NULL",
+    "down_up_ratio: inconsistent": "abs(r - bp / greatest(fp, 1)) > 0.02 + 0.02 * abs(bp / greatest(fp, 1))",
+    "flow_bytes_s: inconsistent": "d > 0 AND abs(bs - (fb + bb) / d) > 0.02 + 0.02 * abs((fb + bb) / d)", "flow_pkts_s: inconsistent": "d > 0 AND abs(ps - (fp + bp) / d) > 0.02 + 0.02 * abs((fp + bp) / d)",
+}
+
+
+@query("c5_contract", FEATURES + """, r AS (SELECT fp, bp, fb, bb, coalesce(d, 0) AS d, CASE WHEN d > 0 THEN (fp + bp) / d WHEN port % 7 = 0 THEN 1 END + CASE WHEN port % 10 = 0 THEN 9 ELSE 0 END AS ps,
+  CASE WHEN d > 0 THEN (fb + bb) / d WHEN port % 5 = 0 THEN 2 END * CASE WHEN port % 9 = 0 THEN 2 ELSE 1 END AS bs, bp / greatest(fp, 1) + CASE WHEN port % 8 = 0 THEN 50 ELSE 0 END AS r FROM c)
+""" + " UNION ALL ".join(f"SELECT '{n}' AS rule, 'error' AS severity, count(*) FILTER ({x}) AS violations FROM r" for n, x in RELATIONS.items()))
 def relational_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features as derived, with errors put in by port."""
     c = connections(spark, sf_dir)
     f = ft.common_features(c)
-    f["flow_pkts_s"] = F.when(f["flow_duration"] > 0, (f["tot_fwd_pkts"] + f["tot_bwd_pkts"]) / f["flow_duration"]) + F.when(parse.whole(ft.quoted("id.resp_p")) % 10 == 0, 9).otherwise(0)
-    d = c.select(*[x.alias(n) for n, x in f.items()])
-    return contracts.evaluate(d, contracts.relational_rules()).filter("rule = 'flow_pkts_s: inconsistent'").select("violations", "rule")
-
-
-@query("c1_raw_contract", "SELECT 'id.resp_p: not a port' AS rule, 'error' AS severity, 0::BIGINT AS violations UNION ALL SELECT 'duration: negative', 'error', 0 UNION ALL SELECT 'uid: blank', 'error', 0 UNION ALL SELECT 'orig_pkts: fractional', 'error', 0")
+    port = parse.whole(ft.quoted("id.resp_p"))
+    idle = f["flow_duration"].isNull()
+    f["flow_pkts_s"] = F.when(idle & (port % 7 == 0), 1.0).otherwise(f["flow_pkts_s"]) + F.when(port % 10 == 0, 9).otherwise(0)
+    f["flow_bytes_s"] = F.when(idle & (port % 5 == 0), 2.0).otherwise(f["flow_bytes_s"]) * F.when(port % 9 == 0, 2).otherwise(1)
+    f["down_up_ratio"] = f["down_up_ratio"] + F.when(port % 8 == 0, 50).otherwise(0)
+    f["flow_duration"] = F.coalesce(f["flow_duration"], F.lit(0.0))
+    return contracts.evaluate(c.select(*[x.alias(n) for n, x in f.items()]), contracts.relational_rules())
+
+
+BROKEN = {
+    "duration: not a number": "k % 11 = 0", "duration: negative": "k % 11 <> 0 AND k % 13 = 0", "duration: inf": "k % 11 <> 0 AND k % 13 <> 0 AND k % 17 = 0", "orig_pkts: fractional": "k % 7 = 0", "resp_pkts: negative": "k % 5 = 0", "orig_bytes: not a number": "k % 37 = 0",
+    "resp_bytes: inf": "k % 41 = 0", "id.resp_p: not a port": "k % 19 = 0", "id.orig_p: not a port": "k % 43 = 0", "id.resp_p: blank": "k % 19 <> 0 AND k % 23 = 0", "uid: blank": "k % 29 = 0", "id.orig_h: blank": "k % 47 = 0", "proto: blank": "k % 53 = 0", "ts: not finite": "k % 31 = 0",
+}
+CONN_RULES = [
+    *[f"{c}: not a number" for c in contracts.CONN_NUMBERS], *[f"{c}: {x}" for c in contracts.CONN_NUMBERS for x in ("inf", "negative")], *[f"{c}: fractional" for c in contracts.CONN_COUNTS],
+    "id.orig_p: not a port", "id.resp_p: not a port", *[f"{c}: blank" for c in contracts.CONN_ESSENTIALS], "ts: not finite",
+]
+
+
+@query("c1_raw_contract", "WITH r AS (SELECT l_orderkey AS k FROM lineitem) " + " UNION ALL ".join(f"SELECT '{n}' AS rule, 'error' AS severity, count(*) FILTER ({BROKEN.get(n, 'false')}) AS violations FROM r" for n in CONN_RULES))
 def raw_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = connections(spark, sf_dir)
-    return contracts.evaluate(c, contracts.conn_rules(c.columns)).filter(F.col("rule").isin("id.resp_p: not a port", "duration: negative", "uid: blank", "orig_pkts: fractional"))
+    """All rules over connection rows with errors put in by order key."""
+    c = connections(spark, sf_dir).withColumn("__k", F.split_part("uid", F.lit("-"), F.lit(1)).cast("long"))
+    when = lambda *pairs: lambda old: F.when(F.col("__k") % pairs[0][0] == 0, pairs[0][1]).otherwise(old) if len(pairs) == 1 else F.when(F.col("__k") % pairs[0][0] == 0, pairs[0][1]).otherwise(when(*pairs[1:])(old))
+    bad = {"duration": when((11, "x1"), (13, "-2"), (17, "inf")), "orig_pkts": when((7, "2.5")), "resp_pkts": when((5, "-4")), "orig_bytes": when((37, "7O")), "resp_bytes": when((41, "Infinity")), "id.resp_p": when((19, "70000"), (23, "-")), "id.orig_p": when((43, "0")), "uid": when((29, " ")), "id.orig_h": when((47, "")), "proto": when((53, "-")), "ts": when((31, "nan"))}
+    d = c.select(*[(bad[n](ft.quoted(n)) if n in bad else ft.quoted(n)).alias(n) for n in c.columns if n != "__k"])
+    return contracts.evaluate(d, contracts.conn_rules(d.columns))
 
 
 @query("c7_unknown_labels", "SELECT DISTINCT event_type AS label FROM events WHERE event_type NOT IN ('view', 'click')")
@@ -666,7 +729,7 @@ def epoch_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", parse.epoch(text).alias("t"))
 
 
-@query("p17_key_values", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_brand END AS brand FROM part")
+@query("s210_key_values", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN NULL ELSE p_brand END AS brand FROM part")
 def key_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("a=1;a=2;brand="), "p_brand")).otherwise(F.concat(F.lit("size = 3; brand ="), "p_brand", F.lit(";")))
     return table(spark, sf_dir, "part").select("p_partkey", parse.key_values(text)["brand"].alias("brand"))
@@ -682,9 +745,9 @@ def port_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("event_id", parse.port_matches("k", F.lit("10-40")).alias("inside"), parse.port_matches("k", F.lit("7")).alias("exact"))
 
 
-@query("f7_fallback_rows", "SELECT count(*) FILTER (event_type <> 'view' AND coalesce(value, 0) <= 0) AS n FROM events")
+@query("f7_fallback_rows", "SELECT n AS attack_rows, k AS fallback_rows, k::DOUBLE / n AS fallback_rate FROM (SELECT count(*) FILTER (event_type <> 'view') AS n, count(*) FILTER (event_type <> 'view' AND coalesce(value, 0) <= 0) AS k FROM events)")
 def fallback_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").agg(F.count_if((F.col("event_type") != "view") & (F.coalesce("value", F.lit(0.0)) <= 0)).alias("n"))
+    return joins.fallback_rows(table(spark, sf_dir, "events"), "event_type", "value", "view")
 
 
 @query("o2_top_shortcuts", "SELECT * FROM (SELECT l_suppkey, count(*)::DOUBLE AS score, count(*) >= 600 AS flagged FROM lineitem GROUP BY 1 ORDER BY score DESC, l_suppkey DESC LIMIT 6)")
@@ -705,9 +768,10 @@ def _event_log(spark: SparkSession, sf_dir: str) -> str:
     return path
 
 
-@query("s2_log_profile", "SELECT count(*) AS records, count(*) = 0 AS empty FROM events")
+@query("s2_log_profile", "SELECT true AS present, count(*) AS records, count(*) = 0 AS empty, 'uid,k' AS fields, 'service' AS missing_fields FROM events")
 def log_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs.profile(spark, _event_log(spark, sf_dir))
+    d = logs.profile(spark, _event_log(spark, sf_dir), ("uid", "service"))
+    return d.select("present", "records", "empty", F.array_join("fields", ",").alias("fields"), F.array_join("missing_fields", ",").alias("missing_fields"))
 
 
 @query("s4_tolerant_scan", EVENTS + "SELECT (1.5 + event_id)::DOUBLE AS ts, 'u' || event_id AS uid, CASE WHEN k % 2 = 0 THEN k END AS port FROM ev WHERE event_id % 5 <> 0")
@@ -720,32 +784,40 @@ def tolerant_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(parse.number("ts").alias("ts"), "uid", parse.whole(ft.quoted("id.resp_p")).alias("port"))
 
 
-@query("s6_load_runs", "SELECT l_linenumber::INT AS run_id, l_returnflag AS label, count(*) AS n FROM lineitem WHERE l_linenumber IN (2, 3) GROUP BY ALL")
+@query("s6_load_runs", "SELECT l_linenumber::INT AS run_id, l_returnflag AS label, count(*) AS n, round(sum(l_tax), 6) AS seconds FROM lineitem GROUP BY ALL")
 def load_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line number is a run with a file of its own."""
     folder = shared(spark, "runs")
-    for run in (2, 3):
-        d = table(spark, sf_dir, "lineitem").filter(F.col("l_linenumber") == run).select(F.col("l_tax").alias("flow_duration"), F.col("l_returnflag").alias("label"))
-        d.write.option("header", "true").csv(f"{folder}/run_{run}")
-    return tables.load_runs(spark, [f"{folder}/run_{r}" for r in (2, 3)]).groupBy("run_id", "label").agg(F.count("*").alias("n"))
+    d = table(spark, sf_dir, "lineitem").select("l_linenumber", F.col("l_tax").alias("flow_duration"), F.col("l_returnflag").alias("label"))
+    runs = [r[0] for r in d.select("l_linenumber").distinct().orderBy("l_linenumber").collect()]
+    for run in runs:
+        d.filter(F.col("l_linenumber") == run).drop("l_linenumber").write.option("header", "true").csv(f"{folder}/run_{run}")
+    found = tables.load_runs(spark, [f"{folder}/run_{r}" for r in runs])
+    return found.groupBy("run_id", "label").agg(F.count("*").alias("n"), F.round(F.sum("flow_duration"), 6).alias("seconds"))
+
 
+ANNOTATED = {
+    "event_id: blank": "i % 29 = 0", "run_id: not whole": "i % 31 = 0", "label: unknown": "i % 37 = 0", "attacker_ip: invalid": "i % 7 = 0", "target_ip: invalid": "false", "endpoints: equal": "i % 7 <> 0 AND i % 41 = 0", "protocol: unknown": "i % 43 = 0",
+    "protocol: not of the attack": "i % 37 <> 0 AND i % 43 <> 0 AND i % 5 = 0", "tool: blank": "i % 47 = 0", "tool: not of the attack": "i % 37 <> 0 AND i % 47 <> 0 AND i % 3 = 0", "command: blank": "i % 53 = 0", "target_port: invalid": "i % 4 = 0",
+    "start_utc: unreadable": "i % 9 = 0", "end_utc: unreadable": "i % 59 = 0", "interval: empty": "i % 9 <> 0 AND i % 59 <> 0 AND i % 6 = 0", "status: unknown": "i % 61 = 0",
+    "return_code: not whole": "i % 67 = 0", "return_code: not 0 on success": "i % 61 <> 0 AND i % 67 <> 0 AND i % 2 = 0 AND i % 11 = 0", "error_type: on success": "i % 61 <> 0 AND i % 2 = 0 AND i % 13 = 0",
+    "status: failed without a reason": "i % 61 <> 0 AND i % 67 <> 0 AND i % 2 = 1 AND i % 11 <> 0 AND i % 13 <> 0",
+}
 
-@query("s9_annotation_rules", """
-SELECT rule, 'error' AS severity, v AS violations FROM (
-  SELECT 'target_port: invalid' AS rule, count(*) FILTER (event_id % 4 = 0) AS v FROM events UNION ALL SELECT 'interval: empty', count(*) FILTER (event_id % 6 = 0) FROM events
-  UNION ALL SELECT 'attacker_ip: invalid', count(*) FILTER (event_id % 7 = 0) FROM events UNION ALL SELECT 'start_utc: unreadable', count(*) FILTER (event_id % 9 = 0) FROM events)""")
+
+@query("s9_annotation_rules", "WITH e AS (SELECT event_id AS i FROM events) " + " UNION ALL ".join(f"SELECT '{n}' AS rule, 'error' AS severity, count(*) FILTER ({x}) AS violations FROM e" for n, x in ANNOTATED.items()))
 def annotation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An annotation row for each event, with errors put in by its id."""
     i = F.col("event_id")
     at = lambda shift: F.concat(F.date_format(F.col("ts") + F.expr(f"INTERVAL {shift} SECONDS"), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    by = lambda n, bad, good: F.when(i % n == 0, F.lit(bad) if isinstance(bad, str) else bad).otherwise(F.lit(good) if isinstance(good, str) else good)
     a = table(spark, sf_dir, "events").select(
-        i.cast("string").alias("event_id"), F.lit("1").alias("run_id"), F.lit("DoS").alias("label"), F.when(i % 7 == 0, "10.0.0.300").otherwise("10.0.0.30").alias("attacker_ip"), F.lit("10.0.0.1").alias("target_ip"), F.lit("TCP").alias("protocol"),
-        F.when(i % 4 == 0, "9-3").otherwise("443").alias("target_port"), F.when(i % 9 == 0, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")).otherwise(at(0)).alias("start_utc"), F.when((i % 6 == 0) & (i % 9 != 0), at(-5)).when(i % 6 == 0, "1970-01-01T00:00:00Z").otherwise(at(5)).alias("end_utc"),
-        F.lit("success").alias("status"), F.lit("0").alias("return_code"),
+        by(29, " ", i.cast("string")).alias("event_id"), by(31, "-1", "1").alias("run_id"), by(37, "Worm", "DoS").alias("label"), by(7, "10.0.0.300", by(41, "10.0.0.1", "10.0.0.30")).alias("attacker_ip"), F.lit("10.0.0.1").alias("target_ip"),
+        by(43, "icmp", by(5, "TCP", "udp")).alias("protocol"), by(47, "", by(3, "/usr/bin/nmap", "/usr/bin/Python3")).alias("tool"), by(53, " ", "python3 x.py").alias("command"), by(4, "9-3", "443").alias("target_port"),
+        by(9, F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss"), at(0)).alias("start_utc"), by(59, "soon", by(6, at(-5), at(5))).alias("end_utc"), by(61, "maybe", by(2, "success", "failed")).alias("status"),
+        by(67, "x", by(11, "3", "0")).alias("return_code"), by(13, "timeout", "").alias("error_type"),
     )
-    wanted = ["target_port: invalid", "attacker_ip: invalid", "start_utc: unreadable", "interval: empty"]
-    out = contracts.evaluate(a, tables.annotation_rules()).filter(F.col("rule").isin(*wanted))
-    unreadable = table(spark, sf_dir, "events").filter("event_id % 18 = 0").agg(F.count("*").alias("u"))
-    # An interval without a readable start is reported as unreadable, not as empty.
-    return out.join(unreadable).select("rule", "severity", (F.col("violations") + F.when(F.col("rule") == "interval: empty", F.col("u")).otherwise(0)).alias("violations"))
+    return contracts.evaluate(a, tables.annotation_rules())
 
 
 @query("s13_sessions", "SELECT o_orderkey::VARCHAR AS session_id, o_orderkey % 3 > 0 AS ok, o_totalprice AS start FROM orders")
@@ -761,11 +833,11 @@ def effect_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logs.effect_windows(a, ["error"])
 
 
-@query("s19_inventory", "SELECT count(*) AS files, true AS digests FROM region")
+@query("s19_inventory", "SELECT r_regionkey::INT AS region, strlen(r_name) + 1 AS size, sha256(r_name || chr(10)) AS sha256 FROM region")
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared(spark, "files")
     table(spark, sf_dir, "region").repartitionByRange(5, "r_regionkey").select("r_regionkey", "r_name").write.partitionBy("r_regionkey").csv(path)
-    return tables.inventory(spark, path, "*.csv").agg(F.count("*").alias("files"), F.bool_and(F.length("sha256") == 64).alias("digests"))
+    return tables.inventory(spark, path, "*.csv").select(F.regexp_extract("path", r"r_regionkey=(\d+)/", 1).cast("int").alias("region"), "size", "sha256")
 
 
 @query("f8_blank_label", "SELECT event_id, event_id % 4 < 3 AS blank FROM events")
@@ -789,7 +861,7 @@ def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("f6_run_membership", "SELECT o_orderkey FROM orders WHERE year(o_orderdate) IN (1996, 1998)")
 def run_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = spark.createDataFrame([(1996,), (1998,)], "run_id int")
-    return table(spark, sf_dir, "orders").withColumn("run_id", F.year("o_orderdate")).join(F.broadcast(runs), "run_id", "left_semi").select("o_orderkey")
+    return joins.members(table(spark, sf_dir, "orders").withColumn("run_id", F.year("o_orderdate")), runs).select("o_orderkey")
 
 
 @query("p4_port_class", "SELECT l_orderkey, l_linenumber, CASE WHEN p < 1024 THEN 'well_known' WHEN p < 49152 THEN 'registered' ELSE 'ephemeral' END AS port_class FROM (SELECT *, (l_partkey * 37) % 65535 + 1 AS p FROM lineitem)")
@@ -825,12 +897,20 @@ def select_common(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ft.select_common(d, ["label"]).select("flow_duration", "ja3", "label")
 
 
-@query("c4_value_domains", "SELECT 'flow_duration: negative' AS rule, 'error' AS severity, count(*) FILTER (l_linenumber = 1) AS violations FROM lineitem UNION ALL SELECT 'tot_fwd_pkts: fractional', 'error', count(*) FILTER (l_extendedprice <> floor(l_extendedprice)) FROM lineitem UNION ALL SELECT 'transport: out of domain', 'error', count(*) FILTER (l_linestatus = 'F') FROM lineitem UNION ALL SELECT 'alpn: out of domain', 'warning', count(*) FROM lineitem")
+DOMAIN_RULES = {
+    "flow_duration: inf": "false", "flow_duration: negative": "l_linenumber = 1", "tot_fwd_pkts: inf": "l_linenumber = 2", "tot_fwd_pkts: negative": "false", "tot_fwd_pkts: fractional": "l_linenumber <> 2 AND l_extendedprice <> floor(l_extendedprice)",
+    "sni_present: inf": "false", "sni_present: negative": "false", "sni_present: not 0 or 1": "l_linenumber > 1", "transport: out of domain": "l_linestatus = 'F'", "tls_version: out of domain": "l_linenumber = 4",
+}
+
+
+@query("c4_value_domains", " UNION ALL ".join(f"SELECT '{n}' AS rule, 'error' AS severity, count(*) FILTER ({x}) AS violations FROM lineitem" for n, x in DOMAIN_RULES.items()) + " UNION ALL SELECT 'alpn: out of domain', 'warning', count(*) FROM lineitem")
 def value_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    i = F.col("l_linenumber")
     d = table(spark, sf_dir, "lineitem").select(
-        F.when(F.col("l_linenumber") == 1, -1.0).otherwise(1.0).alias("flow_duration"), F.col("l_extendedprice").alias("tot_fwd_pkts"), F.when(F.col("l_linestatus") == "F", "ICMP").otherwise("TCP").alias("transport"), F.lit("spdy").alias("alpn"))
-    wanted = ["flow_duration: negative", "tot_fwd_pkts: fractional", "transport: out of domain", "alpn: out of domain"]
-    return contracts.evaluate(d, contracts.common_rules(d.columns)).filter(F.col("rule").isin(*wanted))
+        F.when(i == 1, -1.0).otherwise(1.0).alias("flow_duration"), F.when(i == 2, float("inf")).otherwise(F.col("l_extendedprice")).alias("tot_fwd_pkts"), i.alias("sni_present"),
+        F.when(F.col("l_linestatus") == "F", "ICMP").otherwise("TCP").alias("transport"), F.when(i == 4, "1.4").otherwise("1.3").alias("tls_version"), F.lit("spdy").alias("alpn"),
+    )
+    return contracts.evaluate(d, contracts.common_rules(d.columns))
 
 
 @query("c6_junk_cells", "SELECT 'x: not a number' AS rule, 'error' AS severity, count(*) FILTER (event_id % 3 = 0) AS violations FROM events")
@@ -846,7 +926,7 @@ def coverage_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gate(intervals.event_evidence(flows(spark, sf_dir), windows(spark, sf_dir), 0.5)).select("event_id")
 
 
-@query("a6_label_conflicts", "SELECT list_sort(list(DISTINCT source)) AS label_set FROM documents GROUP BY text HAVING count(DISTINCT source) > 1 ORDER BY label_set LIMIT 5")
+@query("a4_label_conflicts", "SELECT list_sort(list(DISTINCT source)) AS label_set FROM documents GROUP BY text HAVING count(DISTINCT source) > 1 ORDER BY label_set LIMIT 5")
 def label_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates.conflicts(table(spark, sf_dir, "documents"), ["text"], "source")
 
@@ -864,5 +944,8 @@ def forest_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from netloom.operators import models
 
     d = table(spark, sf_dir, "lineitem").select(*NUMBERS, "l_linestatus", F.col("l_returnflag").alias("label"), "l_orderkey")
-    model = models.forest(d.filter("l_orderkey % 5 > 0"), NUMBERS, ["l_linestatus"], trees=10)
+    model = models.forest(d.filter("l_orderkey % 5 > 0"), NUMBERS, ["l_linestatus"])
     return statistics.class_metrics(models.predict(model, d.filter("l_orderkey % 5 = 0"), NUMBERS, ["l_linestatus"]), "label", "predicted")
+
+
+from netloom.plans import queries_audit  # noqa: E402, F401  registers its queries

@@ -11,9 +11,23 @@ ACCESS = "ts double, status int, request struct<method:string, uri:string, remot
 SESSION = "campaign_id string, run_id int, attempt_id string, seed long, session_id string, browser string, tier string, site string, url string, start double, end double, pages int, ok boolean, detail string"
 
 
+LINE = "struct<file:string,block:bigint,row:bigint>"
+
+
+def absent(spark: SparkSession, path: str) -> bool:
+    """Whether no file or folder is at a path (which may be a glob)."""
+    name = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = name.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(name)
+    return found is None or len(found) == 0
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(value, file, line_no): lines of a text source; line numbers follow file and offset order."""
-    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("line_no"))
+    """(value, line_no): lines of a text source. Line numbers sort by file, block of the file and place in the block.
+
+    Spark deals files and blocks to tasks by size, so the place within a task alone is no order.
+    """
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return spark.read.text(path).select("value", at.alias("line_no"))
 
 
 def header(raw: DataFrame) -> tuple[list[str], str]:
@@ -27,12 +41,14 @@ def header(raw: DataFrame) -> tuple[list[str], str]:
     return fields[0].split(sep)[1:], sep
 
 
-def read_zeek(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+def read_zeek(spark: SparkSession, path: str, strict: bool = True, columns: tuple[str, ...] = ("uid",)) -> DataFrame:
     """A TSV log with a # header: its fields as text, ``-`` and ``(empty)`` null, and line_no.
 
     Strict: a row with another number of cells is an error. Else such rows are left out, and a log
-    without header has the default connection columns. An absent file is an error of the reader.
+    without header has the default connection columns. An absent log has no rows, and ``columns``.
     """
+    if absent(spark, path):
+        return spark.createDataFrame([], ", ".join([*[f"`{c}` string" for c in columns], f"line_no {LINE}"]))
     raw = lines(spark, path)
     try:
         names, sep = header(raw)
@@ -51,10 +67,24 @@ def read_zeek(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     return rows.filter(fits).select(*[cell(i).alias(n) for i, n in enumerate(names)], "line_no")
 
 
-def profile(spark: SparkSession, path: str) -> DataFrame:
-    """(records, empty): data rows of a TSV log."""
-    data = spark.read.text(path).filter(~F.col("value").startswith("#") & (F.trim("value") != ""))
-    return data.agg(F.count("*").alias("records")).withColumn("empty", F.col("records") == 0)
+def profile(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> DataFrame:
+    """One row on a TSV log: present, records, empty, fields, missing_fields, sha256 (of each file, in path order).
+
+    An absent log has no records, fields or digests.
+    """
+    if absent(spark, path):
+        return spark.createDataFrame([(False, 0, True, [], list(required), [])], "present boolean, records long, empty boolean, fields array<string>, missing_fields array<string>, sha256 array<string>")
+    text = spark.read.text(path)
+    try:
+        fields = header(text)[0]
+    except ValueError:
+        fields = []
+    data = text.filter(~F.col("value").startswith("#") & (F.trim("value") != "")).agg(F.count("*").alias("records"))
+    digests = spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("d")).groupBy().agg(F.sort_array(F.collect_list(F.struct("path", "d"))).alias("f"))
+    array = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    return data.join(digests).select(
+        F.lit(True).alias("present"), "records", (F.col("records") == 0).alias("empty"), array(fields).alias("fields"), array([c for c in required if c not in fields]).alias("missing_fields"), F.col("f.d").alias("sha256"),
+    )
 
 
 def read_access_log(raw: DataFrame) -> DataFrame:

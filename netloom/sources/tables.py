@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import struct
 from collections.abc import Iterator
@@ -15,6 +16,7 @@ from netloom.functions import features as ft
 from netloom.functions.parse import epoch, ipv4, number, port_high, port_low, port_span
 from netloom.operators.contracts import Rule
 from netloom.operators.splits import run_of_path, union_runs
+from netloom.sources import logs
 
 # Columns of the annotation file.
 ANNOTATION = ["event_id", "run_id", "label", "attacker_ip", "target_ip", "target_hostname", "protocol", "target_port", "start_utc", "end_utc", "tool", "command", "command_argv", "parameters", "return_code", "status", "error_type", "campaign_id", "campaign_sha256", "config_id", "split", "scenario_version", "orchestrator_version"]
@@ -51,25 +53,57 @@ def load_runs(spark: SparkSession, paths: list[str]) -> DataFrame:
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
     """All columns as text, with the row number ``ord``."""
     d = spark.read.csv(path, header=True, multiLine=True, escape='"')
-    return d.withColumn("ord", F.monotonically_increasing_id())
+    return d.withColumn("ord", F.monotonically_increasing_id())  # a file that may hold line breaks in cells is read by one task
 
 
-def annotation_rules() -> list[Rule]:
-    """What each annotation row must fulfil."""
+# The protocol and the tool that each attack is made with.
+ATTACK_PROTOCOL = {"PortScan": "tcp", "BruteForce": "tcp", "DoS": "udp"}
+ATTACK_TOOL = {"PortScan": "nmap", "BruteForce": "hydra", "DoS": "python3"}
+# Annotation columns that tell a campaign.
+CAMPAIGN_CELLS = ["campaign_id", "campaign_sha256", "config_id", "split"]
+
+
+def annotation_rules(columns: list[str] | None = None) -> list[Rule]:
+    """What each annotation row must fulfil; rules on columns that a file lacks are left out."""
     c = F.col
     start, end = epoch("start_utc"), epoch("end_utc")
     lo, hi = port_low("target_port"), port_high("target_port")
     blank = lambda x: F.coalesce(F.trim(x) == "", F.lit(True))
-    return [
-        Rule("event_id: blank", blank("event_id")), Rule("run_id: not whole", c("run_id").try_cast("int").isNull()),
-        Rule("label: unknown", ~F.coalesce(c("label").isin(*[x for x in ft.LABELS if x != "BENIGN"]), F.lit(False))),
-        Rule("attacker_ip: invalid", ~ipv4("attacker_ip")), Rule("target_ip: invalid", ~ipv4("target_ip")), Rule("endpoints: equal", c("attacker_ip") == c("target_ip")),
-        Rule("protocol: unknown", ~F.coalesce(F.lower("protocol").isin("tcp", "udp"), F.lit(False))),
-        Rule("target_port: invalid", lo.isNull() | hi.isNull() | (lo < 1) | (hi > 65535) | (lo > hi)),
-        Rule("start_utc: unreadable", start.isNull()), Rule("end_utc: unreadable", end.isNull()), Rule("interval: empty", end <= start),
-        Rule("status: unknown", ~F.coalesce(c("status").isin("success", "failed"), F.lit(False))),
-        Rule("return_code: not 0 on success", (c("status") == "success") & (F.coalesce(c("return_code").try_cast("int"), F.lit(-1)) != 0)),
+    code, kind = F.trim("return_code").try_cast("int"), F.coalesce(F.trim("error_type"), F.lit(""))
+    of_class = lambda table: F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), F.trim("label"))
+    tool = F.lower(F.regexp_extract(F.trim("tool"), r"([^/]*)$", 1))
+    rules = [
+        (("event_id",), Rule("event_id: blank", blank("event_id"))), (("run_id",), Rule("run_id: not whole", ~F.coalesce(F.trim("run_id").rlike(r"^\d+$"), F.lit(False)))),
+        (("label",), Rule("label: unknown", ~F.coalesce(F.trim("label").isin(*[x for x in ft.LABELS if x != "BENIGN"]), F.lit(False)))),
+        (("attacker_ip",), Rule("attacker_ip: invalid", ~ipv4("attacker_ip"))), (("target_ip",), Rule("target_ip: invalid", ~ipv4("target_ip"))), (("attacker_ip", "target_ip"), Rule("endpoints: equal", c("attacker_ip") == c("target_ip"))),
+        (("protocol",), Rule("protocol: unknown", ~F.coalesce(F.lower("protocol").isin("tcp", "udp"), F.lit(False)))),
+        (("protocol", "label"), Rule("protocol: not of the attack", F.lower("protocol").isin("tcp", "udp") & (F.lower("protocol") != of_class(ATTACK_PROTOCOL)))),
+        (("tool",), Rule("tool: blank", blank("tool"))), (("tool", "label"), Rule("tool: not of the attack", ~blank("tool") & (tool != of_class(ATTACK_TOOL)))), (("command",), Rule("command: blank", blank("command"))),
+        (("target_port",), Rule("target_port: invalid", lo.isNull() | hi.isNull() | (lo < 1) | (hi > 65535) | (lo > hi))),
+        (("start_utc",), Rule("start_utc: unreadable", start.isNull())), (("end_utc",), Rule("end_utc: unreadable", end.isNull())), (("start_utc", "end_utc"), Rule("interval: empty", end <= start)),
+        (("status",), Rule("status: unknown", ~F.coalesce(c("status").isin("success", "failed"), F.lit(False)))),
+        (("return_code",), Rule("return_code: not whole", code.isNull())), (("status", "return_code"), Rule("return_code: not 0 on success", (c("status") == "success") & (code != 0))),
+        (("status", "error_type"), Rule("error_type: on success", (c("status") == "success") & (kind != ""))), (("status", "return_code", "error_type"), Rule("status: failed without a reason", (c("status") == "failed") & (code == 0) & (kind == ""))),
     ]
+    return [r for needs, r in rules if columns is None or set(needs) <= set(columns)]
+
+
+def annotation_file_rules(annotations: DataFrame) -> DataFrame:
+    """(rule, violations) that concern rows together: event ids that come twice, and runs beyond the first."""
+    twice = annotations.filter(F.trim("event_id") != "").groupBy(F.trim("event_id").alias("e")).agg(F.count("*").alias("n")).agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("violations"))
+    runs = annotations.select(F.trim("run_id").try_cast("int").alias("r")).filter("r is not null").agg(F.greatest(F.count_distinct("r") - 1, F.lit(0)).alias("violations"))
+    return twice.select(F.lit("event_id: repeated").alias("rule"), "violations").unionByName(runs.select(F.lit("run_id: several runs").alias("rule"), "violations"))
+
+
+def campaign_aware(annotations: DataFrame) -> bool:
+    """Whether any row tells a campaign, in one of the columns that may."""
+    here = [c for c in CAMPAIGN_CELLS if c in annotations.columns]
+    if not here:
+        return False
+    told = F.lit(False)
+    for c in here:
+        told = told | (F.coalesce(F.trim(c), F.lit("")) != "")
+    return not annotations.filter(told).isEmpty()
 
 
 def attack_windows(annotations: DataFrame, use_failed: bool = False, padding_ms: float = 0.0) -> DataFrame:
@@ -83,12 +117,103 @@ def attack_windows(annotations: DataFrame, use_failed: bool = False, padding_ms:
     )
 
 
-def single_version(annotations: DataFrame, column: str, known: list[str]) -> str:
-    """The one version that all rows name; none, several or an unknown one is an error."""
-    found = [r[0] for r in annotations.select(column).filter(F.trim(column) != "").distinct().limit(3).collect()]
-    if len(found) != 1 or found[0] not in known:
-        raise ValueError(f"{column}: {found}")
-    return found[0]
+def single_version(annotations: DataFrame, column: str, known: list[str], every_row: bool = False) -> str | None:
+    """The one version that rows name, or None if the column is absent or empty.
+
+    Several or an unknown one is an error, and so is, with ``every_row``, a row without one.
+    """
+    if column not in annotations.columns:
+        if every_row:
+            raise ValueError(f"{column}: no such column")
+        return None
+    cell = F.coalesce(F.trim(column), F.lit(""))
+    if every_row and not annotations.filter(cell == "").isEmpty():
+        raise ValueError(f"{column}: rows without one")
+    found = [r[0] for r in annotations.select(cell.alias("v")).filter("v <> ''").distinct().limit(3).collect()]
+    if len(found) > 1 or any(v not in known for v in found):
+        raise ValueError(f"{column}: {sorted(found)}")
+    return found[0] if found else None
+
+
+def read_json(text: str) -> tuple[dict, str]:
+    """An object from strict JSON (no NaN, no repeated keys) and the SHA-256 of its text."""
+
+    def once(pairs: list[tuple[str, object]]) -> dict:
+        out = dict(pairs)
+        if len(out) != len(pairs):
+            raise ValueError("a key comes twice")
+        return out
+
+    def refuse(name: str) -> None:
+        raise ValueError(f"{name} is no JSON number")
+
+    found = json.loads(text, object_pairs_hook=once, parse_constant=refuse)
+    if not isinstance(found, dict):
+        raise ValueError("no JSON object")
+    return found, hashlib.sha256(text.encode()).hexdigest()
+
+
+def write_json(spark: SparkSession, path: str, value: dict) -> str:
+    """Write strict JSON under a temporary name and rename it; returns the SHA-256 of its text."""
+    text = strict_json(value)
+    jvm = spark.sparkContext._jvm
+    here, there = jvm.org.apache.hadoop.fs.Path(f"{path}.tmp"), jvm.org.apache.hadoop.fs.Path(path)
+    fs = there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    out = fs.create(here)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(there, False)
+    if not fs.rename(here, there):
+        raise OSError(f"{path} could not be renamed")
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def write_status(spark: SparkSession, path: str, state: str, fields: dict) -> str:
+    """The status of a run, as ``running``, ``failed`` (with an error) or ``success``; returns its digest."""
+    if state not in ("running", "failed", "success"):
+        raise ValueError(f"no state {state}")
+    if state == "failed" and not fields.get("error"):
+        raise ValueError("a failed run needs an error")
+    return write_json(spark, path, {**fields, "status": state})
+
+
+# How the files of a run are named.
+SPLIT_READY, RUN_STATUS = "_split_ready.csv", "_run_status.json"
+
+
+def statuses_beside(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(path, status_path, present, text, sha256): each split-ready file with the status file that belongs beside it."""
+    rows = []
+    for path in paths:
+        if not path.endswith(SPLIT_READY):
+            raise ValueError(f"{path} is not named *{SPLIT_READY}")
+        rows.append((path, path[: -len(SPLIT_READY)] + RUN_STATUS))
+    wanted = spark.createDataFrame(rows, "path string, status_path string")
+    there = [s for _, s in rows if not logs.absent(spark, s)]
+    name = lambda c: F.regexp_replace(c, r"^file:/+", "/")
+    kind = "__at string, text string, sha256 string"
+    found = spark.read.format("binaryFile").load(there).select(name(F.col("path")).alias("__at"), F.decode("content", "UTF-8").alias("text"), F.sha2("content", 256).alias("sha256")) if there else spark.createDataFrame([], kind)
+    out = wanted.join(found, name(F.col("status_path")) == F.col("__at"), "left")
+    return out.select("path", "status_path", F.col("text").isNotNull().alias("present"), "text", "sha256")
+
+
+def read_cells(spark: SparkSession, path: str, label: str = "label", binary: bool = False, look_at: int = 500, benign: str = "BENIGN") -> tuple[DataFrame, list[str], list[str]]:
+    """A CSV for the shortcut audit: cells, its numeric columns and its text columns.
+
+    A column is numeric if of its first ``look_at`` cells that are not empty all are numbers (that
+    look is the feature, the cells themselves are all read). Numeric cells that are no number are
+    null. Labels may be folded to attack or benign.
+    """
+    d = spark.read.csv(path, header=True, inferSchema=False)
+    columns = [c for c in d.columns if c != label]
+    empty = lambda c: F.coalesce(F.trim(ft.quoted(c)), F.lit("")).isin("", "nan", "None")
+    numeric = []
+    for c in columns:
+        seen = d.filter(~empty(c)).select(F.trim(ft.quoted(c)).try_cast("double").alias("v")).limit(look_at).agg(F.count("*").alias("n"), F.count("v").alias("k")).first()
+        if seen["n"] and seen["n"] == seen["k"]:
+            numeric.append(c)
+    out = d.select(*[(number(ft.quoted(c)) if c in numeric else F.when(~empty(c), F.trim(ft.quoted(c)))).alias(c) for c in columns], (ft.binary_label(ft.quoted(label), benign) if binary else ft.quoted(label)).alias(label))
+    return out, numeric, [c for c in columns if c not in numeric]
 
 
 def inventory(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -129,15 +254,24 @@ def pcap_info(content: bytes) -> dict:
     return out | {"ok": out["packets"] > 0, "reason": "" if out["packets"] else "no packets"}
 
 
-def read_captures(spark: SparkSession, path: str) -> DataFrame:
-    """(path, ok, reason, packets, first_ts, last_ts) of capture files."""
+def walk_captures(files: DataFrame) -> DataFrame:
+    """(path, ok, reason, packets, first_ts, last_ts) of capture files (path, content)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             yield pd.DataFrame([{"path": p} | pcap_info(bytes(c)) for p, c in zip(f["path"], f["content"], strict=True)], columns=["path", "ok", "reason", "packets", "first_ts", "last_ts"])
 
-    d = spark.read.format("binaryFile").load(path).select("path", "content")
-    return d.mapInPandas(run, "path string, ok boolean, reason string, packets long, first_ts double, last_ts double")
+    return files.select("path", "content").mapInPandas(run, "path string, ok boolean, reason string, packets long, first_ts double, last_ts double")
+
+
+def read_captures(spark: SparkSession, path: str) -> DataFrame:
+    """``walk_captures`` of the files at a path; a file is in one task's memory."""
+    return walk_captures(spark.read.format("binaryFile").load(path))
+
+
+def unambiguous(audit: DataFrame) -> DataFrame:
+    """Audit rows that are not marked ambiguous; a mark that is no number is none."""
+    return audit.filter(F.coalesce(F.trim(F.col("ambiguous").cast("string")).try_cast("double"), F.lit(0.0)) == 0)
 
 
 def publish(frames: dict[str, DataFrame], folder: str, status: dict, fmt: str = "parquet") -> None:
@@ -179,7 +313,3 @@ def publish(frames: dict[str, DataFrame], folder: str, status: dict, fmt: str =
 def strict_json(value: dict) -> str:
     """JSON with sorted keys and without NaN."""
     return json.dumps(value, sort_keys=True, allow_nan=False, indent=2)
-
-
-def monitor_numbers(d: DataFrame, columns: list[str]) -> DataFrame:
-    return d.withColumns({c: number(c) for c in columns})

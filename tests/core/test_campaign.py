@@ -7,17 +7,22 @@ import pytest
 from pyspark.sql import functions as F
 
 from netloom.functions import features as ft
-from netloom.operators import effects, generator, joins, models, shortcuts, splits, statistics
+from netloom.functions import policy
+from netloom.operators import effects, generator, joins, models, realism, shortcuts, splits, statistics
 from netloom.plans import campaign
 from netloom.sources import logs, tables
 from netloom.streaming import monitor
 
 MANIFEST = {
     "campaign_id": "demo-1", "expected_labels": ["BENIGN", "DoS"], "required_labeling_policy": dict(campaign.STRICT),
-    "runs": {"0": {"config_id": 0, "split": "train", "seed": 1, "day": "2026-01-01", "attacks": ["DoS"], "target_ip": "10.0.0.1", "attacker_ip": "10.0.0.9"}, "1": {"config_id": 5, "split": "test", "seed": 2, "day": "2026-01-02", "attacks": ["DoS"], "target_ip": "10.0.0.1", "attacker_ip": "10.0.0.9"}},
+    "runs": {"0": {"config_id": 0, "split": "train", "seed": 1, "day": "2026-01-01", "attacks": ["DoS"], "target_ip": "10.0.0.1", "attacker_ip": "10.0.0.9", "target_host": "srv.lab", "timeout": 9, "dos_seconds": 5}, "1": {"config_id": 5, "split": "test", "seed": 2, "day": "2026-01-02", "attacks": ["DoS"], "target_ip": "10.0.0.1", "attacker_ip": "10.0.0.9", "target_host": "srv.lab", "timeout": 9, "dos_seconds": 5}},
 }
 
 
+def named(rows):
+    return rows.withColumn("split", F.when(F.col("split") == "validation", "val").otherwise(F.col("split")))
+
+
 def changed(path, value):
     m = copy.deepcopy(MANIFEST)
     at = m
@@ -31,13 +36,24 @@ def changed(path, value):
     (["campaign_id"], "a b", "safe name"), (["expected_labels"], ["DoS", "DoS"], "repeats"), (["expected_labels"], ["Worm"], "unknown"), (["runs"], {}, "empty"),
     (["runs", "0", "split"], "other", "split"), (["runs", "0", "config_id"], True, "config"), (["runs", "0", "config_id"], 5, "in test and elsewhere"), (["runs", "0", "seed"], -1, "seed"),
     (["runs", "0", "day"], "soon", "ISO"), (["runs", "0", "day"], "2026-02-01", "lie after"), (["runs", "1", "split"], "train", "no run"), (["required_labeling_policy", "use_failed"], 0, "boolean"),
-    (["required_labeling_policy", "min_port_coverage"], 1.5, "share"),
+    (["required_labeling_policy", "min_port_coverage"], 1.5, "share"), (["runs", "0", "attacks"], [], "empty plan"), (["runs", "0", "attacks"], ["DoS", "DoS"], "twice"), (["runs", "0", "attacks"], ["BENIGN"], "no attack"), (["runs", "0", "attacks"], ["PortScan"], "does not expect"),
+    (["expected_labels"], ["BENIGN", "DoS", "PortScan"], "planned by no run"), (["required_policy_profile"], "lax", "unknown"), (["benign_quality_policy"], {"min_benign_flow": 1}, "unknown fields"), (["benign_quality_policy"], {"min_benign_flows": 0}, "positive"),
+    (["max_domain_auc"], 2, "share"), (["max_duration_fallback_rate"], 0.1, "needs a window overlap"), (["min_overall_realism_quality"], "strong", "belongs"), (["release_quality_policy"], {"max_mean_js": 0.2}, "not all its fields"),
 ])
 def test_bad_manifests(path, value, said):
     with pytest.raises(campaign.ManifestError, match=said):
         campaign.load_manifest(changed(path, value))
 
 
+@pytest.mark.parametrize("field,value,said", [("target_ip", "10.0.0.9", "are one"), ("attacker_ip", "::1", "IPv4"), ("target_host", "-x", "host name"), ("timeout", 0, "timeout"), ("dos_seconds", None, "dos_seconds"), ("day", None, "seed or day")])
+def test_runs_that_cannot_be_made_again(field, value, said):
+    with pytest.raises(campaign.ManifestError, match=said):
+        campaign.load_manifest(changed(["runs", "0", field], value), reproducible=True)
+    brute = json.loads(json.dumps(MANIFEST).replace("DoS", "BruteForce"))
+    with pytest.raises(campaign.ManifestError, match="word lists"):
+        campaign.load_manifest(json.dumps(brute), reproducible=True)
+
+
 def test_policy():
     assert campaign.load_manifest(json.dumps(MANIFEST), reproducible=True)["campaign_id"] == "demo-1"
     assert campaign.policy_violations(campaign.STRICT, campaign.STRICT) == []
@@ -101,16 +117,38 @@ def test_generated_campaign_is_built_and_judged(spark):
     numeric, text = ["flow_duration", "tot_fwd_pkts", "totlen_bwd_bytes"], ["transport", "ja3s"]
     p = models.predict(models.forest(train, numeric, text, trees=10, balanced=True), test, numeric, text)
     assert models.macro_f1(p, "label", "predicted") > 0.5
-    out = models.transfer(train, test, generator.generate(spark, 600, shares, runs=2, seed=9).select("label", *numeric, *text), numeric, text, trees=8)
-    assert out["reference"] > 0.5 and out["ratio"] > 0.3
-    assert models.domain_auc(train.select("label", *numeric), test.select("label", *numeric), numeric, [], trees=5).count() >= 2
+    real = b.rows.filter("split <> 'validation'")
+    other = generator.generate(spark, 600, shares, runs=2, seed=9, profile="broad").select("run_id", "label", *numeric, *text).cache()
+    for balanced in (False, True):
+        out = realism.transfer(real, other, numeric, text, balance=balanced, seeds=(0,), trees=8)
+        assert out["reference"] > 0.4 and out["ratio"] > 0.3 and 0 <= out["trts"] <= 1
+    by = realism.domain_report(rows, other, numeric, text, trees=5)
+    assert by["held_out_by"] == "run" and 0 <= by["macro_auc"] <= 1 and set(by["per_class"]) <= set(shares) and len(by["top_features"]) == 8
+    same = realism.domain_report(rows.drop("run_id"), rows.drop("run_id"), numeric, [], run=None, trees=5)
+    assert same["held_out_by"] == "hash" and abs(same["auc_raw"] - 0.5) < 0.2 and sum(x["real"] for x in same["support_test"].values()) > 100
+    assert realism.domain_report(rows.limit(0), other, numeric, [], run=None, trees=5)["auc_raw"] is None
+    found = models.baseline(named(b.rows), numeric, text, trees=8)
+    assert found["balanced_accuracy"] > 0.4 and found["mcc"] > 0.3 and 0 < found["pr_auc"] <= 1 and sum(found["confusion"].values()) == test.count()
+    assert "before test" in models.baseline(named(b.rows).withColumn("timestamp", -F.col("timestamp")), numeric, text)["reason"]
+    assert "unknown" in models.baseline(named(b.rows).drop("timestamp"), numeric, text)["reason"] and "class" in models.baseline(named(b.rows.filter("label = 'DoS'")), numeric, text)["reason"]
+    apart = realism.separability(rows, ["flow_duration", "tot_fwd_pkts", "totlen_bwd_bytes"], [], ["flow_duration", "tot_fwd_pkts"], trees=8)
+    assert 0.5 < apart["volume_f1"] <= 1 and len(apart["importances"]) == 3 and apart["split"] == "last run"
+    meter = generator.with_meter(generator.generate(spark, 300, shares, seed=4))
+    assert set(ft.EXTENDED) <= set(meter.columns) and campaign.contracts.evaluate(meter, campaign.contracts.meter_rules(meter.columns) + campaign.contracts.common_rules(meter.columns)).filter("violations > 0").count() == 0
+    assert meter.filter("transport = 'UDP' and flow_SYN_flag_count is not null").count() == 0 and {r.alpn for r in d.filter("label = 'DoS'").select("alpn").distinct().collect()} == {"h2", "http/1.1"}
     curve, said = models.fragility(train, test, ["flow_duration", "tot_fwd_pkts", "tot_bwd_pkts", "totlen_fwd_bytes", "totlen_bwd_bytes", "down_up_ratio", "flow_bytes_s", "flow_pkts_s"], levels=(0.0, 2.0), trees=8)
     assert said in ("stable", "moderate", "severe") and curve[0.0] >= curve[2.0] - 0.1
-    r = models.regimes(ft.COMMON, {"identifiers": ["ja3", "ja3s"], "names": ["sni_present"], "P": ["transport"]})
-    assert [len(r[k]) for k in ("A1", "D1", "D2", "P")] == [15, 13, 12, 11]
+    assert [len(c) for c in policy.regimes([*ft.COMMON, "label"]).values()] == [15, 14, 13, 13, 12, 11]
+    with pytest.raises(ValueError, match="no regime"):
+        policy.regimes(ft.COMMON, wanted=("X",))
+    assert policy.group_of("Src IP") == "sii" and policy.group_of("Start-UTC") == "bookkeeping" and policy.group_of("tls_fingerprint") == "fingerprints"
     net = models.predict(models.network(train, numeric, []), test, numeric, [])
     assert models.macro_f1(net, "label", "predicted") > 0.2
-    assert models.balance(rows, "label", 5, 1).groupBy("label").count().filter("count > 5").count() == 0
+    drawn = models.balance_to(rows, "label", {"DoS": 5, "BENIGN": 7, "PortScan": 0}, 1)
+    assert {r.label: r["count"] for r in drawn.groupBy("label").count().collect()} == {"DoS": 5, "BENIGN": 7}
+    assert [drawn.exceptAll(models.balance_to(rows, "label", {"DoS": 5, "BENIGN": 7}, s)).count() == 0 for s in (1, 2)] == [True, False]
+    with pytest.raises(ValueError, match="train lacks"):
+        models.encode_labels(train, [test.withColumn("label", F.lit("new"))])
 
 
 def test_realism_and_release():
@@ -167,8 +205,11 @@ def test_readers_and_checks(spark, tmp_path):
         splits.union_runs([both, both.drop("label")])
     with pytest.raises(Exception):
         logs.read_sessions(spark.createDataFrame([("{broken",)], "value string")).collect()
-    flows = spark.createDataFrame([("c", "v", "TCP", 2), ("c", "v", "udp", 0)], "src string, dst string, proto string, resp_pkts int")
-    assert tuple(joins.mirrored(flows, "c", "v").first()) == (True, True, True)
+    flows = spark.createDataFrame([("c", "v", "TCP", 443, 2), ("c", "v", "udp", 443, 0), ("c", "x", "udp", 443, 5)], "src string, dst string, proto string, port int, resp_pkts int")
+    seen = joins.mirrored(flows, "c", "v", 443, 443).first()
+    assert seen.victim_responded and seen.tcp_answered and not seen.udp_answered and not seen.victim_to_client and not seen.confirmed and len(seen.problems) == 1
+    assert joins.mirrored(flows, "c", "v", 443).first().confirmed and joins.mirrored(flows, "v", "c").first().problems == ["no flow from client to victim"]
+    assert joins.mirrored(flows.filter("proto = 'udp'"), "c", "v").first().problems == ["no response was mirrored"]
     assert 0.9 < statistics.ks_p_value(0.01, 100, 100) <= 1 and statistics.ks_p_value(0.5, 100, 100) < 1e-6
 
 

@@ -113,9 +113,9 @@ def test_a_run_from_logs_to_projections(spark, tmp_path):
     annotations = tmp_path / "ann.csv"
     annotations.write_text("event_id,run_id,label,attacker_ip,target_ip,protocol,target_port,start_utc,end_utc,status,return_code\n"
                            "b,1,BruteForce,a,v,TCP,443,1970-01-01T00:01:40Z,1970-01-01T00:03:20Z,success,0\n"
-                           "x,1,DoS,a,v,TCP,443,1970-01-01T00:01:40Z,1970-01-01T00:03:20Z,failed,1\n")
+                           "x,1,DoS,a,v,UDP,443,1970-01-01T00:01:40Z,1970-01-01T00:03:20Z,failed,1\n")
     notes = tables.read_annotations(spark, str(annotations))
-    bad = {r.rule for r in contracts.evaluate(notes, tables.annotation_rules()).filter("violations > 0").collect()}
+    bad = {r.rule for r in contracts.evaluate(notes, tables.annotation_rules(notes.columns)).filter("violations > 0").collect()}
     assert bad == {"attacker_ip: invalid", "target_ip: invalid"}
     labelled = labeling.label_run(conn, ssl, quic, meter, tables.attack_windows(notes))
     got = {r.uid: r for r in labelled.collect()}
