@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters, as a Java regex class body.
 BLANKS = r"\x20\x09-\x0D"
+#: Where to write in a local session that names no shared folder.
 OWN_FOLDER = "/tmp/checkpoints/netloom"
+#: Keys with over a KEYS-th of all rows, and over LEAST_HOT of them, are hot: there are fewer than KEYS.
+KEYS, LEAST_HOT = 1000, 10_000
+#: Links up to so many need no look at their hubs: all that a node can have is little work for a task.
+FEW_LINKS = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only a session that names none (a test) gets one of our own.
+    Only a local session, whose driver is the executor too, may do without and gets one of our own.
     """
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or OWN_FOLDER
+    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is not set: on a cluster it has to name a folder that driver and executors share")
+    return OWN_FOLDER
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
@@ -30,15 +41,34 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder as Parquet and read it back.
+def free(name: str, taken: list[str]) -> str:
+    """The name of a result column: with the ending ``_found`` where a carried column has that name."""
+    while name in taken:
+        name += "_found"
+    return name
 
-    A lost executor loses nothing of it, and later steps don't compute it again.
-    """
+
+def written(df: DataFrame, name: str) -> tuple[str, DataFrame]:
+    """Write ``df`` to the shared folder as Parquet: its path, and the table read back."""
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return path, spark.read.schema(df.schema).parquet(path)
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: ``df`` written to the shared folder and read back.
+
+    A lost executor loses nothing of it, and later steps don't compute it again.
+    """
+    return written(df, name)[1]
+
+
+def discard(spark: SparkSession, *paths: str) -> None:
+    """Delete tables of ``written`` that nothing reads any more."""
+    for name in paths:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def words(text: Column) -> Column:
@@ -46,34 +76,66 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{BLANKS}]+"), "")
 
 
-def components(links: DataFrame, name: str = "components", max_rounds: int = 60) -> DataFrame:
+def join_named(rows: DataFrame, named: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """``rows`` joined to ``named``, which has one row a key and in ``n`` how many of the rows have it; inner, no null keys.
+
+    A key may hold a third of all rows. Hot keys, fewer than KEYS by their definition, are
+    broadcast, so their rows stay where they are; all other keys meet in a shuffle. ``named`` and
+    ``rows`` are read twice.
+    """
+    total = named.agg(F.sum(n)).first()[0] or 0
+    bound = max(LEAST_HOT, total // KEYS)
+    if total <= LEAST_HOT:
+        return rows.join(named.drop(n), key)
+    hot = named.filter(F.col(n) > bound)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(named.filter(F.col(n) <= bound).drop(n), key)
+    return cold.unionByName(rows.join(F.broadcast(hot.drop(n)), key).select(*cold.columns))
+
+
+def components(links: DataFrame, name: str = "components", max_rounds: int = 200) -> DataFrame:
     """Connected components of undirected links (a long, b long).
 
     Returns (node, component), component being the smallest node reachable. Each round joins
     every node's neighbours to the smallest of them (large star), then halves the paths to the
     root (small star); rounds grow as the logarithm of the longest chain. Edges are one row per
-    neighbour and never gathered, and each round's table is written to the shared folder.
+    neighbour and never gathered; hubs are joined apart. Each round's table is written to the
+    shared folder, and deleted when the next one is there.
     """
     spark = links.sparkSession
-    edges = stored(
-        links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(),
-        f"{name}-0",
-    )
-    mark = None
+
+    def round_of(edges: DataFrame, i: int) -> tuple[str, DataFrame, tuple]:
+        path, out = written(edges, f"{name}-{i}")
+        return path, out, tuple(out.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    old: list[str] = []
+
+    def kept(table: DataFrame, i: int) -> DataFrame:
+        path, out = written(table, f"{name}-part-{i}")
+        old.append(path)
+        return out
+
+    def with_least(pairs: DataFrame, many: bool, i: int) -> DataFrame:
+        """``pairs`` (u, v) with ``m``, the least v of their u."""
+        if not many:
+            return pairs.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        return join_named(pairs, kept(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), i), "u")
+
+    first = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
+    path, edges, mark = round_of(first, 0)
     for i in range(1, max_rounds):
+        many = mark[0] > FEW_LINKS
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
-        small = small.unionByName(low.select("u", F.col("m").alias("v")))
-        small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-        edges = stored(small, f"{name}-{i}")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == mark:
+        large = with_least(both, many, i).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        large = with_least(kept(large.distinct(), i) if many else large, many, i)
+        pairs = large.select("m", F.explode(F.array("u", "v")).alias("x")).filter("x <> m")
+        small = pairs.select(F.greatest("x", "m").alias("u"), F.least("x", "m").alias("v")).distinct()
+        old.append(path)
+        before = mark
+        path, edges, mark = round_of(small, i)
+        discard(spark, *old)
+        old.clear()
+        if mark == before:
             break
-        mark = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
