@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import stored
+from netloom.llm.common import free, stored
 
 #: Features are hashed to so many bits; weights have 2**BITS entries at most.
 BITS = 20
@@ -92,14 +92,27 @@ def bounded_sample(labels: DataFrame, label: str, sample: int = SAMPLE) -> DataF
     return one.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(sample)
 
 
+def labelled_texts(docs: DataFrame, sample: DataFrame) -> DataFrame:
+    """(doc_id, text, label) of the ids in ``sample``, which the caller bounds: one text an id, however many rows have it.
+
+    Of several texts of an id that with the smallest hash counts. Copies are dropped before the shuffle.
+    """
+    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    one = F.min(F.struct(F.xxhash64(F.lit(13), "text").alias("h"), "text")).alias("t")
+    return found.groupBy("doc_id", "label").agg(one).select("doc_id", "t.text", "label")
+
+
 def score(docs: DataFrame, model: tuple[float, dict[int, float]], carry: list[str], threshold: float = 0.7) -> DataFrame:
     """The ``carry`` columns of ``docs`` (text) with score (0 to 1) and predicted (score >= threshold).
 
-    Whole texts count, each feature once however often it occurs; null and empty texts have no
-    features and get the intercept's score. Equal rows score alike.
+    A result whose name is also carried gets the ending ``_found``. Whole texts of any length count,
+    each feature once however often it occurs; null and empty texts have no features and get the
+    intercept's score. Equal rows, and texts with the same features, score alike. No rows give none.
     """
     bias, weights = model
-    schema = docs.select(*carry).schema.add("score", "double").add("predicted", "integer")
+    held = [f"c{i}" for i in range(len(carry))]
+    named = docs.select(*[F.col(c).alias(h) for c, h in zip(carry, held, strict=True)], F.col("text").alias("text"))
+    schema = named.select(*held).schema.add("score", "double").add("predicted", "integer")
     at, w = np.array(list(weights), dtype=np.int64), np.array(list(weights.values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,11 +121,12 @@ def score(docs: DataFrame, model: tuple[float, dict[int, float]], carry: list[st
         known = dense != 0
         for batch in batches:
             sums = []
-            for t in batch.column(len(carry)).cast(pa.binary()).to_pylist():
+            for t in batch.column(len(held)).cast(pa.binary()).to_pylist():
                 got = features(t)
                 sums.append(bias + dense[np.unique(got[known[got]])].sum())
             p = 1 / (1 + np.exp(-np.clip(np.array(sums, dtype=np.float64), -35, 35)))
-            columns = [batch.column(i) for i in range(len(carry))]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*carry, "score", "predicted"])
+            columns = [batch.column(i) for i in range(len(held))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(p), pa.array((p >= threshold).astype(np.int32))], [*held, "score", "predicted"])
 
-    return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(run, schema)
+    out = named.mapInArrow(run, schema)
+    return out.select(*[F.col(h).alias(c) for c, h in zip(carry, held, strict=True)], *[F.col(c).alias(free(c, carry)) for c in ("score", "predicted")])
