@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from netloom.llm.common import BLANKS, words
+from netloom.llm.common import BLANKS, free, words
 
 #: Labelled documents that the rules are learned on, those with the smallest hash of their id.
 SAMPLE = 6000
@@ -153,7 +153,9 @@ def expression(model: tuple[float, list[tuple[Rule, float]]]) -> Column:
 def score(docs: DataFrame, model: tuple[float, list[tuple[Rule, float]]], carry: list[str], threshold: float = 0.3) -> DataFrame:
     """The ``carry`` columns of ``docs`` (text) with score and predicted (score >= threshold).
 
-    Null and empty texts are scored by their statistics, which are 0. Equal rows score alike.
+    A result whose name is also carried gets the ending ``_found``. Null and empty texts are scored
+    by their statistics, which are 0; texts of any length count whole. Equal rows, and texts with
+    the same statistics, score alike. No rows give none.
     """
     judged = statistics(docs, carry).withColumn("__score", expression(model))
-    return judged.select(*[F.col(f"c__{c}").alias(c) for c in carry], F.col("__score").alias("score"), (F.col("__score") >= threshold).cast("int").alias("predicted"))
+    return judged.select(*[F.col(f"c__{c}").alias(c) for c in carry], F.col("__score").alias(free("score", carry)), (F.col("__score") >= threshold).cast("int").alias(free("predicted", carry)))
