@@ -56,15 +56,41 @@ def test_against_plain_version(spark):
             sums.setdefault(lang, Counter()).update(plain_counts(text))
     want = {k: top(c) for k, c in sums.items()}
     known = langid.profiles(df)
-    assert known == {k: [number(g) for g in p] for k, p in want.items()}
+    assert {(r.lang, r["rank"]): r.gram for r in known.collect()} == {(k, i): number(g) for k, p in want.items() for i, g in enumerate(p)}
     got = langid.identify(df, known, ["doc_id", "text"]).collect()
     assert len(got) == len(rows)
     for r in got:
         lang, score = plain(r.text, want)
         assert r.lang_pred == lang and abs(r.score - score) < 1e-12
     empty = spark.createDataFrame([], SCHEMA)
-    assert langid.profiles(empty) == {} and langid.identify(empty, known, ["doc_id"]).count() == 0
-    assert {tuple(r)[1:] for r in langid.identify(df, {}, ["doc_id"]).collect()} == {("und", 0.0)}
+    assert langid.profiles(empty).count() == 0 and langid.identify(empty, known, ["doc_id"]).count() == 0
+    assert {tuple(r)[1:] for r in langid.identify(df, langid.profiles(empty), ["doc_id"]).collect()} == {("und", 0.0)}
+
+
+def test_any_number_of_languages(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    name = lambda i: letters[i % 26] + letters[i // 26 % 26] + letters[i // 676]
+    rows = [(i, f"{name(i)} {name(i)}{name(i)}", f"l{i}") for i in range(langid.AT_ONCE + 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    known = langid.profiles(df)
+    assert known.select("lang").distinct().count() == langid.AT_ONCE + 1
+    some = df.filter("doc_id % 50 = 0")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in langid.identify(some, known, ["doc_id"]).collect()}
+    want = {k: top(plain_counts(t)) for _, t, k in rows}
+    for i in got:
+        lang, score = plain(rows[i][1], want)
+        assert got[i][0] == lang and abs(got[i][1] - score) < 1e-12
+
+
+def test_counts_are_passed_on_and_names_may_clash(spark, monkeypatch):
+    monkeypatch.setattr(langid, "HELD", 5)
+    rows = [(i, f"word{i % 3} and", "en") for i in range(40)]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "'x' as score", "'y' as lang_pred")
+    known = langid.profiles(df)
+    assert known.count() == len(top(sum((plain_counts(t) for _, t, _ in rows), Counter())))
+    got = langid.identify(df, known, ["doc_id", "score", "lang", "lang_pred"])
+    assert got.columns == ["doc_id", "score", "lang", "lang_pred", "lang_pred_found", "score_found"]
+    assert {tuple(r)[1:5] for r in got.collect()} == {("x", "en", "y", "en")}
 
 
 def test_held_out_accuracy(spark):
