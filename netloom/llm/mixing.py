@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from netloom.llm.common import BLANKS, stored
+from netloom.llm.common import BLANKS, free, stored
 
 #: Epochs a source may be read at most.
 EPOCHS = 3
@@ -44,13 +44,15 @@ def source_targets(sizes: DataFrame, epochs: int = EPOCHS) -> DataFrame:
 def mix_sources(docs: DataFrame, carry: list[str] | None = None, seed: int = 17, epochs: int = EPOCHS) -> DataFrame:
     """Each document with the number of times the mix reads it.
 
-    ``docs`` needs doc_id, text, source; ``carry`` names further columns to keep. Adds size
+    ``docs`` needs doc_id (of any type that sorts), text, source; ``carry`` names further columns to
+    keep. A result whose name is also carried gets the ending ``_found``. Adds size
     (words; null text: 0), source_size, target, finish (virtual time of the first copy: words of
     its source up to and including it in shuffled order, divided by the target) and copies.
     All copies of all documents in the order of finish time make the mix, which is cut off where
     its words would exceed the words of all sources. Null source: a source of its own. Empty
-    texts have size 0 and take nothing. Equal rows are documents of their own. An empty table
-    gives an empty mix. Reruns agree: the shuffle is a hash of the id and the text.
+    texts have size 0 and take nothing; texts of any length are counted whole. Equal rows are
+    documents of their own, ties go by id and size. An empty table gives an empty mix. Reruns agree:
+    the shuffle is a hash of the id and the text.
 
     A source may hold most rows, so running sums are taken in about sqrt(n) blocks of hash range
     with the sums of earlier blocks added; the cut is searched likewise in ranges of finish time.
@@ -62,7 +64,9 @@ def mix_sources(docs: DataFrame, carry: list[str] | None = None, seed: int = 17,
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(f"[^{BLANKS}]+")).cast("long").alias("size"),
         F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5("text"))), 1, 15), 16, 10).cast("long").alias("shuffle"),
     )
-    slim = stored(own.select("source", "size", "shuffle"), "mix-sizes")
+    # Without carried columns all rows are small: words are counted once. Else the texts stay where they are, and are counted again.
+    slim = stored(own.drop(*[f"__{c}" for c in carry or ()]), "mix-sizes")
+    own = own if carry else slim
     n = max(slim.count(), 1)
     bits = max(1, ceil(log2(n) / 2))
     block = F.shiftright("shuffle", 60 - bits).alias("block")
@@ -103,18 +107,20 @@ def mix_sources(docs: DataFrame, carry: list[str] | None = None, seed: int = 17,
     for copy in range(epochs):
         time = (copy * F.col("source_size") + F.col("upto")) / F.col("target")
         mine = F.struct(time, "rank", F.lit(copy), "shuffle", "doc_id", "size")
-        read = F.lit(True) if last is None else mine < F.struct(*[F.lit(x).cast(k) for x, k in zip(last, ("double", "int", "int", "long", "long", "long"), strict=True)])
+        kinds = ("double", "int", "int", "long", docs.schema["doc_id"].dataType, "long")
+        read = F.lit(True) if last is None else mine < F.struct(*[F.lit(x).cast(k) for x, k in zip(last, kinds, strict=True)])
         taken = taken + F.when((F.col("size") > 0) & read, 1).otherwise(0)
-    return queued.select(
-        *[F.col(f"__{c}").alias(c) for c in carry or () if c not in ("doc_id", "source")],
-        "doc_id", "source", "size", "source_size", "target",
-        F.when(F.col("target") > 0, F.col("upto") / F.col("target")).alias("finish"),
-        taken.cast("int").alias("copies"),
-    )
+    kept = [c for c in carry or () if c not in ("doc_id", "source")]
+    found = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "finish": F.when(F.col("target") > 0, F.col("upto") / F.col("target")), "copies": taken.cast("int")}
+    return queued.select(*[F.col(f"__{c}").alias(c) for c in kept], "doc_id", "source", *[c.alias(free(n, kept)) for n, c in found.items()])
 
 
 def take_mix(docs: DataFrame, seed: int = 17, epochs: int = EPOCHS) -> DataFrame:
-    """The rows of ``docs`` that the mix reads, each as often as it is read; all columns stay."""
+    """The rows of ``docs`` that the mix reads, each as often as it is read, in the order of their virtual finish times; all columns stay.
+
+    The order is global: rows are range-sorted, so files in the order of their names hold the mix.
+    """
     mixed = mix_sources(docs.withColumn("__row", F.struct(*docs.columns)), ["__row"], seed, epochs)
-    read = mixed.filter("copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return read.select("__row.*")
+    read = mixed.filter("copies > 0").select("__row", "finish", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"), (F.col("source_size") / F.col("target")).alias("lap"))
+    time = F.col("finish") + (F.col("copy") - 1) * F.col("lap")
+    return read.select("__row", time.alias("time")).repartitionByRange("time").sortWithinPartitions("time").select("__row.*")

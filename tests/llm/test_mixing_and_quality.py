@@ -1,3 +1,5 @@
+from collections import Counter
+
 import duckdb
 import pyarrow as pa
 import pytest
@@ -42,6 +44,21 @@ def test_targets_fill_caps_and_share_the_rest(spark):
     assert got == {"a": 30.0, "b": 960.0, "c": 30.0, None: 0.0}
 
 
+def test_mix_is_in_order_and_takes_other_ids(spark):
+    rows = [(f"d{i}", "w " * (i % 9 + 1), f"s{i % 4}", i, "x") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, source string, size int, finish string")
+    got = mixing.mix_sources(df, ["size", "finish"])
+    assert got.columns == ["size", "finish", "doc_id", "source", "size_found", "source_size", "target", "finish_found", "copies"]
+    time = {r.doc_id: (r.finish_found, r.source_size / r.target, r.copies) for r in got.collect()}
+    taken = [r.doc_id for r in mixing.take_mix(df).collect()]
+    assert Counter(taken) == {k: c for k, (_, _, c) in time.items() if c}
+    seen, order = Counter(), []
+    for d in taken:
+        order.append(time[d][0] + seen[d] * time[d][1])
+        seen[d] += 1
+    assert order == sorted(order)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert mixing.mix_sources(empty).count() == 0 and mixing.take_mix(empty).columns == empty.columns
