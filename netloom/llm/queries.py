@@ -19,45 +19,50 @@ def remainder(column: str, by: int) -> Column:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document; nulls, ties, repeats and empty tables as ``mixing.mix_sources`` says."""
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A toxicity score for every document, learned from labels outside the fold; odd rows as ``toxicity.score`` says."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = remainder("doc_id", 3) == 1
     sample = toxicity.bounded_sample(labels.filter(~held_out), "toxic")
-    # Rows of the sample: SAMPLE at most, so it can be broadcast.
-    labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    labelled = toxicity.labelled_texts(docs, sample)  # SAMPLE rows at most
     model = toxicity.fit(labelled)
     return toxicity.score(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; odd rows as ``simhash.with_components`` says."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document, learned from labels outside the fold; odd rows as ``quality_classifier.score`` says."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = remainder("doc_id", 5) == 0
     sample = toxicity.bounded_sample(labels.filter(~held_out), "quality", quality_classifier.SAMPLE)
-    # Rows of the sample: SAMPLE at most, so it can be broadcast.
-    labelled = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    labelled = toxicity.labelled_texts(docs, sample)  # SAMPLE rows at most
     model = quality_classifier.fit(labelled)
     return quality_classifier.score(docs.withColumn("held_out", held_out), model, ["doc_id", "held_out"])
 
 
 def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run of words that repeats an earlier passage; odd rows as ``suffix_dedup.find_repeats`` says."""
     return suffix_dedup.find_repeats(table(spark, sf_dir, "documents"))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written as a record and read back; odd rows as ``warc.write_archives`` says."""
     folder = new_folder(spark, "archives")
     warc.write_archives(table(spark, sf_dir, "pages"), folder)
     return warc.read_archives(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned outside the fold; odd rows as ``langid.identify`` says."""
     docs = table(spark, sf_dir, "documents")
     held_out = remainder("doc_id", 4) == 2
     known = langid.profiles(docs.filter(~held_out))
@@ -65,15 +70,18 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector; odd rows as ``embedding_dedup.near_vectors`` says."""
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document; odd rows as ``quality_rules.apply_quality_rules`` says."""
     judged = quality_rules.apply_quality_rules(table(spark, sf_dir, "documents"), ["doc_id"])
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded; odd rows as ``bpe.encode`` says."""
     import public_tokenizers
 
     return bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), ["doc_id"])
