@@ -46,10 +46,11 @@ def clusters(seed, n, spread, size=64):
     return out
 
 
-@pytest.mark.parametrize("bucket,block", [(4096, 1024), (16, 8)])
-def test_clusters_against_brute_force(spark, monkeypatch, bucket, block):
-    monkeypatch.setattr(ed, "BUCKET", bucket)
+@pytest.mark.parametrize("few,block", [(16, 4096), (16, 16), (1, 16)])
+def test_clusters_against_brute_force(spark, monkeypatch, few, block):
+    monkeypatch.setattr(ed, "FEW_BLOCKS", few)
     monkeypatch.setattr(ed, "BLOCK", block)
+    monkeypatch.setattr(ed, "AT_ONCE", 7)
     rows = clusters(2, 300, 0.14)
     rows += [(1000 + i, r[1], r[2], "c") for i, r in enumerate(rows[:20])] + [(2000, [2 * x for x in rows[0][1]], rows[0][2], "c")]
     assert sum(r[1] for r in plain(rows)) > 100
@@ -72,6 +73,22 @@ def test_codes_lose_no_pair():
     away -= (away * x).sum(axis=1, keepdims=True) * x
     angle = np.arccos(rng.uniform(0.975, 1, 400))[:, None]
     y = np.cos(angle) * x + np.sin(angle) * ed.units(away)
-    assert (ed.linked(x, y) == (x @ y.T >= 0.98)).all()
+    near = x @ y.T >= 0.98
+    codes, factor, small, scales = ed.coded(np.vstack([x, y]))
+    hope = ed.hopeful(codes[:400], factor[:400], small[400:], scales[400:])
+    assert near.sum() > 100 and not (near & ~hope).any() and hope.sum() < near.size / 4
     bits, tables = ed.plan(4096 * 4096)
     assert bits == 12 and (1 - (1 - math.acos(0.98) / math.pi) ** bits) ** tables <= 1e-6
+    assert ed.plan(16 * 4096) == (0, 1) == ed.plan(0) and ed.plan(16 * 4096 + 1)[0] == 5
+
+
+def test_estimates_have_no_bias():
+    rng = np.random.default_rng(6)
+    a, b = ed.units(rng.standard_normal((2, 64)))
+    b = ed.units((a + 0.3 * b)[None])[0]
+    got = []
+    for _ in range(400):  # turning both vectors alike is turning the rotation
+        q = np.linalg.qr(rng.standard_normal((64, 64)))[0]
+        codes, factor, small, scales = ed.coded(np.array([a @ q, b @ q]))
+        got.append(float(ed.vertices(codes[:1], 64)[0] @ (small[1] * scales[1, 0]) / factor[0]))
+    assert abs(np.mean(got) - a @ b) < 4 * np.std(got) / 20
