@@ -1,29 +1,41 @@
-"""BPE encoding and decoding through a table of distinct words."""
+"""BPE encoding and decoding through a table of distinct words.
+
+Texts are split into words in blocks: a block's documents become positions in the block's list of
+distinct words. The lists of all blocks are dealt by a hash of the word, so that all mentions of a
+word meet, and each distinct word is encoded once. The ids go back to the blocks that asked, are
+joined to their pieces there, and put at the words' positions.
+"""
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-#: Distinct words that one worker remembers from batch to batch.
-WORDS_HELD = 200_000
-#: Words that are encoded in one call, and about so many that are split from texts at once.
-WORDS_A_CALL, WORDS_AT_ONCE = 20_000, 200_000
+from netloom.llm.common import stored
 
-_tables: dict[str, WordTable] = {}
+#: Bytes of text of a block (a longer text is one by itself), and of all texts for each share of the word table.
+BLOCK, SHARE = 12 << 20, 16 << 20
+#: Words that the tokenizer encodes in one call.
+CALL = 20_000
+#: Texts whose ids must be those of their words, and their decoded text that of their pieces.
+PROBES = ("the cat", "It's 12 o'clock , really ?!", "Über\tété\nnaïve", "a  b\r\n c3po x", "日本 語 🙂 é ок", ". . , 7 7")
 
 
-class WordTable:
-    """Distinct words of a worker's documents with their ids and pieces, each word encoded once.
+class Vocabulary:
+    """A tokenizer that ends words at white space, with the piece of each id.
 
-    The vocabulary ends words at white space, so a text's ids are those of its words between ASCII
-    blanks, one after the other. A word's ids and pieces are held as text, ready to be joined by
-    position. Once ``WORDS_HELD`` words are held, the table starts anew with the next batch.
+    Raises ValueError for a tokenizer whose ids of a text are not those of its words between blanks,
+    one after the other, or that decodes other than by joining pieces with blanks.
     """
 
     def __init__(self, path: str) -> None:
@@ -32,76 +44,162 @@ class WordTable:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        #: Of each id, the piece that it decodes to.
-        self.pieces = {i: p for p, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
-        self.ids: dict[bytes, str] = {b"": ""}
-        self.decoded: dict[bytes, str] = {b"": ""}
-        self.counts: dict[bytes, int] = {b"": 0}
-
-    def add(self, words: set[bytes]) -> None:
-        """Encode the words that the table lacks, and look up their ids' pieces."""
-        if len(self.ids) > WORDS_HELD:
-            for held in (self.ids, self.decoded, self.counts):
-                held.clear()
-        new = [w for w in words if w not in self.ids]
-        for at in range(0, len(new), WORDS_A_CALL):
-            part = new[at : at + WORDS_A_CALL]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                ids = e.ids
-                self.ids[w] = " ".join(map(str, ids))
-                self.decoded[w] = " ".join([self.pieces[i] for i in ids])
-                self.counts[w] = len(ids)
-
-    def encode(self, words: list[bytes]) -> tuple[int, str, str]:
-        """Number of ids, ids joined by blanks and decoded text of a text's words."""
-        counts = list(map(self.counts.__getitem__, words))
-        if 0 in counts:  # a word of white space alone has no ids
-            words = [w for w, n in zip(words, counts, strict=True) if n]
-        return sum(counts), " ".join(map(self.ids.__getitem__, words)), " ".join(map(self.decoded.__getitem__, words))
-
-
-def word_table(path: str) -> WordTable:
-    """The worker's table for the vocabulary at ``path``."""
-    if path not in _tables:
-        _tables[path] = WordTable(path)
-    return _tables[path]
-
-
-def split_runs(texts: pa.Array) -> Iterator[list[list[bytes]]]:
-    """The words of each text, in runs of texts with about WORDS_AT_ONCE words."""
-    run, n = [], 0
-    for t in texts:
-        run.append((t.as_py() or b"").split())
-        n += len(run[-1])
-        if n >= WORDS_AT_ONCE:
-            yield run
-            run, n = [], 0
-    yield run
+        names = self.tokenizer.get_vocab(with_added_tokens=True)
+        pieces = [""] * (max(names.values(), default=-1) + 1)
+        for piece, i in names.items():
+            pieces[i] = piece
+        self.pieces = pa.array(pieces, pa.string())
+        for text in PROBES:
+            whole = self.tokenizer.encode(text, add_special_tokens=False).ids
+            apart = [i for e in self.encode(text.split()) for i in e]
+            if whole != apart or self.tokenizer.decode(whole, skip_special_tokens=False) != " ".join(pieces[i] for i in whole):
+                raise ValueError(f"{path}: not a vocabulary of words that end at blanks; it can't be encoded word by word")
+
+    def encode(self, words: list[str]) -> list[list[int]]:
+        out = []
+        for at in range(0, len(words), CALL):
+            out += [e.ids for e in self.tokenizer.encode_batch_fast(words[at : at + CALL], add_special_tokens=False)]
+        return out
+
+
+_vocabularies: dict[str, Vocabulary] = {}
+
+
+def vocabulary(path: str) -> Vocabulary:
+    """The worker's vocabulary at ``path``."""
+    if path not in _vocabularies:
+        _vocabularies[path] = Vocabulary(path)
+    return _vocabularies[path]
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2**32, compressed byte by byte: first all low bytes, then all next ones."""
+    return zlib.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def blocks(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about BLOCK bytes of text."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at, done = 0, 0
+    while at < batch.num_rows:
+        stop = max(at + 1, int(np.searchsorted(ends, done + BLOCK, side="right")))
+        yield batch.slice(at, stop - at)
+        at, done = stop, int(ends[stop - 1])
+
+
+def split(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct words of the texts, most frequent first, the place of each word in them, and the words of each text."""
+    listed = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+    owner, found = pc.list_parent_indices(listed).to_numpy(), listed.flatten().dictionary_encode()
+    kinds, codes = found.dictionary, found.indices.to_numpy()
+    empty = pc.index(kinds, pa.scalar("", kinds.type)).as_py()  # what stands before a leading blank
+    if empty >= 0:
+        owner, codes = owner[codes != empty], codes[codes != empty]
+    seen = np.bincount(codes, minlength=len(kinds))
+    order = np.argsort(-seen, kind="stable")[: int((seen > 0).sum())]
+    rank = np.empty(len(kinds), np.int64)
+    rank[order] = np.arange(len(order))
+    return kinds.take(pa.array(order)), rank[codes], np.bincount(owner, minlength=len(texts))
 
 
 def encode(docs: DataFrame, path: str, carry: list[str], texts: bool = False) -> DataFrame:
     """The ``carry`` columns of ``docs`` (text) with n_tokens, ids_sha256 and decoded_sha256.
 
-    With ``texts``, token_ids (an array) and decoded come too. Null and empty texts have no ids.
-    Each row is encoded by itself, so equal rows give equal rows. Special tokens written in a text
-    are recognised and stay in the decoded text. Nothing is shuffled: words are split by Spark's
-    tasks, the distinct ones encoded once in each worker, ids joined back by position.
-    """
-    schema = docs.select(*carry).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    if texts:
-        schema = schema.add("token_ids", ArrayType(IntegerType())).add("decoded", "string")
+    With ``texts``, token_ids (an array) and decoded come too. A result whose name is also carried
+    gets the ending ``_found``. Null, empty and blank texts have no ids. Each row is encoded by
+    itself, so equal rows give equal rows and ties don't matter. Texts of any length are encoded
+    whole; a text, and a block of some megabytes of texts, is in one task's memory. Special tokens
+    written in a text are recognised and stay in the decoded text. An empty table gives no rows.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = word_table(path)
+    Blocks and their lists of words are written to the shared folder once. A word goes to the table
+    once for each block that has it, however often it stands there, so frequent words are no hot keys.
+    """
+    spark = docs.sparkSession
+    held = [f"c{i}" for i in range(len(carry))]
+    kept = StructType()
+    for name, c in zip(held, carry, strict=True):
+        kept.add(name, docs.schema[c].dataType)
+    parts = StructType(kept.fields[:]).add("block", "long").add("share", "long").add("n", "long").add("data", "binary").add("ranks", "binary")
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shares = total // SHARE + 1
+    cores = spark.sparkContext.defaultParallelism
+    tasks = max(min(shares, int(spark.conf.get("spark.sql.shuffle.partitions"))), cores)
+    shares = max(shares, 4 * tasks)
+
+    def divide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base = TaskContext.get().partitionId() << 32
         for batch in batches:
-            out = []
-            for part in split_runs(batch.column(len(carry)).cast(pa.binary())):
-                table.add(set().union(*part))
-                for ws in part:
-                    n, ids, decoded = table.encode(ws)
-                    row = (n, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
-                    out.append((*row, list(map(int, ids.split())), decoded) if texts else row)
-            made = [pa.array([r[i] for r in out], schema_type) for i, schema_type in enumerate([pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()][: 5 if texts else 3])]
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(carry))], *made], schema.fieldNames())
-
-    return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(run, schema)
+            for some in blocks(batch, len(held)):
+                kinds, codes, sizes = split(some.column(len(held)))
+                ends = np.cumsum(sizes)
+                data = [packed(codes[b - n : b]) for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                n, none = some.num_rows, pa.nulls(some.num_rows, pa.binary())
+                yield pa.RecordBatch.from_arrays([*[some.column(i) for i in range(len(held))], pa.repeat(pa.scalar(base, pa.int64()), n), pa.nulls(n, pa.int64()), pa.array(sizes, pa.int64()), pa.array(data, pa.binary()), none], parts.fieldNames())
+                words = kinds.cast(pa.binary()).to_pylist()
+                of = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) % np.uint64(shares)
+                order = np.argsort(of, kind="stable")
+                cuts = np.flatnonzero(np.concatenate((np.ones(min(len(of), 1), bool), np.diff(of[order]) > 0)))
+                asked = [order[a:b] for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True)] if len(cuts) else []
+                n = len(asked)
+                rows = [pa.array([base] * n, pa.int64()), pa.array([int(of[x[0]]) for x in asked], pa.int64()), pa.array([len(x) for x in asked], pa.int64())]
+                rows += [pa.array([zlib.compress(b"\n".join([words[i] for i in x.tolist()]), 1) for x in asked], pa.binary()), pa.array([packed(np.diff(x, prepend=0)) for x in asked], pa.binary())]
+                yield pa.RecordBatch.from_arrays([*[pa.nulls(n, some.column(i).type) for i in range(len(held))], *rows], parts.fieldNames())
+                base += 1
+
+    def look_up(asked: pa.Table) -> pa.Table:
+        """Encode the distinct words of a share of the table; answer each block's question with ids, word after word."""
+        words = [w for data in asked.column("data").to_pylist() for w in zlib.decompress(data).decode().split("\n")]
+        found = pa.array(words, pa.large_string()).dictionary_encode()
+        ids = vocabulary(path).encode(found.dictionary.to_pylist())
+        answers, at = [], 0
+        codes = found.indices.to_pylist()
+        for n in asked.column("n").to_pylist():
+            mine = [ids[c] for c in codes[at : at + n]]
+            answers.append((packed(np.array([i for x in mine for i in x], np.int64)), packed(np.fromiter(map(len, mine), np.int64, n))))
+            at += n
+        return pa.table({"block": asked.column("block"), "ranks": asked.column("ranks"), "ids": pa.array([a[0] for a in answers], pa.binary()), "sizes": pa.array([a[1] for a in answers], pa.binary())})
+
+    out = StructType()
+    for name in held:
+        out.add(name, kept[name].dataType)
+    out.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    if texts:
+        out.add("token_ids", ArrayType(IntegerType())).add("decoded", "string")
+
+    def join(mine: pa.Table, answers: pa.Table) -> pa.Table:
+        """Put the ids of a block's words at their positions, and the ids' pieces beside them."""
+        ranks = [np.cumsum(unpacked(x)) for x in answers.column("ranks").to_pylist()]
+        ranks = np.concatenate([*ranks, np.empty(0, np.int64)])
+        sizes = np.concatenate([*[unpacked(x) for x in answers.column("sizes").to_pylist()], np.empty(0, np.int64)])
+        ids = np.concatenate([*[unpacked(x) for x in answers.column("ids").to_pylist()], np.empty(0, np.int64)])
+        size, start = np.zeros(len(ranks), np.int64), np.zeros(len(ranks), np.int64)
+        size[ranks], start[ranks] = sizes, np.cumsum(sizes) - sizes
+        codes = [unpacked(x) for x in mine.column("data").to_pylist()]
+        n_words, codes = list(map(len, codes)), np.concatenate([*codes, np.empty(0, np.int64)])
+        took = size[codes]
+        before = np.concatenate(([0], np.cumsum(took)))
+        ids = ids[np.arange(before[-1]) + np.repeat(start[codes] - before[:-1], took)]
+        ends = before[np.concatenate(([0], np.cumsum(n_words)))]
+        known, place = np.unique(ids, return_inverse=True)
+        place = pa.array(place)
+        joined = []
+        for names in (pa.array(list(map(str, known.tolist())), pa.string()), vocabulary(path).pieces.take(pa.array(known))):
+            joined.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names.take(place)), " "))
+        digests = [[hashlib.sha256(x.as_buffer()).hexdigest() for x in column] for column in joined]
+        made = [pa.array(np.diff(ends)), pa.array(digests[0], pa.string()), pa.array(digests[1], pa.string())]
+        if texts:
+            made += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())), joined[1]]
+        return pa.Table.from_arrays([*[mine.column(name) for name in held], *made], out.fieldNames())
+
+    named = [F.col(c).alias(name) for name, c in zip(held, carry, strict=True)]
+    made = stored(docs.select(*named, F.col("text").alias("text")).mapInArrow(divide, parts), "bpe-blocks")
+    asked = made.filter("share is not null").select("block", "share", "n", "data", "ranks").repartition(tasks, "share")
+    table = asked.groupBy("share").applyInArrow(look_up, "block long, ranks binary, ids binary, sizes binary")
+    mine = made.filter("share is null").select(*held, "block", "data").repartition(tasks, "block")
+    found = mine.groupBy("block").cogroup(table.repartition(tasks, "block").groupBy("block")).applyInArrow(join, out)
+    names = {name: c for name, c in zip(held, carry, strict=True)}
+    return found.select(*[F.col(c).alias(names.get(c, c if c not in carry else f"{c}_found")) for c in out.fieldNames()])

@@ -1,7 +1,12 @@
 import hashlib
+import uuid
+from pathlib import Path
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 from tokenizers import Tokenizer
 
 from netloom.llm import bpe
@@ -39,13 +44,51 @@ def test_whole_table(spark):
     check(spark, pq.read_table("/root/testdata/sf0.001/documents.parquet")["text"].to_pylist())
 
 
-def test_table_starts_anew(spark, monkeypatch):
-    monkeypatch.setattr(bpe, "WORDS_HELD", 10)
-    table = bpe.WordTable(PATH)
-    for text in ODD:
-        words = (text or "").encode().split()
-        table.add(set(words))
-        assert table.encode(words)[0] == len(whole(table.tokenizer, text)[0])
+def test_many_blocks_and_shares(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "BLOCK", 200)
+    monkeypatch.setattr(bpe, "SHARE", 500)
+    check(spark, ODD + [f"the {i} cat {'very ' * (i % 40)}w{i % 7}" for i in range(300)])
+
+
+def test_words_are_told_apart_and_counted():
+    kinds, codes, sizes = bpe.split(pa.array([" b a b ", None, "", "\t \n", "a b"]))
+    assert kinds.to_pylist() == ["b", "a"] and codes.tolist() == [0, 1, 0, 1, 0] and sizes.tolist() == [3, 0, 0, 0, 2]
+    kinds, codes, sizes = bpe.split(pa.array([None, ""], pa.string()))
+    assert not len(kinds) and not len(codes) and sizes.tolist() == [0, 0]
+    some = np.array([0, 1, 255, 256, 70000, 2**32 - 1])
+    assert bpe.unpacked(bpe.packed(some)).tolist() == some.tolist() and not len(bpe.unpacked(bpe.packed(some[:0])))
+
+
+def test_each_distinct_word_is_encoded_once(spark, tmp_path, monkeypatch):
+    log = str(tmp_path)
+
+    class Counted(bpe.Vocabulary):
+        def encode(self, words):
+            if not set(words) <= {w for t in bpe.PROBES for w in t.split()}:
+                (Path(log) / uuid.uuid4().hex).write_text("\n".join(words))
+            return super().encode(words)
+
+    monkeypatch.setattr(bpe, "BLOCK", 300)
+    monkeypatch.setattr(bpe, "Vocabulary", Counted)
+    monkeypatch.setattr(bpe, "vocabulary", lambda path: Counted(path))
+    texts = [f"same words here and w{i % 50}" for i in range(400)]
+    bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), PATH, ["doc_id"]).collect()
+    words = [w for f in tmp_path.iterdir() for w in f.read_text().split("\n")]
+    assert sorted(words) == sorted({w for t in texts for w in t.split()})
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json"])
+def test_other_vocabularies_are_refused(name):
+    with pytest.raises(ValueError):
+        bpe.Vocabulary(public_tokenizers.path(name))
+
+
+def test_carried_names_that_clash(spark):
+    rows = [(1, "a b c", "x", 7), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids_sha256 string, block int")
+    got = bpe.encode(df, PATH, ["doc_id", "text", "ids_sha256", "block"])
+    assert got.columns == ["doc_id", "text", "ids_sha256", "block", "n_tokens", "ids_sha256_found", "decoded_sha256"]
+    assert {(r.doc_id, r.text, r.ids_sha256, r.block, r.n_tokens) for r in got.collect()} == {(1, "a b c", "x", 7, 3), (None, None, None, None, 0)}
 
 
 def test_empty_table_and_repeated_rows(spark):
