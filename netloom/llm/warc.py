@@ -17,6 +17,8 @@ LEAST_BYTES = 1000
 #: Bytes of a range that one task scans, and that it reads at once beyond it.
 RANGE, AHEAD = 16 << 20, 1 << 20
 MAGIC = b"\x1f\x8b\x08"
+#: Members behind a range that have to be good too, before what starts in it is taken for records.
+SURE = 8
 RECORD = b"WARC/1."
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
@@ -85,7 +87,9 @@ def write_archives(pages: DataFrame, folder: str) -> None:
     Payloads are the html in UTF-8, null being empty. Of equal payloads of LEAST_BYTES or more, that
     with the largest page_id is a response and the others revisit it; rows that share that id are
     responses each, and so are rows without an id among themselves (one with an id comes before
-    them). Spark's text writer stores the members as they are, so task output is committed by Spark.
+    them). Html of any length is one record, in one task's memory; equal rows are records each; an empty
+    table writes no record; further columns are not looked at. Spark's text writer stores the members
+    as they are, so task output is committed by Spark.
     """
     slim = pages.select("page_id", F.sha1(F.coalesce(F.col("html"), F.lit("")).cast("binary")).alias("sha1"), F.octet_length(F.coalesce("html", F.lit(""))).alias("bytes"))
     held = slim.filter(F.col("bytes") >= LEAST_BYTES).groupBy("sha1").agg(F.max("page_id").alias("last"), F.count("*").alias("n")).filter("n > 1 and last is not null")
@@ -101,50 +105,100 @@ def write_archives(pages: DataFrame, folder: str) -> None:
     made.select(F.col("value").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY.decode("latin1")).text(folder)
 
 
-def records_in(file, length: int, start: int, stop: int) -> Iterator[bytes]:
-    """The records of a gzip file that start in bytes [start, stop), wherever they end.
+HEAD = re.compile(rb"WARC/1\.\d+\r\n((?:[^\r\n:]+:[^\r\n]*\r\n)+)\r\n")
 
-    Each place with gzip's magic is a candidate. It starts a record if what it inflates to begins
-    as one and the member ends well, before another member or the file's end; the next candidate is
-    looked for behind it. Members of no bytes are passed over.
-    """
-    file.seek(start)
-    data, base = file.read(min(stop + AHEAD, length) - start), start
-    at = 0
-    while True:
-        at = data.find(MAGIC, at)
-        if at < 0 or base + at >= stop:
-            return
-        inflate, parts, fed = zlib.decompressobj(31), [], at
-        good, size = True, 0
-        while good and not inflate.eof:
-            if fed == len(data):
-                more = file.read(AHEAD)
-                if not more:
-                    good = False
-                    break
-                data += more
-            piece = data[fed : fed + AHEAD]
+
+def is_record(data: bytes) -> bool:
+    """Whether a member is one whole record: a head that can be decoded, with a type, an id and the length that follows."""
+    head = HEAD.match(data)
+    if head is None:
+        return False
+    named = fields(head[0])
+    length = named.get("content-length", "")
+    return "warc-type" in named and "warc-record-id" in named and length.isdigit() and len(data) == head.end() + int(length) + 4 and data.endswith(b"\r\n\r\n")
+
+
+class Members:
+    """The bytes of a file from ``start`` on, read as far as they are asked for."""
+
+    def __init__(self, file, length: int, start: int, stop: int) -> None:
+        file.seek(start)
+        self.file, self.base = file, start
+        self.data = file.read(min(stop + AHEAD, length) - start)
+
+    def more(self) -> bool:
+        got = self.file.read(AHEAD)
+        self.data += got
+        return bool(got)
+
+    def inflated(self, at: int) -> tuple[bytes, int] | None:
+        """What the member at ``at`` inflates to and where it ends; None if there is no whole member of a record (or of no bytes)."""
+        inflate, parts, fed, size = zlib.decompressobj(31), [], at, 0
+        while not inflate.eof:
+            if fed >= len(self.data) and not self.more():
+                return None
+            piece = self.data[fed : fed + AHEAD]
             try:
                 parts.append(inflate.decompress(piece))
             except zlib.error:
-                good = False
-                break
+                return None
             fed += len(piece)
             size += len(parts[-1])
             if size and not b"".join(parts[:2])[: len(RECORD)].startswith(RECORD[:size]):
-                good = False
-        end = fed - len(inflate.unused_data)
-        if good:
-            while len(data) < end + len(MAGIC) and (more := file.read(AHEAD)):
-                data += more
-            good = data[end : end + len(MAGIC)] in (MAGIC, b"")
-        if not good:
-            at += 1
-            continue
-        if size:
-            yield b"".join(parts)
-        at = end
+                return None
+        out = b"".join(parts)
+        return (out, fed - len(inflate.unused_data)) if not out or is_record(out) else None
+
+
+def chain(members: Members, at: int, stop: int, beyond: int = 0) -> Iterator[bytes | None]:
+    """The records from ``at`` on that start before ``stop``; None, as the last, if a member isn't good or has no other behind it.
+
+    That is looked at for ``beyond`` more members behind ``stop`` too.
+    """
+    while members.base + at < stop or beyond > 0:
+        inside = members.base + at < stop
+        got = members.inflated(at)
+        if got is None:
+            yield None
+            return
+        if inside and got[0]:
+            yield got[0]
+        beyond -= not inside
+        at = got[1]
+        while len(members.data) < at + len(MAGIC) and members.more():
+            pass
+        behind = members.data[at : at + len(MAGIC)]
+        if not behind:
+            return
+        if behind != MAGIC:
+            yield None
+            return
+
+
+def records_in(file, length: int, start: int, stop: int) -> Iterator[bytes]:
+    """The records of a gzip file that start in bytes [start, stop), wherever they end.
+
+    Each place with gzip's magic is a candidate. It starts a record if what it inflates to is one
+    whole record and the members behind it are good up to the end of the range and SURE more, or up
+    to the file's end: so archives that lie inside a payload aren't taken for records. Members of no bytes are passed
+    over. In the first range the file has to start with a good member, and a bad one is an error.
+    """
+    members, at = Members(file, length, start, stop), 0
+    if start == 0:
+        for data in chain(members, 0, stop):
+            if data is None:
+                raise ValueError("a damaged archive")
+            yield data
+        return
+    while True:
+        at = members.data.find(MAGIC, at)
+        if at < 0 or members.base + at >= stop:
+            return
+        if members.inflated(at) is not None:
+            if all(data is not None for data in chain(members, at, stop, SURE)):  # a first pass that holds one record at a time
+                yield from chain(members, at, stop)
+                return
+        at += 1
 
 
 def read_archives(spark: SparkSession, folder: str, payload: bool = False, size: int = RANGE) -> DataFrame:
@@ -155,7 +209,9 @@ def read_archives(spark: SparkSession, folder: str, payload: bool = False, size:
     """
     files = spark.read.format("binaryFile").load(folder).select("path", "length").filter("length > 0")
     ranges = files.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(size).cast("long"))))
-    ranges = ranges.repartition(F.col("path"), F.col("start"))
+    # Rows are few and tiny, the work behind each is not: a number of partitions that isn't merged again.
+    many = ranges.count()
+    ranges = ranges.repartition(max(1, min(many, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))))
     names = ["page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", *["payload"] * payload]
     kinds = {"page_id": pa.int64(), "url": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "payload": pa.binary()}
 

@@ -4,6 +4,7 @@ import hashlib
 import io
 import os
 import random
+import zlib
 
 import pytest
 
@@ -76,3 +77,34 @@ def test_damage_is_an_error(spark, tmp_path):
     (tmp_path / "a.warc.gz").write_bytes(bad)
     with pytest.raises(Exception, match="another digest"):
         warc.read_archives(spark, f"{tmp_path}/a.warc.gz").collect()
+
+
+@pytest.mark.parametrize("size", [7, 300, 4000])
+def test_an_archive_in_a_payload_is_no_record(size):
+    rng = random.Random(4)
+    inner = b"".join(warc.member(warc.record(900 + i, "in", b"inside", "00" * 20, None)) for i in range(2))
+    noise = lambda n: bytes(rng.randrange(256) for _ in range(n))
+    squeeze = lambda r: (lambda z: z.compress(r) + z.flush())(zlib.compressobj(0, zlib.DEFLATED, 31))  # noqa: E731  stored as it is
+    records = [warc.record(i, "u", noise(50) + inner + noise(60 + i), "00" * 20, None) for i in range(12)]
+    data = b"".join(map(squeeze, records))
+    assert data.count(inner) == 12
+    got = []
+    for start in range(0, len(data), size):
+        got += warc.records_in(io.BytesIO(data), len(data), start, min(start + size, len(data)))
+    assert got == records
+
+
+def test_ranges_are_partitions_of_their_own(spark, tmp_path):
+    rows = [(i, "u", f"text {i} " * 50, None) for i in range(300)]
+    warc.write_archives(spark.createDataFrame(rows, SCHEMA).coalesce(1), f"{tmp_path}/w")
+    from pyspark.sql import functions as F
+
+    got = warc.read_archives(spark, f"{tmp_path}/w", size=2000).select("page_id", F.spark_partition_id().alias("p"))
+    assert got.count() == 300 and got.select("p").distinct().count() > 4
+
+
+def test_a_cut_archive_is_an_error(spark, tmp_path):
+    data = b"".join(warc.member(warc.record(i, "u", b"text", hashlib.sha1(b"text").hexdigest(), None)) for i in range(3))
+    (tmp_path / "a.warc.gz").write_bytes(data[:-9])
+    with pytest.raises(Exception, match="damaged"):
+        warc.read_archives(spark, f"{tmp_path}/a.warc.gz").collect()
