@@ -1,24 +1,30 @@
 """BPE encoding and decoding through a table of distinct words.
 
-Texts are split into words in blocks: a block's documents become positions in the block's list of
-distinct words. The lists of all blocks are dealt by a hash of the word, so that all mentions of a
-word meet, and each distinct word is encoded once. The ids go back to the blocks that asked, are
-joined to their pieces there, and put at the words' positions.
+Texts are split into words in blocks: a block's documents become places in the block's list of
+distinct words, and are stored as such. The lists of all blocks are dealt by a hash of the word, so
+that all mentions of a word meet, and each distinct word is encoded once. The ids go back to the
+part of the table whose blocks asked, are joined to their pieces there, and put at the words'
+positions. So neither texts nor places are shuffled, only distinct words and their ids.
 """
 
 from __future__ import annotations
 
 import hashlib
-import zlib
+import re
 from collections.abc import Iterator
+from urllib.parse import unquote
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import xxhash
+import zstandard
+from pyarrow.fs import FileSystem
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from netloom.llm.common import stored
@@ -72,13 +78,21 @@ def vocabulary(path: str) -> Vocabulary:
     return _vocabularies[path]
 
 
+def squeezed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=3).compress(data)
+
+
+def unsqueezed(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
 def packed(numbers: np.ndarray) -> bytes:
     """Numbers below 2**32, compressed byte by byte: first all low bytes, then all next ones."""
-    return zlib.compress(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+    return squeezed(numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+    return np.ascontiguousarray(np.frombuffer(unsqueezed(data), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
 def blocks(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
@@ -115,8 +129,10 @@ def encode(docs: DataFrame, path: str, carry: list[str], texts: bool = False) ->
     whole; a text, and a block of some megabytes of texts, is in one task's memory. Special tokens
     written in a text are recognised and stay in the decoded text. An empty table gives no rows.
 
-    Blocks and their lists of words are written to the shared folder once. A word goes to the table
-    once for each block that has it, however often it stands there, so frequent words are no hot keys.
+    Blocks and their lists of words are written to the shared folder once, and a part of them, what
+    one task wrote, is read through Arrow's file systems where its ids arrive. A word goes to the
+    table once for each block that has it, however often it stands there, so frequent words are no
+    hot keys.
     """
     spark = docs.sparkSession
     held = [f"c{i}" for i in range(len(carry))]
@@ -124,6 +140,7 @@ def encode(docs: DataFrame, path: str, carry: list[str], texts: bool = False) ->
     for name, c in zip(held, carry, strict=True):
         kept.add(name, docs.schema[c].dataType)
     parts = StructType(kept.fields[:]).add("block", "long").add("share", "long").add("n", "long").add("data", "binary").add("ranks", "binary")
+    # A row for each text with the number of its words; the first of a block holds the places of all words of the block.
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shares = total // SHARE + 1
     cores = spark.sparkContext.defaultParallelism
@@ -135,10 +152,9 @@ def encode(docs: DataFrame, path: str, carry: list[str], texts: bool = False) ->
         for batch in batches:
             for some in blocks(batch, len(held)):
                 kinds, codes, sizes = split(some.column(len(held)))
-                ends = np.cumsum(sizes)
-                data = [packed(codes[b - n : b]) for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
                 n, none = some.num_rows, pa.nulls(some.num_rows, pa.binary())
-                yield pa.RecordBatch.from_arrays([*[some.column(i) for i in range(len(held))], pa.repeat(pa.scalar(base, pa.int64()), n), pa.nulls(n, pa.int64()), pa.array(sizes, pa.int64()), pa.array(data, pa.binary()), none], parts.fieldNames())
+                places = pa.array([packed(codes), *[None] * (n - 1)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*[some.column(i) for i in range(len(held))], pa.repeat(pa.scalar(base, pa.int64()), n), pa.nulls(n, pa.int64()), pa.array(sizes, pa.int64()), places, none], parts.fieldNames())
                 words = kinds.cast(pa.binary()).to_pylist()
                 of = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) % np.uint64(shares)
                 order = np.argsort(of, kind="stable")
@@ -146,13 +162,13 @@ def encode(docs: DataFrame, path: str, carry: list[str], texts: bool = False) ->
                 asked = [order[a:b] for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True)] if len(cuts) else []
                 n = len(asked)
                 rows = [pa.array([base] * n, pa.int64()), pa.array([int(of[x[0]]) for x in asked], pa.int64()), pa.array([len(x) for x in asked], pa.int64())]
-                rows += [pa.array([zlib.compress(b"\n".join([words[i] for i in x.tolist()]), 1) for x in asked], pa.binary()), pa.array([packed(np.diff(x, prepend=0)) for x in asked], pa.binary())]
+                rows += [pa.array([squeezed(b"\n".join([words[i] for i in x.tolist()])) for x in asked], pa.binary()), pa.array([packed(np.diff(x, prepend=0)) for x in asked], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*[pa.nulls(n, some.column(i).type) for i in range(len(held))], *rows], parts.fieldNames())
                 base += 1
 
     def look_up(asked: pa.Table) -> pa.Table:
         """Encode the distinct words of a share of the table; answer each block's question with ids, word after word."""
-        words = [w for data in asked.column("data").to_pylist() for w in zlib.decompress(data).decode().split("\n")]
+        words = [w for data in asked.column("data").to_pylist() for w in unsqueezed(data).decode().split("\n")]
         found = pa.array(words, pa.large_string()).dictionary_encode()
         ids = vocabulary(path).encode(found.dictionary.to_pylist())
         answers, at = [], 0
@@ -170,36 +186,53 @@ def encode(docs: DataFrame, path: str, carry: list[str], texts: bool = False) ->
     if texts:
         out.add("token_ids", ArrayType(IntegerType())).add("decoded", "string")
 
-    def join(mine: pa.Table, answers: pa.Table) -> pa.Table:
+    kinds = to_arrow_schema(out)
+
+    def joined(mine: pa.Table, answers: pa.Table) -> pa.Table:
         """Put the ids of a block's words at their positions, and the ids' pieces beside them."""
-        ranks = [np.cumsum(unpacked(x)) for x in answers.column("ranks").to_pylist()]
-        ranks = np.concatenate([*ranks, np.empty(0, np.int64)])
-        sizes = np.concatenate([*[unpacked(x) for x in answers.column("sizes").to_pylist()], np.empty(0, np.int64)])
-        ids = np.concatenate([*[unpacked(x) for x in answers.column("ids").to_pylist()], np.empty(0, np.int64)])
+        none = np.empty(0, np.int64)
+        ranks = np.concatenate([*[np.cumsum(unpacked(x)) for x in answers.column("ranks").to_pylist()], none])
+        sizes, ids = (np.concatenate([*[unpacked(x) for x in answers.column(c).to_pylist()], none]) for c in ("sizes", "ids"))
         size, start = np.zeros(len(ranks), np.int64), np.zeros(len(ranks), np.int64)
         size[ranks], start[ranks] = sizes, np.cumsum(sizes) - sizes
-        codes = [unpacked(x) for x in mine.column("data").to_pylist()]
-        n_words, codes = list(map(len, codes)), np.concatenate([*codes, np.empty(0, np.int64)])
+        codes, n_words = unpacked(mine.column("data")[0].as_py()), mine.column("n").to_numpy()
         took = size[codes]
         before = np.concatenate(([0], np.cumsum(took)))
         ids = ids[np.arange(before[-1]) + np.repeat(start[codes] - before[:-1], took)]
         ends = before[np.concatenate(([0], np.cumsum(n_words)))]
         known, place = np.unique(ids, return_inverse=True)
-        place = pa.array(place)
-        joined = []
+        place, texts_of = pa.array(place), []
         for names in (pa.array(list(map(str, known.tolist())), pa.string()), vocabulary(path).pieces.take(pa.array(known))):
-            joined.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names.take(place)), " "))
-        digests = [[hashlib.sha256(x.as_buffer()).hexdigest() for x in column] for column in joined]
+            texts_of.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names.take(place)), " "))
+        digests = [[hashlib.sha256(x.as_buffer()).hexdigest() for x in column] for column in texts_of]
         made = [pa.array(np.diff(ends)), pa.array(digests[0], pa.string()), pa.array(digests[1], pa.string())]
         if texts:
-            made += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())), joined[1]]
-        return pa.Table.from_arrays([*[mine.column(name) for name in held], *made], out.fieldNames())
+            made += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())), texts_of[1]]
+        columns = [*[mine.column(name) for name in held], *made]
+        return pa.Table.from_arrays([c.cast(kinds.field(i).type, safe=False) for i, c in enumerate(columns)], out.fieldNames())
+
+    def of_part(files: pa.Table, answers: pa.Table) -> pa.Table:
+        """A part of the blocks, read where it was written, with the answers to it."""
+        by = answers.column("block").to_numpy()
+        tables, read = [], []
+        for name in sorted(files.column("file").to_pylist()):
+            system, at = FileSystem.from_uri(re.sub(r"^file:/+", "file:///", unquote(name)))
+            with system.open_input_file(at) as file:
+                read.append(pq.read_table(file, columns=[*held, "block", "share", "n", "data"]))
+        rows = pa.concat_tables(read)
+        rows = rows.filter(pc.is_null(rows.column("share")))
+        block = rows.column("block").to_numpy()
+        cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True]))) if len(block) else []
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            tables.append(joined(rows.slice(a, b - a).combine_chunks(), answers.filter(pa.array(by == block[a]))))
+        return pa.concat_tables(tables) if tables else kinds.empty_table()
 
     named = [F.col(c).alias(name) for name, c in zip(held, carry, strict=True)]
     made = stored(docs.select(*named, F.col("text").alias("text")).mapInArrow(divide, parts), "bpe-blocks")
+    part = F.shiftright("block", 32)
     asked = made.filter("share is not null").select("block", "share", "n", "data", "ranks").repartition(tasks, "share")
-    table = asked.groupBy("share").applyInArrow(look_up, "block long, ranks binary, ids binary, sizes binary")
-    mine = made.filter("share is null").select(*held, "block", "data").repartition(tasks, "block")
-    found = mine.groupBy("block").cogroup(table.repartition(tasks, "block").groupBy("block")).applyInArrow(join, out)
+    table = asked.groupBy("share").applyInArrow(look_up, "block long, ranks binary, ids binary, sizes binary").withColumn("part", part)
+    files = made.select(part.alias("part"), F.input_file_name().alias("file")).distinct().repartition(tasks, "part")
+    found = files.groupBy("part").cogroup(table.repartition(tasks, "part").groupBy("part")).applyInArrow(of_part, out)
     names = {name: c for name, c in zip(held, carry, strict=True)}
     return found.select(*[F.col(c).alias(names.get(c, c if c not in carry else f"{c}_found")) for c in out.fieldNames()])
