@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The six ASCII white-space characters, as a Java regex class body.
@@ -116,9 +116,8 @@ def components(links: DataFrame, name: str = "components", max_rounds: int = 200
 
     def with_least(pairs: DataFrame, many: bool, i: int) -> DataFrame:
         """``pairs`` (u, v) with ``m``, the least v of their u."""
-        if not many:
-            return pairs.withColumn("m", F.min("v").over(Window.partitionBy("u")))
-        return join_named(pairs, kept(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), i), "u")
+        least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        return join_named(pairs, kept(least, i), "u") if many else pairs.join(least.drop("n"), "u")
 
     first = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
     path, edges, mark = round_of(first, 0)
