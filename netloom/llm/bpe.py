@@ -55,6 +55,7 @@ class Vocabulary:
         for piece, i in names.items():
             pieces[i] = piece
         self.pieces = pa.array(pieces, pa.string())
+        self.decimals = pa.array(list(map(str, range(len(pieces)))), pa.string())
         for text in PROBES:
             whole = self.tokenizer.encode(text, add_special_tokens=False).ids
             apart = [i for e in self.encode(text.split()) for i in e]
@@ -198,16 +199,15 @@ def encode(docs: DataFrame, path: str, carry: list[str], texts: bool = False) ->
         codes, n_words = unpacked(mine.column("data")[0].as_py()), mine.column("n").to_numpy()
         took = size[codes]
         before = np.concatenate(([0], np.cumsum(took)))
-        ids = ids[np.arange(before[-1]) + np.repeat(start[codes] - before[:-1], took)]
+        ids = pa.array(ids.astype(np.int32)[np.arange(before[-1]) + np.repeat(start[codes] - before[:-1], took)])
         ends = before[np.concatenate(([0], np.cumsum(n_words)))]
-        known, place = np.unique(ids, return_inverse=True)
-        place, texts_of = pa.array(place), []
-        for names in (pa.array(list(map(str, known.tolist())), pa.string()), vocabulary(path).pieces.take(pa.array(known))):
-            texts_of.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names.take(place)), " "))
-        digests = [[hashlib.sha256(x.as_buffer()).hexdigest() for x in column] for column in texts_of]
+        digests, known = [], vocabulary(path)
+        for names in (known.decimals, known.pieces):
+            in_text = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), names.take(ids)), " ")
+            digests.append([hashlib.sha256(x.as_buffer()).hexdigest() for x in in_text])
         made = [pa.array(np.diff(ends)), pa.array(digests[0], pa.string()), pa.array(digests[1], pa.string())]
         if texts:
-            made += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())), texts_of[1]]
+            made += [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), ids), in_text]
         columns = [*[mine.column(name) for name in held], *made]
         return pa.Table.from_arrays([c.cast(kinds.field(i).type, safe=False) for i, c in enumerate(columns)], out.fieldNames())
 
