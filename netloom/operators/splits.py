@@ -49,6 +49,19 @@ def ranks(df: DataFrame, order: list[str]) -> DataFrame:
     return d.withColumn("__r", inside).join(F.broadcast(before), "__b").withColumn("rank", (F.col("__before") + F.col("__r")).cast("long")).drop("__b", "__r", "__before")
 
 
+def running_ranges(df: DataFrame, order: list[str], value: str) -> DataFrame:
+    """``df`` with ``<value>_upto``: the sum over the rows up to and with this one by ``order``, without gathering all rows in one task.
+
+    As in ``ranks``, sums run inside ranges of all order columns, and the sums of earlier ranges are
+    added. Rows alike in ``order`` come in any order.
+    """
+    d = stored(df.repartitionByRange(*order).withColumn("__b", F.spark_partition_id()), "ranges")
+    sums = d.groupBy("__b").agg(F.sum(value).alias("__n"))
+    before = sums.select("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    inside = F.sum(value).over(Window.partitionBy("__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return d.withColumn("__r", inside).join(F.broadcast(before), "__b").withColumn(f"{value}_upto", F.col("__before") + F.col("__r")).drop("__b", "__r", "__before")
+
+
 def by_time(df: DataFrame, time: str, tie: str, test_share: float) -> DataFrame:
     """``df`` with split: the first int((1 - share) n) rows by time train, the rest tests."""
     n = df.count()
