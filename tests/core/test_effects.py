@@ -2,9 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from netloom.operators import effects
+from netloom.plans.queries import QUERIES
 
 EVENT = "event_id string, label string, attacker string, target string, start double, end double, path string"
 REQUEST = "ts double, client string, method string, uri string, host string"
@@ -59,3 +61,14 @@ def test_events_and_requests_of_one_minute_are_not_paired(spark):
     found = effects.attributed_requests(e, r)
     assert rows_of_joins(found) <= 6 * n  # each event has a start and an end, among all requests and among those of its client
     assert found.agg(F.sum("requests_attacker"), F.sum("requests_other")).first() == (sum(k // 2 + 1 for k in range(n)), sum((k + 1) // 2 for k in range(n)))
+
+
+@pytest.mark.parametrize("name", ["a14_evidence_levels"])
+def test_layered_queries_pair_no_requests(spark, name, tmp_path):
+    n = 2000
+    t = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 60)
+    d = spark.range(2 * n).select(F.col("id").alias("event_id"), t.alias("ts"), (F.col("id") % 7).alias("user_id"), F.when(F.col("id") < n, "error").when(F.col("id") % 2 == 0, "view").otherwise("purchase").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 3}').alias("props"))
+    d.write.parquet(f"{tmp_path}/events.parquet")
+    found = QUERIES[name](spark, str(tmp_path))
+    assert rows_of_joins(found) <= 8 * n
+    assert found.filter(F.col("evidence").contains("application_observed")).count() > 0
