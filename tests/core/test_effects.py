@@ -63,7 +63,7 @@ def test_events_and_requests_of_one_minute_are_not_paired(spark):
     assert found.agg(F.sum("requests_attacker"), F.sum("requests_other")).first() == (sum(k // 2 + 1 for k in range(n)), sum((k + 1) // 2 for k in range(n)))
 
 
-@pytest.mark.parametrize("name", ["a14_evidence_levels"])
+@pytest.mark.parametrize("name", ["a14_evidence_levels", "m25_ground_truth"])
 def test_layered_queries_pair_no_requests(spark, name, tmp_path):
     n = 2000
     t = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") % 60)
