@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from netloom.llm.common import stored
+from netloom.llm.common import give_back, stored
 
 #: Bytes of text of a block (a longer text is one by itself), and of all texts for each share of the word table.
 BLOCK, SHARE = 12 << 20, 16 << 20
@@ -166,6 +166,7 @@ def encode(docs: DataFrame, path: str, carry: list[str], texts: bool = False) ->
                 rows += [pa.array([squeezed(b"\n".join([words[i] for i in x.tolist()])) for x in asked], pa.binary()), pa.array([packed(np.diff(x, prepend=0)) for x in asked], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*[pa.nulls(n, some.column(i).type) for i in range(len(held))], *rows], parts.fieldNames())
                 base += 1
+        give_back()
 
     def look_up(asked: pa.Table) -> pa.Table:
         """Encode the distinct words of a share of the table; answer each block's question with ids, word after word."""
@@ -178,6 +179,8 @@ def encode(docs: DataFrame, path: str, carry: list[str], texts: bool = False) ->
             mine = [ids[c] for c in codes[at : at + n]]
             answers.append((packed(np.array([i for x in mine for i in x], np.int64)), packed(np.fromiter(map(len, mine), np.int64, n))))
             at += n
+        del words, found, ids, codes
+        give_back()
         return pa.table({"block": asked.column("block"), "ranks": asked.column("ranks"), "ids": pa.array([a[0] for a in answers], pa.binary()), "sizes": pa.array([a[1] for a in answers], pa.binary())})
 
     out = StructType()
@@ -225,6 +228,8 @@ def encode(docs: DataFrame, path: str, carry: list[str], texts: bool = False) ->
         cuts = np.flatnonzero(np.concatenate(([True], block[1:] != block[:-1], [True]))) if len(block) else []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             tables.append(joined(rows.slice(a, b - a).combine_chunks(), answers.filter(pa.array(by == block[a]))))
+        del rows, read
+        give_back()
         return pa.concat_tables(tables) if tables else kinds.empty_table()
 
     named = [F.col(c).alias(name) for name, c in zip(held, carry, strict=True)]

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,8 @@ OWN_FOLDER = "/tmp/checkpoints/netloom"
 KEYS, LEAST_HOT = 1000, 10_000
 #: Links up to so many need no look at their hubs: all that a node can have is little work for a task.
 FEW_LINKS = 1_000_000
+#: Rows of texts that a Python worker has in hand at a time.
+SLICE = 500
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,6 +76,29 @@ def discard(spark: SparkSession, *paths: str) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def give_back() -> None:
+    """Return memory that is free in this worker to the system; Python workers stay for later tasks, beside an executor's heap."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def in_slices(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], rows: int = SLICE) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over slices of at most so many rows, as what is made of texts is larger than they are; at its end memory is given back."""
+
+    def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(sliced(batches))
+        give_back()
+
+    return bounded
+
+
 def words(text: Column) -> Column:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text as an array; null gives an empty one."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), f"[{BLANKS}]+"), "")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from netloom.llm.common import components, discard, join_named, stored, written
+from netloom.llm.common import components, discard, in_slices, join_named, stored, written
 
 SHINGLE_WORDS = 3
 MAX_BITS = 3
@@ -60,7 +60,7 @@ def fingerprints(docs: DataFrame, carry: list[str]) -> DataFrame:
             columns = [batch.column(i) for i in range(len(carry))]
             yield pa.RecordBatch.from_arrays([*columns, pa.array([fingerprint(t) for t in texts], pa.int64())], [*carry, "__fp"])
 
-    return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(run, schema)
+    return docs.select(*carry, F.col("text").alias("__text")).mapInArrow(in_slices(run), schema)
 
 
 def near_links(prints: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t).view("<i8"))], ["s"])
 
     some = docs.filter(F.pmod(F.xxhash64(F.lit(37), "__c"), F.lit(SAMPLED)) == 0).dropDuplicates(["__c"])
-    seen = some.select("text").mapInArrow(run, "s long").groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
+    seen = some.select("text").mapInArrow(in_slices(run), "s long").groupBy("s").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON)
     rows = sorted((r[0] % (1 << 64), r[1]) for r in seen.orderBy(F.desc("n"), "s").limit(COMMON_KEPT).collect())
     return np.array([r[0] for r in rows], np.uint64), np.array([r[1] for r in rows], np.int64)
 
@@ -421,7 +421,7 @@ def copy_links(classes: DataFrame, placed: DataFrame, texts: DataFrame, made: li
     def compared(dealt: DataFrame) -> DataFrame:
         """Links among the texts of each block (s, i, j, c, comp). Texts aren't shuffled, their sets are: a bitmap tells which are wanted."""
         bitmap = wanted_filter(dealt.select(F.col("c").alias("__c")).distinct())
-        sets = texts.mapInArrow(shingles(bitmap), "c long, shingles binary").groupBy("c").agg(F.first("shingles").alias("shingles"))
+        sets = texts.mapInArrow(in_slices(shingles(bitmap)), "c long, shingles binary").groupBy("c").agg(F.first("shingles").alias("shingles"))
         return dealt.join(sets, "c").groupBy("s", "i", "j").applyInArrow(compare_block, "a long, b long")
 
     # Pairs that hang together: few texts each, mostly, so one block; a larger cluster is dealt in blocks that have pairs.
@@ -490,7 +490,7 @@ def copy_classes(docs: DataFrame, carry: list[str], made: list[str] | None = Non
             first = pa.array([prefix(h, common).view("<i8") for h in sets], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(len(carry))], cls, n, prints, counts, first], schema.fieldNames())
 
-    slim = keep(docs.select(*named, F.col("text").alias("__text"), text_class.alias("__class")).mapInArrow(run, schema), "copies")
+    slim = keep(docs.select(*named, F.col("text").alias("__text"), text_class.alias("__class")).mapInArrow(in_slices(run), schema), "copies")
     classes = slim.groupBy("__c").agg(*[F.first(c).alias(c) for c in ("__n", "__fp", "__counts")], F.count("*").alias("rows"))
     classes = keep(classes, "copy-classes")
     groups = components(copy_links(classes, slim.select(F.explode("__prefix").alias("s"), "__c", "__n"), texts, made), "copy-links")
