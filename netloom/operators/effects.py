@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from netloom.operators.intervals import in_any_window
 from netloom.operators.splits import running_ranges
 from netloom.operators.statistics import nearest_rank
+from netloom.sources.shared import stored
 
 
 def monitor_summary(probes: DataFrame) -> DataFrame:
@@ -48,44 +49,50 @@ def evidence_levels(events: DataFrame) -> DataFrame:
     return events.withColumn("evidence", F.array_compact(levels))
 
 
-def attributed_requests(events: DataFrame, requests: DataFrame, bucket_s: float = 3600.0) -> DataFrame:
+def attributed_requests(events: DataFrame, requests: DataFrame, bucket_s: float = 3600.0, others: bool = True) -> DataFrame:
     """(event_id, requests_attacker, requests_other): requests in an event's closed time that fit its class.
 
     Events: event_id, label, attacker, target, start, end, path. BruteForce asks for a POST whose uri
-    holds the path, DoS for a GET that starts with it; hosts must agree where both are known.
+    holds the path, DoS for a GET that starts with it; hosts must agree where both are known. Without
+    ``others``, only the attacker's requests are counted and requests_other is left out.
 
     Requests are counted, not paired with events. What an event asks for (label, path, target) is the
-    same for many; a request meets each such pattern that some event has in its time bucket. The
-    requests of a pattern, and those of each of its clients, are put in order of time with the starts
-    and ends of its events among them: an event's number is the running count at its end less that
-    at its start.
+    same for many: each such pattern gets a number, and a request meets the patterns that some event
+    has in its time bucket. They are written first, so that Spark knows their size and broadcasts
+    few. The requests of a pattern, and those of each of its clients, are put in order of time with
+    the starts and ends of its events among them: an event's number is the running count at its end
+    less that at its start.
     """
     asks = F.create_map(*[F.lit(x) for x in ("BruteForce", "POST", "DoS", "GET")])
     first = lambda t: F.floor(t / bucket_s)
-    pattern = ["label", "path", "target"]
     r = requests.select("ts", "client", F.upper("method").alias("__method"), F.coalesce("uri", F.lit("")).alias("uri"), F.nullif(F.split_part("host", F.lit(":"), F.lit(1)), F.lit("")).alias("host"), first(F.col("ts")).alias("__bucket"))
-    e = events.select("event_id", "attacker", F.nullif(F.trim("target"), F.lit("")).alias("target"), "start", "end", "path", "label").filter(F.try_element_at(asks, F.col("label")).isNotNull() & (F.col("start") <= F.col("end")))
-    spans = e.select(*pattern, first(F.col("start")).alias("__from"), first(F.col("end")).alias("__to")).distinct()
-    asked = spans.select(*pattern, F.explode(F.sequence("__from", "__to")).alias("__wb")).distinct().withColumn("__asked", F.try_element_at(asks, F.col("label")))
+    e = events.select("event_id", "attacker", F.nullif(F.trim("target"), F.lit("")).alias("target"), "start", "end", "path", "label").filter(F.try_element_at(asks, F.col("label")).isNotNull() & (F.col("start") <= F.col("end")) & F.col("path").isNotNull())
+    spans = e.select("label", "path", "target", first(F.col("start")).alias("__from"), first(F.col("end")).alias("__to")).distinct()
+    asked = spans.select("label", "path", "target", F.explode(F.sequence("__from", "__to")).alias("__wb")).distinct()
+    asked = stored(asked.withColumn("__asked", F.try_element_at(asks, F.col("label"))).withColumn("__id", F.monotonically_increasing_id()), "asked")
+    kinds = asked.groupBy(F.col("label").alias("__label"), F.col("path").alias("__path"), F.col("target").alias("__target")).agg(F.min("__id").alias("pattern"))
+    same = (F.col("label") == F.col("__label")) & (F.col("path") == F.col("__path")) & F.col("target").eqNullSafe(F.col("__target"))
+    e = e.join(kinds, same)
     fits = F.when(F.col("label") == "BruteForce", F.col("uri").contains(F.col("path"))).otherwise(F.col("uri").startswith(F.col("path")))
-    host = F.col("host").isNull() | F.col("target").isNull() | (F.col("host") == F.col("target"))
-    seen = r.join(asked, (F.col("__bucket") == F.col("__wb")) & (F.col("__method") == F.col("__asked")) & fits & host).groupBy(*pattern, "client", F.col("ts").alias("t")).agg(F.count("*").alias("n"))
+    agree = F.col("host").isNull() | F.col("target").isNull() | (F.col("host") == F.col("target"))
+    seen = r.join(asked, (F.col("__bucket") == F.col("__wb")) & (F.col("__method") == F.col("__asked")) & fits & agree).join(kinds, same).groupBy("pattern", "client", F.col("ts").alias("t")).agg(F.count("*").alias("n"))
 
-    def twice(d: DataFrame, *rest: str) -> DataFrame:
-        """The rows of ``d`` for all clients together and for their own."""
-        return d.withColumn("own", F.explode(F.array(F.lit(False), F.lit(True)))).select(*pattern, "own", F.when(F.col("own"), F.col("client")).alias("client"), *rest)
+    def counted_for(d: DataFrame, *rest: str) -> DataFrame:
+        """The rows of ``d`` for their own clients and, with others, for all clients together."""
+        d = d.withColumn("own", F.explode(F.array(F.lit(False), F.lit(True))) if others else F.lit(True))
+        return d.select("pattern", "own", F.when(F.col("own"), F.col("client")).alias("client"), *rest)
 
     # At one time, starts (side 0) come before requests (1), and ends (2) behind them.
-    points = twice(seen, "t", "n").select("*", F.lit(1).alias("side"), F.lit(None).cast(events.schema["event_id"].dataType).alias("event_id"))
+    points = counted_for(seen, "t", "n").select("*", F.lit(1).alias("side"), F.lit(None).cast(events.schema["event_id"].dataType).alias("event_id"))
     edges = e.withColumn("at", F.explode(F.array(F.struct(F.col("start").alias("t"), F.lit(0).alias("side")), F.struct(F.col("end").alias("t"), F.lit(2).alias("side")))))
-    edges = twice(edges.select("*", F.col("attacker").alias("client"), F.col("at.t").alias("t"), F.col("at.side").alias("side"), F.lit(0).cast("long").alias("n")), "t", "n", "side", "event_id")
-    order = [*pattern, "own", "client", "t", "side"]
-    counted = running_ranges(points.unionByName(edges), order, "n").filter("side <> 1")
+    edges = counted_for(edges.select("*", F.col("attacker").alias("client"), F.col("at.t").alias("t"), F.col("at.side").alias("side"), F.lit(0).cast("long").alias("n")), "t", "n", "side", "event_id")
+    counted = running_ranges(points.unionByName(edges), ["client", "own", "pattern", "t", "side"], "n", "event_id", ["own", "side"])
     here = F.when(F.col("side") == 2, F.col("n_upto")).otherwise(-F.col("n_upto"))
     found = counted.groupBy("event_id").agg(F.sum(F.when(F.col("own"), here)).alias("a"), F.sum(F.when(~F.col("own"), here)).alias("all"))
     out = events.select("event_id").join(found, "event_id", "left")
     a = F.coalesce("a", F.lit(0).cast("long"))
-    return out.select("event_id", a.alias("requests_attacker"), (F.coalesce("all", F.lit(0).cast("long")) - a).alias("requests_other"))
+    out = out.select("event_id", a.alias("requests_attacker"), (F.coalesce("all", F.lit(0).cast("long")) - a).alias("requests_other"))
+    return out if others else out.drop("requests_other")
 
 
 def ground_truth(events: DataFrame, evidence: DataFrame, requests: DataFrame) -> DataFrame:

@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,17 +55,31 @@ def ranks(df: DataFrame, order: list[str]) -> DataFrame:
     return d.withColumn("__r", inside).join(F.broadcast(before), "__b").withColumn("rank", (F.col("__before") + F.col("__r")).cast("long")).drop("__b", "__r", "__before")
 
 
-def running_ranges(df: DataFrame, order: list[str], value: str) -> DataFrame:
-    """``df`` with ``<value>_upto``: the sum over the rows up to and with this one by ``order``, without gathering all rows in one task.
+def running_ranges(df: DataFrame, order: list[str], value: str, key: str, carry: list[str]) -> DataFrame:
+    """``key``, ``carry`` and ``<value>_upto`` of the rows that have a key: the sum over all rows up to and with this one by ``order``.
 
-    As in ``ranks``, sums run inside ranges of all order columns, and the sums of earlier ranges are
-    added. Rows alike in ``order`` come in any order.
+    Rows are dealt in ranges of all order columns and sorted there; a whole number is summed as they
+    pass, a batch at a time. Only rows with a key are written, with one row a range for its sum, and
+    the sums of earlier ranges are added. Rows alike in ``order`` come in any order.
     """
-    d = stored(df.repartitionByRange(*order).withColumn("__b", F.spark_partition_id()), "ranges")
-    sums = d.groupBy("__b").agg(F.sum(value).alias("__n"))
-    before = sums.select("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
-    inside = F.sum(value).over(Window.partitionBy("__b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    return d.withColumn("__r", inside).join(F.broadcast(before), "__b").withColumn(f"{value}_upto", F.col("__before") + F.col("__r")).drop("__b", "__r", "__before")
+    upto, columns = f"{value}_upto", [key, *carry]
+    kinds = [f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b, total, last = TaskContext.get().partitionId(), 0, None
+        names = [*columns, upto, "__b"]
+        for last in batches:
+            sums = np.cumsum(last.column(value).to_numpy(zero_copy_only=False)) + total
+            total = int(sums[-1]) if len(sums) else total
+            held = last.select(columns).append_column(upto, pa.array(sums, pa.int64())).filter(pc.is_valid(last.column(key)))
+            yield pa.RecordBatch.from_arrays([*held.columns, pa.array(np.full(len(held), b), pa.int32())], names=names)
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([*(pa.nulls(1, last.column(c).type) for c in columns), pa.array([total], pa.int64()), pa.array([b], pa.int32())], names=names)
+
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order).select(*columns, F.col(value).cast("long"))
+    d = stored(dealt.mapInArrow(run, ", ".join([*kinds, f"`{upto}` long, __b int"])), "ranges")
+    before = d.filter(F.col(key).isNull()).select("__b", F.coalesce(F.sum(upto).over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))
+    return d.filter(F.col(key).isNotNull()).join(F.broadcast(before), "__b").select(*columns, (F.col("__before") + F.col(upto)).alias(upto))
 
 
 def by_time(df: DataFrame, time: str, tie: str, test_share: float) -> DataFrame:

@@ -225,12 +225,12 @@ q AS (
 """
 
 
-def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _requests(spark: SparkSession, sf_dir: str, others: bool = True) -> DataFrame:
     e = events(spark, sf_dir)
     r = e.filter("event_type <> 'error'").select(F.col("t").alias("ts"), F.col("user_id").cast("string").alias("client"), F.when(F.col("event_type") == "purchase", "POST").otherwise("GET").alias("method"), F.concat(F.lit("/"), "event_type", F.lit("/"), "k").alias("uri"), F.lit(None).cast("string").alias("host"))
     even = F.col("event_id") % 2 == 0
     v = e.filter("event_type = 'error'").select("event_id", F.when(even, "BruteForce").otherwise("DoS").alias("label"), F.col("user_id").cast("string").alias("attacker"), F.lit("srv").alias("target"), F.col("t").alias("start"), (F.col("t") + 86400).alias("end"), F.when(even, "purchase").otherwise("/view").alias("path"))
-    return effects.attributed_requests(v, r)
+    return effects.attributed_requests(v, r, others=others)
 
 
 @query("j15_attributed_requests", REQUESTS + "SELECT * FROM q")
@@ -240,7 +240,7 @@ def attributed_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("a14_evidence_levels", REQUESTS + "SELECT event_id, 'tool_executed' || CASE WHEN event_id % 4 > 0 THEN ',traffic_observed' ELSE '' END || CASE WHEN requests_attacker > 0 THEN ',application_observed' ELSE '' END AS evidence FROM q")
 def evidence_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _requests(spark, sf_dir).withColumn("usable_flows", F.col("event_id") % 4)
+    d = _requests(spark, sf_dir, others=False).withColumn("usable_flows", F.col("event_id") % 4)
     return effects.evidence_levels(d).select("event_id", F.array_join("evidence", ",").alias("evidence"))
 
 

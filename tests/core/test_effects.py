@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from netloom.operators import effects
+from netloom.operators import effects, splits
 from netloom.plans.queries import QUERIES
 
 EVENT = "event_id string, label string, attacker string, target string, start double, end double, path string"
@@ -72,3 +72,28 @@ def test_layered_queries_pair_no_requests(spark, name, tmp_path):
     found = QUERIES[name](spark, str(tmp_path))
     assert rows_of_joins(found) <= 8 * n
     assert found.filter(F.col("evidence").contains("application_observed")).count() > 0
+
+
+@pytest.mark.parametrize("name, sides", [("a14_evidence_levels", 2)])
+def test_layered_queries_write_no_requests_in_order(spark, name, sides, tmp_path, monkeypatch):
+    n, written, plain_stored = 500, {}, splits.stored
+
+    def counted(df, what):
+        out = plain_stored(df, what)
+        written[what] = out.count()
+        return out
+
+    monkeypatch.setattr(splits, "stored", counted)
+    t = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id"))
+    d = spark.range(2 * n).select(F.col("id").alias("event_id"), t.alias("ts"), (F.col("id") % 7).alias("user_id"), F.when(F.col("id") < n, "error").when(F.col("id") % 2 == 0, "view").otherwise("purchase").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 3}').alias("props"))
+    d.write.parquet(f"{tmp_path}/events.parquet")
+    assert QUERIES[name](spark, str(tmp_path)).filter(F.col("evidence").contains("application_observed")).count() == n
+    # The two sides of each event, among its own client's requests and a sum for each range.
+    assert sides * n < written["ranges"] <= sides * n + 4
+
+
+def test_running_sums_of_ranges(spark):
+    d = spark.range(3000, numPartitions=7).select((F.col("id") * 7919 % 3000).alias("at"), F.lit(2).cast("long").alias("n"), F.when(F.col("id") % 3 == 0, F.concat(F.lit("k"), "id")).alias("key"))
+    got = splits.running_ranges(d, ["at"], "n", "key", ["at"]).collect()
+    assert len(got) == 1000 and all(x.n_upto == 2 * (x.at + 1) and int(x.key[1:]) * 7919 % 3000 == x["at"] for x in got)
+    assert splits.running_ranges(d.limit(0), ["at"], "n", "key", ["at"]).count() == 0
