@@ -49,12 +49,13 @@ def evidence_levels(events: DataFrame) -> DataFrame:
     return events.withColumn("evidence", F.array_compact(levels))
 
 
-def attributed_requests(events: DataFrame, requests: DataFrame, bucket_s: float = 3600.0, others: bool = True) -> DataFrame:
-    """(event_id, requests_attacker, requests_other): requests in an event's closed time that fit its class.
+def attributed_requests(events: DataFrame, requests: DataFrame, bucket_s: float = 3600.0, others: bool = True, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(event_id, carry, requests_attacker, requests_other): requests in an event's closed time that fit its class.
 
     Events: event_id, label, attacker, target, start, end, path. BruteForce asks for a POST whose uri
     holds the path, DoS for a GET that starts with it; hosts must agree where both are known. Without
-    ``others``, only the attacker's requests are counted and requests_other is left out.
+    ``others``, only the attacker's requests are counted and requests_other is left out. ``carry``:
+    further columns of the events.
 
     Requests are counted, not paired with events. What an event asks for (label, path, target) is the
     same for many: each such pattern gets a number, and a request meets the patterns that some event
@@ -89,9 +90,9 @@ def attributed_requests(events: DataFrame, requests: DataFrame, bucket_s: float
     counted = running_ranges(points.unionByName(edges), ["client", "own", "pattern", "t", "side"], "n", "event_id", ["own", "side"])
     here = F.when(F.col("side") == 2, F.col("n_upto")).otherwise(-F.col("n_upto"))
     found = counted.groupBy("event_id").agg(F.sum(F.when(F.col("own"), here)).alias("a"), F.sum(F.when(~F.col("own"), here)).alias("all"))
-    out = events.select("event_id").join(found, "event_id", "left")
+    out = events.select("event_id", *carry).join(found, "event_id", "left")
     a = F.coalesce("a", F.lit(0).cast("long"))
-    out = out.select("event_id", a.alias("requests_attacker"), (F.coalesce("all", F.lit(0).cast("long")) - a).alias("requests_other"))
+    out = out.select("event_id", *carry, a.alias("requests_attacker"), (F.coalesce("all", F.lit(0).cast("long")) - a).alias("requests_other"))
     return out if others else out.drop("requests_other")
 
 
@@ -100,7 +101,7 @@ def ground_truth(events: DataFrame, evidence: DataFrame, requests: DataFrame) ->
 
     Events as for ``attributed_requests``; ``evidence``: event_id, usable_flows, port_coverage, span.
     """
-    d = events.select("event_id", "label", "attacker").join(attributed_requests(events, requests), "event_id").join(evidence.select("event_id", "usable_flows", "port_coverage", "span"), "event_id", "left")
+    d = attributed_requests(events.filter("event_id is not null"), requests, carry=("label",)).join(evidence.select("event_id", "usable_flows", "port_coverage", "span"), "event_id", "left")
     scan = (F.col("label") == "PortScan") & F.col("port_coverage").isNotNull()
     others = (F.col("label") == "BruteForce") & (F.col("requests_attacker") == 0) & (F.col("requests_other") > 0)
     note = F.when(others, F.concat(F.col("requests_other").cast("string"), F.lit(" request(s) of others, none of the attacker: not to be credited")))

@@ -74,7 +74,7 @@ def test_layered_queries_pair_no_requests(spark, name, tmp_path):
     assert found.filter(F.col("evidence").contains("application_observed")).count() > 0
 
 
-@pytest.mark.parametrize("name, sides", [("a14_evidence_levels", 2)])
+@pytest.mark.parametrize("name, sides", [("a14_evidence_levels", 2), ("m25_ground_truth", 4)])
 def test_layered_queries_write_no_requests_in_order(spark, name, sides, tmp_path, monkeypatch):
     n, written, plain_stored = 500, {}, splits.stored
 
@@ -88,7 +88,7 @@ def test_layered_queries_write_no_requests_in_order(spark, name, sides, tmp_path
     d = spark.range(2 * n).select(F.col("id").alias("event_id"), t.alias("ts"), (F.col("id") % 7).alias("user_id"), F.when(F.col("id") < n, "error").when(F.col("id") % 2 == 0, "view").otherwise("purchase").alias("event_type"), F.lit(1.0).alias("value"), F.lit('{"k": 3}').alias("props"))
     d.write.parquet(f"{tmp_path}/events.parquet")
     assert QUERIES[name](spark, str(tmp_path)).filter(F.col("evidence").contains("application_observed")).count() == n
-    # The two sides of each event, among its own client's requests and a sum for each range.
+    # The two sides of each event, among its own client's requests and (m25) among all, and a sum for each range.
     assert sides * n < written["ranges"] <= sides * n + 4
 
 
@@ -97,3 +97,10 @@ def test_running_sums_of_ranges(spark):
     got = splits.running_ranges(d, ["at"], "n", "key", ["at"]).collect()
     assert len(got) == 1000 and all(x.n_upto == 2 * (x.at + 1) and int(x.key[1:]) * 7919 % 3000 == x["at"] for x in got)
     assert splits.running_ranges(d.limit(0), ["at"], "n", "key", ["at"]).count() == 0
+
+
+def test_report_has_a_row_for_each_event(spark):
+    e = spark.createDataFrame([("x", "DoS", "a", None, 0.0, 9.0, "/"), ("x", "DoS", "a", None, 5.0, 9.0, "/"), (None, "DoS", "a", None, 0.0, 9.0, "/")], EVENT)
+    r = spark.createDataFrame([(4.0, "a", "GET", "/", None), (6.0, "b", "GET", "/", None)], REQUEST)
+    found = effects.ground_truth(e, spark.createDataFrame([("x", 1, None, 1)], "event_id string, usable_flows int, port_coverage double, span int"), r).collect()
+    assert [(x.event_id, x.requests_attacker, x.requests_other) for x in found] == [("x", 1, 2)] * 2
