@@ -945,7 +945,7 @@ def forest_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     d = table(spark, sf_dir, "lineitem").select(*NUMBERS, "l_linestatus", F.col("l_returnflag").alias("label"), "l_orderkey")
     model = models.forest(d.filter("l_orderkey % 5 > 0"), NUMBERS, ["l_linestatus"])
-    return statistics.class_metrics(models.predict(model, d.filter("l_orderkey % 5 = 0"), NUMBERS, ["l_linestatus"]), "label", "predicted")
+    return models.by_class(model, d.filter("l_orderkey % 5 = 0"), NUMBERS, ["l_linestatus"])
 
 
 from netloom.plans import queries_audit  # noqa: E402, F401  registers its queries
